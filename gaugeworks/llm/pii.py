@@ -34,7 +34,7 @@ _DIGIT, _TOKEN, _EDGE = re.compile("[0-9]"), re.compile(r"[^\x20\x09-\x0D]+"), "
 TEXTS, CHARACTERS = 256, 4000
 BELIEF, ROUNDS, DAMPING = 0.8, 12, 0.5
 #: A shape alone speaks against a label by so much at most, in logarithms, so that a linked token can outweigh it.
-LEAST = -3.0
+LEAST = -1.5
 Span = tuple[int, int, int]
 
 
