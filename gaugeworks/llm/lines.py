@@ -13,23 +13,18 @@ from gaugeworks.llm.common import stored
 
 #: Shorter lines have to be equal.
 WORDS_FOR_EDITS = 8
-#: Words at either end that lines with one edit can't both differ in, for lines of 7 and of 17 words at least.
-ENDS = ((17, 8), (7, 3))
-
-
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\f\r", "     "), " "), "")
 
 
-def _ends(words: Column, n: Column) -> Column:
-    """Digests of the first and the last words, for the line's own length and for one word less."""
+def _halves(words: Column, n: Column) -> Column:
+    """Digests of the first and of the last h words, which one edit can't both reach, for the line's own h and for that of one word less."""
     keys = []
     for m in (n, n - 1):
-        for i, (least, h) in enumerate(ENDS):
-            fits = (m >= least) if i == 0 else (m >= least) & (m < ENDS[0][0])
-            for side, taken in ((0, F.slice(words, 1, h)), (1, F.slice(words, -h, h))):
-                keys.append(F.when(fits, F.xxhash64(F.lit(h), F.lit(side), F.concat_ws(" ", taken))))
-    return F.when(n >= WORDS_FOR_EDITS, F.array_distinct(F.array_compact(F.array(*keys)))).otherwise(F.array().cast("array<long>"))
+        h = F.floor((m - 1) / 2).cast("int")
+        for side, taken in ((0, F.slice(words, F.lit(1), h)), (1, F.slice(words, n - h + 1, h))):
+            keys.append(F.xxhash64(h, F.lit(side), F.concat_ws(" ", taken)))
+    return F.when(n >= WORDS_FOR_EDITS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<long>"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -50,46 +45,47 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = base.select("_d", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_p", "line"))
     lines = lines.withColumn("blank", ~F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     words = lines.withColumn("w", _words(F.col("line"))).withColumn("n", F.size("w"))
-    places = stored(words.select("_d", "_h", "_p", F.when(~F.col("blank"), F.unhex(F.md5("line"))).alias("id"), "n", _ends(F.col("w"), F.col("n")).alias("ends")), "places")
+    places = stored(words.select("_d", "_h", "_p", F.when(~F.col("blank"), F.unhex(F.md5("line"))).alias("id"), "n", _halves(F.col("w"), F.col("n")).alias("halves")), "places")
 
+    # A line is known by where it first stands
     at = F.struct("_d", "_h", "_p")
-    firsts = places.where("id is not null").groupBy("id").agg(F.min(F.struct("_d", "_h", "_p", "n", "ends")).alias("f"))
-    firsts = stored(firsts.select("id", F.struct("f._d", "f._h", "f._p").alias("at"), "f.n", "f.ends"), "firsts")
-
-    # Lines that share neither end with another line have no partner within one edit
-    ends = firsts.select("id", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").count().where("count > 1").select("end")
-    chosen = stored(ends.join(shared, "end", "left_semi").select("id").distinct().join(firsts.select("id", "at", "n"), "id"), "chosen")
-
-    wanted = chosen.groupBy(F.col("at._d").alias("_cd"), F.col("at._h").alias("_ch")).agg(F.collect_list(F.struct(F.col("at._p").alias("p"), "id", "n")).alias("lines"))
-    texts = base.join(wanted, F.col("_d").eqNullSafe(F.col("_cd")) & (F.col("_h") == F.col("_ch"))).dropDuplicates(["_d", "_h"])
-    texts = texts.withColumn("all", F.split("_t", "\n", -1)).select("_d", "_h", F.explode("lines").alias("l"), "all")
-    texts = stored(texts.select("l.id", F.struct("_d", "_h", F.col("l.p").alias("_p")).alias("at"), "l.n", _words(F.element_at("all", F.col("l.p") + 1)).alias("w")), "compared")
-
-    # Deletion neighbourhood: the digest of a line without word i is the digest of what is before it and, moved up, of what is after it
-    one = texts.select("id", "at", "n", F.posexplode("w").alias("i", "word"))
-    one = one.withColumn("x", F.xxhash64("word", "i")).withColumn("y", F.xxhash64(F.col("word"), F.col("i") - 1))
-    upto = Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    past = Window.partitionBy("id").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    one = one.withColumn("before", F.bit_xor("x").over(upto).bitwiseXOR(F.col("x")))
-    # bit_xor up to i and over all words gives what is after i, in one pass over the rows in order
-    every = texts.select("id", F.aggregate(F.transform("w", lambda w, i: F.xxhash64(w, i - 1)), F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v)).alias("moved"))
-    one = one.withColumn("seen", F.bit_xor("y").over(upto)).join(every, "id")
-    variants = one.select("id", "at", "n", "i", F.col("before").bitwiseXOR(F.col("moved")).bitwiseXOR(F.col("seen")).alias("v"))
-    whole = texts.select("id", "at", "n", F.aggregate(F.transform("w", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v)).alias("v"))
-    keyed = variants.select("id", "at", F.struct("n", "i", "v").alias("k"), F.lit(0).alias("role"))
-    keyed = keyed.union(variants.select("id", "at", F.struct(F.col("n") - 1, F.lit(-1), "v"), F.lit(1)).distinct()).union(whole.select("id", "at", F.struct("n", F.lit(-1), "v"), F.lit(2)))
-    keyed = keyed.select("id", "at", F.xxhash64("k").alias("k"), "role")
-    mate = lambda r: F.min(F.when(F.col("role") == r, F.struct("at", "id")))
+    firsts = places.where("id is not null").groupBy("id").agg(F.min(F.struct("_d", "_h", "_p", "n", "halves")).alias("f"))
+    firsts = stored(firsts.select("id", F.struct("f._d", "f._h", "f._p").alias("at"), "f.n", "f.halves"), "firsts")
+
+    # A line that shares neither half with another has no partner within one edit; others know of what lengths theirs can be
+    halves = firsts.select("at", "n", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).where("c > 1")
+    chosen = halves.join(shared, "half").groupBy("at").agg(F.bool_or(F.expr("low = high or c > 2")).alias("same"), F.bool_or(F.expr("low < n")).alias("shorter"), F.bool_or(F.expr("high > n")).alias("longer"))
+    wanted = chosen.groupBy(F.col("at._d").alias("_cd"), F.col("at._h").alias("_ch")).agg(F.collect_list(F.struct(F.col("at._p").alias("p"), "same", "shorter", "longer")).alias("lines"))
+    texts = base.join(wanted, F.col("_d").eqNullSafe(F.col("_cd")) & (F.col("_h") == F.col("_ch"))).withColumn("all", F.split("_t", "\n", -1)).select("_d", "_h", F.explode("lines").alias("l"), "all")
+    texts = texts.select(F.struct("_d", "_h", F.col("l.p").alias("_p")).alias("at"), "l.same", "l.shorter", "l.longer", _words(F.element_at("all", F.col("l.p") + 1)).alias("w"))
+    texts = stored(texts.withColumn("n", F.size("w")).dropDuplicates(["at"]), "compared")
+
+    # Deletion neighbourhood: the digest of a line without word i is the digest of what is before it and, moved up, of what is after it.
+    # With the digests of words 0..i in their places (x) and moved up (y), that is x(0..i-1) ^ y(all) ^ y(0..i).
+    folded = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
+    whole = folded(F.transform("w", lambda w, i: F.xxhash64(w, i)))
+    moved = folded(F.transform("w", lambda w, i: F.xxhash64(w, i - 1)))
+    one = texts.where("same or shorter").withColumn("moved", moved).select("at", "n", "same", "shorter", "moved", F.posexplode("w").alias("i", "word"))
+    upto = Window.partitionBy("at").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x, y = F.xxhash64("word", "i"), F.xxhash64(F.col("word"), F.col("i") - 1)
+    one = one.select("at", "n", "same", "shorter", "moved", "i", x.alias("x"), y.alias("y"))
+    v = F.bit_xor(F.col("x").bitwiseXOR(F.col("y"))).over(upto).bitwiseXOR(F.col("x")).bitwiseXOR(F.col("moved"))
+    variants = one.select("at", "n", "same", "shorter", "i", v.alias("v"))
+    # role 0: a line without word i; 1: a line with a word less; 2: a line as it is
+    roles = F.array_compact(F.array(F.when(F.col("same"), F.struct(F.xxhash64("n", "i", "v").alias("k"), F.lit(0).alias("role"))), F.when(F.col("shorter"), F.struct(F.xxhash64(F.col("n") - 1, F.lit(-1), "v").alias("k"), F.lit(1).alias("role")))))
+    keyed = variants.select("at", F.explode(roles).alias("r")).select("at", "r.k", "r.role")
+    keyed = keyed.union(texts.where("longer").select("at", F.xxhash64("n", F.lit(-1), whole), F.lit(2)))
+    mate = lambda r: F.min(F.when(F.col("role") == r, F.col("at")))
     mates = keyed.groupBy("k").agg(F.count("*").alias("c"), mate(0).alias("m0"), mate(1).alias("m1"), mate(2).alias("m2")).where("c > 1").drop("c")
     # Lines changed in the same word all meet the earliest of them; a line and those with a word more meet each other
     earlier = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = keyed.join(mates, "k").select("id", "at", earlier.alias("e")).where("e.at < at").select("id", F.col("e.id").alias("by")).distinct()
-    a, b = texts.select("id", F.col("w").alias("wa")), texts.select(F.col("id").alias("by"), F.col("w").alias("wb"))
-    near = pairs.join(a, "id").join(b, "by").where(within_one_edit(F.col("wa"), F.col("wb"))).select("id").distinct().withColumn("near", F.lit(True))
+    pairs = keyed.join(mates, "k").select("at", earlier.alias("by")).where("by < at").distinct()
+    a, b = texts.select("at", F.col("w").alias("wa")), texts.select(F.col("at").alias("by"), F.col("w").alias("wb"))
+    near = pairs.join(a, "at").join(b, "by").where(within_one_edit(F.col("wa"), F.col("wb"))).select("at").distinct().withColumn("near", F.lit(True))
 
-    judged = firsts.select("id", "at").join(near, "id", "left").where("near is null").select("id", "at")
-    kept = places.join(judged, "id", "left").where((F.col("id").isNull()) | (F.col("at") == at))
+    judged = firsts.select("id", "at").join(near, "at", "left").where("near is null").select("id", "at")
+    kept = places.select("_d", "_h", "_p", "id").join(judged, "id", "left").where((F.col("id").isNull()) | (F.col("at") == at))
     return kept.groupBy("_d", "_h").agg(F.sort_array(F.collect_set("_p")).alias("_kept"))
 
 
