@@ -82,7 +82,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     earlier = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = keyed.join(mates, "k").select("at", earlier.alias("by")).where("by < at").distinct()
     a, b = texts.select("at", F.col("w").alias("wa")), texts.select(F.col("at").alias("by"), F.col("w").alias("wb"))
-    near = pairs.join(a, "at").join(b, "by").where(within_one_edit(F.col("wa"), F.col("wb"))).select("at").distinct().withColumn("near", F.lit(True))
+    near = pairs.join(a, "at").join(b, "by").where(within_one_edit(F.col("wa"), F.col("wb"))).select("at").distinct()
+    near = stored(near, "near").withColumn("near", F.lit(True))
 
     judged = firsts.select("id", "at").join(near, "at", "left").where("near is null").select("id", "at")
     kept = places.select("_d", "_h", "_p", "id").join(judged, "id", "left").where((F.col("id").isNull()) | (F.col("at") == at))
