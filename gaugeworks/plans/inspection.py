@@ -16,8 +16,9 @@ QUERIES = {}
 SQL: dict[str, str] = {}
 
 
-#: A number for each line
-ITEM = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
+def _item() -> Column:
+    """A number for each line."""
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")
 
 
 def query(name: str, sql: str | None = None):
@@ -180,13 +181,13 @@ _XY = "(l_partkey * 37 + l_linenumber * 211) % 1190 AS x, (l_orderkey * 53 + l_l
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     """A place for each line; suppliers are projects of one sheet, with a grid of 8 by 6 zones."""
     x, y = ((F.col("l_partkey") * 37 + F.col("l_linenumber") * 211) % 1190).cast("double"), ((F.col("l_orderkey") * 53 + F.col("l_linenumber") * 97) % 842).cast("double")
-    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), ITEM.alias("item"), x.alias("x"), y.alias("y"), F.col("l_partkey").alias("group_key"))
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), _item().alias("item"), x.alias("x"), y.alias("y"), F.col("l_partkey").alias("group_key"))
     col = numbering.zone_cell(F.col("x"), F.lit(20.0), F.lit(1150.0), F.lit(8))
     row = numbering.zone_cell(F.col("y"), F.lit(20.0), F.lit(802.0), F.lit(6))
     return rows.withColumn("zone_rank", row * 8 + col).withColumn("pos", F.col("item")).withColumn("ordinal", F.lit(1)).withColumn("kind", F.lit("linear"))
 
 
-_ZONES = f"""z AS (SELECT l_suppkey AS project_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS item, l_partkey AS group_key, {_XY} FROM lineitem),
+_ZONES = f"""z AS (SELECT l_suppkey AS project_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS item, l_partkey AS group_key, {_XY} FROM lineitem),
 zz AS (SELECT *, greatest(0, least(5, CAST(floor((y - 20) / 802.0 * 6) AS INT))) * 8 + greatest(0, least(7, CAST(floor((x - 20) / 1150.0 * 8) AS INT))) AS zone FROM z)"""
 query("n5_zones", f"WITH {_ZONES} SELECT project_id, item, CAST(zone AS INT) AS zone_rank FROM zz")(lambda s, sf: _points(s, sf).select("project_id", "item", "zone_rank"))
 query(
@@ -205,24 +206,24 @@ def zone_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "n12_display_numbers",
-    """WITH o AS (SELECT l_suppkey AS project_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS item, l_partkey % 3 AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem),
+    """WITH o AS (SELECT l_suppkey AS project_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS item, l_partkey % 3 AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem),
     i AS (SELECT *, sum(CASE WHEN g = pg THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY k) AS base FROM (SELECT *, lag(g) OVER (PARTITION BY project_id ORDER BY k) AS pg FROM o)),
     r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY project_id, base) > 1 THEN row_number() OVER (PARTITION BY project_id, base ORDER BY k) END AS sub FROM i)
     SELECT project_id, item, CAST(base AS INT) AS base, CAST(sub AS INT) AS sub, concat_ws('.', CAST(CAST(base AS INT) AS VARCHAR), CAST(sub AS VARCHAR)) AS number FROM r""",
 )
 def display_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
-    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), ITEM.alias("item"), (F.col("l_partkey") % 3).alias("group_key"), order.alias("order"))
+    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), _item().alias("item"), (F.col("l_partkey") % 3).alias("group_key"), order.alias("order"))
     return numbering.display_numbers(rows, True).select("project_id", "item", "base", "sub", "number")
 
 
 @query(
     "n11_gathered",
-    "WITH o AS (SELECT l_suppkey AS project_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS item, l_partkey AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem), m AS (SELECT *, min(k) OVER (PARTITION BY project_id, g) AS lead FROM o) SELECT project_id, item, CAST(row_number() OVER (PARTITION BY project_id ORDER BY lead, k) AS INT) AS \"order\" FROM m",
+    "WITH o AS (SELECT l_suppkey AS project_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS item, l_partkey AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem), m AS (SELECT *, min(k) OVER (PARTITION BY project_id, g) AS lead FROM o) SELECT project_id, item, CAST(row_number() OVER (PARTITION BY project_id ORDER BY lead, k) AS INT) AS \"order\" FROM m",
 )
 def gathered(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
-    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), ITEM.alias("item"), F.col("l_partkey").alias("group_key"), order.alias("order"))
+    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), _item().alias("item"), F.col("l_partkey").alias("group_key"), order.alias("order"))
     return numbering.gathered(rows).select("project_id", "item", "order")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A folder of Parquet events as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A folder of Parquet events as a stream; event times without a zone are taken in the session's."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
 def activity(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
