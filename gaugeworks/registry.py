@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from gaugeworks.plans.inspection import QUERIES, SQL
+from gaugeworks.plans.drawing import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
