@@ -37,7 +37,9 @@ from gaugeworks.llm.shingles import shingle_sets
 #: Lists of up to so many sets are expanded into pairs; longer ones are tied to their first set.
 SHORT = 32
 #: Sets of a bundle that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 16384
+#: Shingles of a block; what a task holds is bounded by twice this, or by its longest two texts.
+SHINGLES = 1_000_000
 #: DivideSkip's tuning constant.
 MU = 0.01
 
@@ -228,7 +230,7 @@ def _compared(width: int, num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, short: int = SHORT, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every row of `docs`."""
     spark = docs.sparkSession
     ship(spark)
@@ -249,9 +251,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rare = pairs.where("not tie and n < 4").join(small.where(F.col("n") < few).select(F.col("member").alias("a")), "a", "left_semi")
     bundles = connected_components(sure.select("a", "b").union(rare.select("a", "b")))
 
-    size = bundles.groupBy("root").agg(F.count("*").alias("size"))
-    bundles = bundles.join(size, "root").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    chosen = classes.join(bundles, classes["member"] == bundles["node"]).select("rep", "member", "root", "blocks", F.expr("pmod(xxhash64(key), blocks)").cast("int").alias("mine"))
+    chosen = classes.join(bundles, classes["member"] == bundles["node"]).select("rep", "member", "key", "n", "root")
+    size = chosen.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"))
+    chosen = chosen.join(size, "root").select("rep", "member", "root", "blocks", F.expr("pmod(xxhash64(key), blocks)").cast("int").alias("mine"))
     rows = text.where("doc_id is not null").join(chosen, text["doc_id"] == chosen["rep"]).select("text", "member", "root", "blocks", "mine")
     # block i meets block j in group (i, j), i <= j
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
