@@ -6,12 +6,13 @@ documents link when ``den * |A & B| >= num * |A | B|``. The join has two T-occur
 1. Over coarse inverted lists, to find which documents need comparing at all. Documents of one size
    class cut the hash range of shingles into k parts; linked sets differ in at most D shingles, so they agree
    in k - D parts at least, and in T of the D + T fullest. A document posts a digest of each of those
-   parts. Short lists are merged: a pair is kept when it occurs T times. Long lists are not expanded
-   into pairs: their members are tied to the list's first member. No linked pair is lost.
+   parts. Short lists are merged: a pair is kept when it occurs T times, or when long lists can make
+   up what it lacks. Long lists are not expanded into pairs: a document in m of them ties itself to all but the
+   T - 1 longest, as two documents with T long lists in common share one of those. No linked pair is lost.
 2. What the kept pairs and ties connect forms a bundle. Within it, inverted lists of all shingles are
    searched with DivideSkip: for each document the short lists are merged, the longest ones probed by binary search,
-   and documents that reach the required overlap are united. Bundles over `block` sets are dealt out as
-   pairs of blocks.
+   and documents that reach the required overlap are united. Large bundles are dealt out as pairs of
+   blocks of one size class, or of two neighbouring ones; other sizes cannot link.
 
 Equal sets are one class from the start, so groups of copies cost no more than one document. Results:
 one row per document; null or blank text has an empty set and links with nothing; so does a row
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import lists, mix64, ship, stored, text_slices
@@ -40,6 +41,8 @@ SHORT = 32
 BLOCK = 16384
 #: Shingles of a block; what a task holds is bounded by twice this, or by its longest two texts.
 SHINGLES = 1_000_000
+#: Occurrences that pairs need, but for small sets.
+NEED = 4
 #: DivideSkip's tuning constant.
 MU = 0.01
 
@@ -59,17 +62,20 @@ def parts_of(p: int, num: int, den: int) -> tuple[int, int, int]:
     differ = (den - num) * (most + most * den // num) // (den + num)
     if not differ:
         return 0, 0, 0
-    need = 4 if most >= 40 else 1
+    need = NEED if most >= 40 else 1
     posted = differ + need
-    return max(posted, min(-(-5 * posted // 4), int((den / num) ** p) // 3)), posted, need
+    return -(-5 * posted // 4), posted, need
 
 
 def postings(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Digests of the fullest parts of a set, for both roles that it can play in a pair."""
+    """Digests of the fullest parts of a set, for both roles that it can play in a pair.
+
+    A digest's lowest bit tells the two roles apart, the next one is set if pairs need more than one occurrence.
+    """
     out = []
     c = size_class(len(s), num, den)
     for p in (c, c - 1):
-        k, posted, _ = parts_of(p, num, den) if p >= 0 else (0, 0, 0)
+        k, posted, need = parts_of(p, num, den) if p >= 0 else (0, 0, 0)
         if not k:
             continue
         part = (s % np.uint64(k)).astype(np.int64)
@@ -81,7 +87,7 @@ def postings(s: np.ndarray, num: int, den: int) -> np.ndarray:
         content[full] = np.add.reduceat(mix64(s[order]), begin[full])
         content = mix64(content + np.uint64(0xD1B54A32D192ED03) * (np.arange(k, dtype=np.uint64) + np.uint64(p << 32)))
         keep = np.lexsort((content, count))[k - posted :]
-        out.append(content[keep])
+        out.append((content[keep] & ~np.uint64(3)) | np.uint64(p % 2 + 2 * (need > 1)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -129,7 +135,7 @@ def _posted(width: int, num: int, den: int, buckets: int):
 
 
 def _merged(short: int):
-    """Of the lists in a bucket: pairs from short lists with their occurrences, ties (0 occurrences) from long ones."""
+    """Of the lists in a bucket: pairs (a, b) from short lists with n occurrences (4 where one is enough); of long ones, member a, digest b and n, their negative length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pair = np.frombuffer(b"".join(pdf["packed"]), np.uint64).reshape(-1, 2)
@@ -150,19 +156,19 @@ def _merged(short: int):
                 break
             a.append(o[hit])
             b.append(o[hit + step])
-            n.append(np.ones(len(hit), np.int64))
-        tied = np.flatnonzero(~few & (head != np.arange(len(d))))
-        a.append(o[head[tied]])
-        b.append(o[tied])
-        n.append(np.zeros(len(tied), np.int64))
-        out = pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64), "n": np.concatenate(n)})
-        return out.assign(tie=out["n"] == 0).groupby(["a", "b"], as_index=False).agg(n=("n", "sum"), tie=("tie", "max"))
+            n.append(np.where(d[hit] & np.uint64(2), 1, NEED))
+        long_ = np.flatnonzero(~few)
+        a.append(o[long_])
+        b.append(d[long_])
+        n.append(-size[long_])
+        out = pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64), "n": np.concatenate(n).astype(np.int64), "long": np.concatenate(n) < 0})
+        return out.groupby(["a", "b", "long"], as_index=False).agg(n=("n", "sum"))[["a", "b", "n"]]
 
     return run
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int, queries: range | None = None, mu: float = MU) -> np.ndarray:
-    """For each set a root: equal roots for sets that links join. Sets from outside `queries` are not compared with each other.
+    """For each set a root: equal roots for sets that links join. If there are `queries`, these are compared with the other sets only.
 
     Links between sets that are already united are not looked up again.
     """
@@ -185,6 +191,8 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, queries: range | Non
         open_ = (root != root[q]) & (need <= np.minimum(sizes[q], sizes))
         if queries is None:
             open_[:q] = False
+        else:
+            open_[queries.start : queries.stop] = False
         if not open_.any():
             continue
         ls = which[mine[q] : mine[q + 1]]
@@ -239,27 +247,40 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     buckets = lists(spark)
     posted = text.select("text").mapInArrow(_posted(width, num, den, buckets), "bucket int, packed binary")
-    pairs = posted.groupBy("bucket").applyInPandas(_merged(short), "a long, b long, n long, tie boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("tie").alias("tie"))
+    merged = stored(posted.groupBy("bucket").applyInPandas(_merged(short), "a long, b long, n long"), "merged")
+    pairs = merged.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # of its long lists, each document in each role: how many there are, and which come first
+    role = Window.partitionBy("a", F.expr("b & 1"))
+    long_ = merged.where("n < 0").select("a", "b", F.count("*").over(role).alias("of"), F.row_number().over(role.orderBy(F.desc("n"), "b")).alias("at"))
+    ties = long_.where(F.col("at") <= F.col("of") - F.when(F.expr("b & 2 <> 0"), NEED - 1).otherwise(0)).select("a", "b")
+    lists_of = long_.groupBy("a").agg(F.max("of").alias("of"))
+    more = lists_of.select("a", F.col("of").alias("of_a"))
+    lacking = pairs.where(F.col("n") < NEED).join(more, "a").join(lists_of.select(F.col("a").alias("b"), F.col("of").alias("of_b")), "b")
+    made_up = lacking.where(F.col("n") + F.least("of_a", "of_b") >= NEED).select("a", "b")
+    bundles = connected_components(pairs.where(F.col("n") >= NEED).select("a", "b").union(made_up).union(ties))
+
     # the first eight bytes of the key, as the tasks read them: little-endian and signed
     member = F.conv(F.concat(*[F.substring(F.hex("key"), 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")
     classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("member", member)
-    small = classes.groupBy("member").agg(F.min("n").alias("n"))
-    # pairs of small sets need one occurrence only; `few` bounds the sizes for which that holds
-    few = int((den / num) ** (size_class(40, num, den) + 2)) + 1
-    sure = pairs.where("tie or n >= 4")
-    rare = pairs.where("not tie and n < 4").join(small.where(F.col("n") < few).select(F.col("member").alias("a")), "a", "left_semi")
-    bundles = connected_components(sure.select("a", "b").union(rare.select("a", "b")))
-
-    chosen = classes.join(bundles, classes["member"] == bundles["node"]).select("rep", "member", "key", "n", "root")
-    size = chosen.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"))
-    chosen = chosen.join(size, "root").select("rep", "member", "root", "blocks", F.expr("pmod(xxhash64(key), blocks)").cast("int").alias("mine"))
-    rows = text.where("doc_id is not null").join(chosen, text["doc_id"] == chosen["rep"]).select("text", "member", "root", "blocks", "mine")
-    # block i meets block j in group (i, j), i <= j
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "text", "member", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    links = stored(dealt.groupBy("root", "i", "j").applyInPandas(_compared(width, num, den), "a binary, b binary"), "united")
+    chosen = stored(classes.join(bundles, classes["member"] == bundles["node"]).select("rep", "member", "key", "n", "root"), "chosen")
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
+    size = chosen.groupBy("root").agg(blocks().alias("blocks"), F.count("*").alias("sets")).where("sets > 1")
+    chosen = chosen.join(size, "root")
+    # a bundle of one block is one group (class -1); others have blocks for each size class
+    kind = F.when(F.col("blocks") == 1, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")).cast("long")
+    chosen = chosen.select("rep", "member", "key", "n", "root", kind.alias("p"))
+    each = chosen.groupBy("root", "p").agg(blocks().alias("blocks"))
+    near = [each.select("root", (F.col("p") + F.lit(by)).alias("p"), F.col("blocks").alias(name)) for by, name in ((-1, "above"), (1, "below"))]
+    each = each.join(near[0].where("p >= 0"), ["root", "p"], "left").join(near[1].where("p > 0"), ["root", "p"], "left")
+    chosen = chosen.join(each, ["root", "p"]).withColumn("mine", F.expr("pmod(xxhash64(key), blocks)").cast("int"))
+    rows = text.where("doc_id is not null").join(chosen, text["doc_id"] == chosen["rep"])
+    # block i meets block j, i <= j, of its class (2 p), and each block of the class above (2 p + 1)
+    deal = """concat(
+        transform(sequence(0, blocks - 1), x -> named_struct('c', 2 * p, 'i', least(mine, x), 'j', greatest(mine, x), 'side', if(mine <= x, 0, 1))),
+        transform(sequence(0, coalesce(above, 0)), x -> if(x < above, named_struct('c', 2 * p + 1, 'i', mine, 'j', x, 'side', 0), null)),
+        transform(sequence(0, coalesce(below, 0)), x -> if(x < below, named_struct('c', 2 * p - 1, 'i', x, 'j', mine, 'side', 1), null)))"""
+    dealt = rows.select("text", "member", "root", F.explode(F.filter(F.expr(deal), lambda x: x.isNotNull())).alias("d")).select("text", "member", "root", "d.*")
+    links = stored(dealt.groupBy("root", "c", "i", "j").applyInPandas(_compared(width, num, den), "a binary, b binary"), "united")
     united = connected_components(links)
 
     rep = classes.select("key", "rep")
