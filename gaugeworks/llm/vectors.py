@@ -16,10 +16,10 @@ from gaugeworks.llm.components import connected_components
 
 #: Bound of the sample that centroids are fitted on. Every vector is indexed.
 SAMPLE = 16_384
-#: Lists that a vector looks into, subspaces, and centroids of each subspace.
-PROBES, SUBSPACES, CODES = 8, 8, 64
-#: Vectors of a list that one task compares with as many others.
-BLOCK = 2048
+#: Subspaces, and centroids of each.
+SUBSPACES, CODES = 8, 64
+#: Vectors of a block of lists, the most and the least; one task compares two blocks.
+BLOCK, LEAST_BLOCK = 16_384, 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -48,14 +48,26 @@ def nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Coarse centroids and, for residuals, a codebook for each subspace."""
 
-    def __init__(self, sample: np.ndarray, n_lists: int, probes: int, subspaces: int, codes: int) -> None:
+    def __init__(self, sample: np.ndarray, n_lists: int, subspaces: int, codes: int) -> None:
         self.dim = sample.shape[1]
         self.coarse = kmeans(sample, n_lists)
-        self.probes = min(probes, len(self.coarse))
+        self.apart = np.sqrt(np.maximum(self._squares(self.coarse), 0))
         self.cuts = np.linspace(0, self.dim, min(subspaces, self.dim) + 1).astype(int)
         rest = sample - self.coarse[nearest(sample, self.coarse, 1)[:, 0]]
         self.books = [kmeans(rest[:, a:b], codes) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
+    def _squares(self, x: np.ndarray) -> np.ndarray:
+        return (x**2).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse**2).sum(1)[None]
+
+    def reached(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+        """[vector, list]: whether the list can hold a vector within the radius.
+
+        Vectors of the list lie beyond the plane midway between its centroid and that of the vector's own list, so by the triangle
+        inequality the vector is no farther from that plane than the radius.
+        """
+        d = self._squares(x)
+        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * self.apart[own] + 1e-9
+
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and how far each is from what its codes stand for."""
         parts = list(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True))
@@ -73,10 +85,13 @@ class Index:
         return out
 
 
-ROWS = "list long, role int, id long, weight long, code binary, error double, vector binary"
+ROWS = "list long, id long, weight long, code binary, error double, vector binary"
+TILED = f"low long, high long, own long, {ROWS}"
 
 
 def _assigned(shared):
+    """Each vector once: its list, code, error of the code, and itself at length 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         names = [x.split()[0] for x in ROWS.split(", ")]
@@ -90,45 +105,91 @@ def _assigned(shared):
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 n = len(at)
-                blob = [v.tobytes() for v in x]
                 if index is None or dim != index.dim:
-                    lists, code, error = np.full((n, 1), -int(dim)), None, np.zeros(n)
+                    own, code, error = np.full(n, -int(dim)), None, np.zeros(n)
                 else:
-                    lists = nearest(x, index.coarse, index.probes)
-                    code, error = index.encode(x - index.coarse[lists[:, 0]])
-                probe = lists.reshape(-1)
-                who = np.repeat(np.arange(n), lists.shape[1])
+                    own = nearest(x, index.coarse, 1)[:, 0]
+                    code, error = index.encode(x - index.coarse[own])
                 codes = pa.array([c.tobytes() for c in code], pa.binary()) if code is not None else pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists[:, 0], pa.int64()), pa.array([0] * n, pa.int32()), pa.array(ids[at], pa.int64()), pa.array(weights[at], pa.int64()), codes, pa.array(error, pa.float64()), pa.array(blob, pa.binary())], names
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(probe, pa.int64()), pa.array([1] * len(who), pa.int32()), pa.array(ids[at][who], pa.int64()), pa.array(weights[at][who], pa.int64()), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.float64()), pa.array([blob[i] for i in who], pa.binary())],
-                    names,
-                )
+                columns = [pa.array(own, pa.int64()), pa.array(ids[at], pa.int64()), pa.array(weights[at], pa.int64()), codes, pa.array(error, pa.float64()), pa.array([v.tobytes() for v in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def _blocks(sizes: dict[int, int], index: Index, block: int) -> dict[int, tuple[int, int]]:
+    """Of each list its first block and in how many its vectors are dealt; near lists share blocks of `block` vectors, longer ones have several."""
+    mine = [k for k in sizes if k >= 0]
+    zone = nearest(index.coarse, kmeans(index.coarse, max(1, sum(sizes[k] for k in mine) // block)), 1)[:, 0] if mine else []
+    out, at, held = {}, 0, 0
+    for k in [*sorted(mine, key=lambda k: (zone[k], k)), *sorted(k for k in sizes if k < 0)]:
+        if held and (k < 0 or held + sizes[k] > block):
+            at, held = at + 1, 0
+        parts = -(-sizes[k] // block)
+        out[k] = (at, parts)
+        at, held = (at + parts, 0) if parts > 1 or k < 0 else (at, held + sizes[k])
+    return out
+
+
+def _tiled(shared, placed: dict[int, tuple[int, int]], radius: float):
+    """Each vector for every pair of blocks of which one is its own and the other can hold a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        first = np.array([placed.get(k, (0, 0))[0] for k in range(len(index.coarse))])
+        parts = np.array([placed.get(k, (0, 0))[1] for k in range(len(index.coarse))])
+        held = np.repeat(np.arange(len(first)), parts)
+        block = np.repeat(first, parts) + np.concatenate([np.arange(p) for p in parts])
+        holds = np.zeros((len(first), int(block.max()) + 1 if len(block) else 1), np.float32)
+        holds[held, block.astype(int)] = 1
+        for b in batches:
+            lists, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            own = np.array([placed[k][0] + (i * 0x9E3779B1 >> 16) % placed[k][1] for k, i in zip(lists.tolist(), ids.tolist(), strict=True)], np.int64)
+            who, other = [], []
+            at = np.flatnonzero(lists >= 0)
+            for i in range(0, len(at), 1024):
+                part = at[i : i + 1024]
+                x = np.frombuffer(b"".join(b.column(5).take(pa.array(part)).to_pylist()), np.float64).reshape(len(part), -1)
+                r, c = np.nonzero(index.reached(x, lists[part], radius).astype(np.float32) @ holds)
+                who.append(part[r])
+                other.append(c)
+            for i in np.flatnonzero(lists < 0):
+                k, n = placed[int(lists[i])]
+                who.append(np.full(n, i))
+                other.append(np.arange(k, k + n))
+            w, o = (np.concatenate(v).astype(np.int64) for v in (who, other))
+            for i in range(0, len(w), 8192):
+                v, t = w[i : i + 8192], o[i : i + 8192]
+                rows = b.take(pa.array(v))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[v], t)), pa.array(np.maximum(own[v], t)), pa.array(own[v]), *rows.columns], [c.split()[0] for c in TILED.split(", ")])
 
     return run
 
 
 def _matched(shared, least: float):
-    """Of one block of a list: for each query the vectors that it links with, and each linked vector's root in the block."""
+    """Of two blocks, or one with itself: for each vector the weight of those that it links with, and each linked vector's root here.
+
+    A pair of vectors meets in one pair of blocks only, so that it counts once, for both.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         index: Index = shared.value
         empty = pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-        m, q = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if not len(m) or not len(q):
+        low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+        pdf = pdf.sort_values(["list", "id"], kind="stable")
+        place = np.arange(len(pdf))
+        own, lists, id_, weight = (pdf[c].to_numpy() for c in ("own", "list", "id", "weight"))
+        asking, asked = place[own == low], place[own == high]
+        if not len(asking) or not len(asked):
             return empty
-        which = int(pdf["list"].iloc[0])
-        dim = -which if which < 0 else index.dim
-        members = np.frombuffer(b"".join(m["vector"]), np.float64).reshape(-1, dim)
-        queries = np.frombuffer(b"".join(q["vector"]), np.float64).reshape(-1, dim)
-        mid, qid, weight = m["id"].to_numpy(), q["id"].to_numpy(), m["weight"].to_numpy()
-        code = np.frombuffer(b"".join(m["code"]), np.uint8).reshape(len(m), -1) if which >= 0 else None
-        bound = math.sqrt(2 - 2 * least) + m["error"].to_numpy() + 1e-9
-        count = np.zeros(len(qid), np.int64)
-        ids = np.unique(np.concatenate([mid, qid]))
-        mpos, qpos = np.searchsorted(ids, mid), np.searchsorted(ids, qid)
+        dim = -int(lists[0]) if lists[0] < 0 else index.dim
+        x = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(-1, dim)
+        radius = math.sqrt(2 - 2 * least)
+        bound = radius + pdf["error"].to_numpy() + 1e-9
+        if lists[0] >= 0:
+            code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
+        count = np.zeros(len(pdf), np.int64)
+        ids, pos = np.unique(id_, return_inverse=True)
         parent = np.arange(len(ids))
 
         def find(v: int) -> int:
@@ -137,34 +198,47 @@ def _matched(shared, least: float):
                 v = parent[v]
             return v
 
-        for i in range(0, len(qid), 256):
-            part = queries[i : i + 256]
-            near = index.distances(part - index.coarse[which], code) <= bound[None] ** 2 if which >= 0 else np.ones((len(part), len(mid)), bool)
-            near &= qid[i : i + 256, None] != mid[None]
-            rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-            if not len(rows):
-                continue
-            linked = (part[rows] @ members[cols].T >= least) & near[np.ix_(rows, cols)]
-            count[i + rows] += linked @ weight[cols]
-            for r, hit in zip(rows, linked, strict=True):
-                for c in np.unique([find(x) for x in mpos[cols[hit]]]):
-                    a, b = sorted((find(c), find(qpos[i + r])))
-                    parent[b] = a
+        for i in range(0, len(asking), 1024):
+            q = asking[i : i + 1024]
+            reached = index.reached(x[q], lists[q], radius) if lists[0] >= 0 else None
+            for members in np.split(asked, np.flatnonzero(np.diff(lists[asked])) + 1):
+                for j in range(0, len(members), 2048):
+                    m = members[j : j + 2048]
+                    if reached is None:
+                        a, near = q, np.ones((len(q), len(m)), bool)
+                    else:
+                        which = int(lists[m[0]])
+                        a = q[reached[:, which]]
+                        near = index.distances(x[a] - index.coarse[which], code[m]) <= bound[m][None] ** 2
+                    if low == high:
+                        near &= a[:, None] < m[None]
+                    near &= id_[a][:, None] != id_[m][None]
+                    rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                    if not len(rows):
+                        continue
+                    linked = (x[a[rows]] @ x[m[cols]].T >= least) & near[np.ix_(rows, cols)]
+                    count[a[rows]] += linked @ weight[m[cols]]
+                    count[m[cols]] += weight[a[rows]] @ linked
+                    for r, hit in zip(a[rows], linked, strict=True):
+                        for c in {find(v) for v in np.unique(pos[m[cols[hit]]])}:
+                            lower, upper = sorted((find(c), find(pos[r])))
+                            parent[upper] = lower
         root = np.array([find(v) for v in range(len(ids))])
         moved = np.flatnonzero(root != np.arange(len(ids)))
         hit = np.flatnonzero(count)
-        return pd.DataFrame({"id": np.concatenate([qid[hit], ids[moved]]), "n": np.concatenate([count[hit], np.zeros(len(moved), np.int64)]), "root": np.concatenate([qid[hit], ids[root[moved]]])})
+        return pd.DataFrame({"id": np.concatenate([id_[hit], ids[moved]]), "n": np.concatenate([count[hit], np.zeros(len(moved), np.int64)]), "root": np.concatenate([id_[hit], ids[root[moved]]])})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES, lists: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, lists: int | None = None, sample: int = SAMPLE, block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors` (vec_id, embedding).
 
     Pairs link whose cosine is `least` or more. Null or zero vectors, and those with null or non-finite components, link with
     nothing; so do rows without vec_id, whose component_id and kept are null. Equal vectors are one class from the start. Vectors of
     another length than most are compared only with their like, in one list without codes. Rows that share a vec_id are one node.
-    The table-lookup distance is held against the bound plus the code's own error, so within the probed lists no link is lost.
+    A vector looks into every list that can hold a partner by the triangle inequality, and the table-lookup distance is held against
+    the bound plus the code's own error, so no link is lost. Without clusters nearly all lists are looked into, and work grows with the square.
     An empty table gives none.
     """
     spark = vectors.sparkSession
@@ -181,19 +255,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES, l
         x = np.array(drawn["x"].tolist(), np.float64)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        index = Index(x, lists or max(1, min(total // 128, sample // 16)), probes, SUBSPACES, CODES)
+        index = Index(x, lists or max(1, min(total // 128, sample // 16)), SUBSPACES, CODES)
     shared = spark.sparkContext.broadcast(index)
-    dealt = classes.select("id", "weight", "x").mapInArrow(_assigned(shared), ROWS)
-    dealt = stored(dealt, "lists")
-    # two numbers for each list, and lists are bounded by the sample
-    sizes = dealt.groupBy("list").agg(F.count(F.when(F.col("role") == 0, 1)).alias("m"), F.count(F.when(F.col("role") == 1, 1)).alias("q"))
-    sizes = sizes.select("list", F.greatest(F.lit(1), F.ceil(F.col("m") / block)).alias("mb"), F.greatest(F.lit(1), F.ceil(F.col("q") / block)).alias("qb"))
-    dealt = dealt.join(F.broadcast(sizes), "list")
-    own = F.when(F.col("role") == 0, F.pmod(F.hash("id"), F.col("mb"))).otherwise(F.pmod(F.hash("id"), F.col("qb")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, F.col("qb")).otherwise(F.col("mb")) - 1))
-    dealt = dealt.withColumn("own", own).withColumn("other", other)
-    mb, qb = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own"))
-    blocks = dealt.select("list", mb.alias("mb"), qb.alias("qb"), "role", "id", "weight", "code", "error", "vector").groupBy("list", "mb", "qb")
+    assigned = stored(classes.select("id", "weight", "x").mapInArrow(_assigned(shared), ROWS), "lists")
+    # one number for each list, and lists are bounded by the sample
+    sizes = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}
+    placed = _blocks(sizes, index, block or min(BLOCK, max(LEAST_BLOCK, total // 8)))
+    tiles = assigned.mapInArrow(_tiled(shared, placed, math.sqrt(2 - 2 * least)), TILED) if placed else spark.createDataFrame([], TILED)
+    blocks = tiles.groupBy("low", "high")
     found = stored(blocks.applyInPandas(_matched(shared, least), "id long, n long, root long"), "linked")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("id <> root"), "id", "root")

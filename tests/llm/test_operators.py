@@ -327,3 +327,19 @@ def test_vectors(spark):
         assert [got[i]["n_links"] for i in (400, 401, 402, 403, 404, 405, 406)] == [0, 0, 0, 0, 1, 1, 0] and got[405]["component_id"] == 404
         assert got[205]["component_id"] == got[0]["component_id"] and got[None]["component_id"] is None
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 64))
+    x[1000:] = x[:1000] + rng.normal(size=(1000, 64)) * 0.46
+    x[1990:] = x[0] + rng.normal(size=(10, 64)) * 0.2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    for a, b in zip(*np.nonzero(link), strict=True):
+        root[root == max(root[a], root[b])] = min(root[a], root[b])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    for more in ({"lists": 100}, {"lists": 100, "block": 150}, {"lists": 3, "block": 150}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, **more).collect()}
+        assert [got[i] for i in range(len(x))] == [(int(link[i].sum()), int(root[i])) for i in range(len(x))]
