@@ -74,28 +74,36 @@ def shape(token: str) -> np.ndarray:
     )
 
 
-def _forms(token: str) -> list[str]:
-    """By what tokens are the same or similar: the whole form, a long run of digits, the part before an at sign."""
+def _forms(token: str, known: frozenset[str] = frozenset()) -> list[str]:
+    """By what tokens are the same or similar: the whole form, a long run of digits, the part before an at sign.
+
+    A whole form needs a digit and five characters, unless it is one of the `known` forms.
+    """
     low = token.strip(_EDGE).lower()
     out = []
     digits = "".join(c for c in low if "0" <= c <= "9")
     if len(digits) >= 7:
         out.append("d" + digits)
-    if "@" in low:
-        low = low.split("@")[0]
-    if len(low) >= 5 and any("0" <= c <= "9" for c in low):
-        out.append("w" + low)
+    local, at, _ = low.partition("@")
+    if local and (at or "w" + local in known or (len(local) >= 5 and any("0" <= c <= "9" for c in local))):
+        out.append("w" + local)
     return out
 
 
+def forms_of(text: str, base: list[Span]) -> frozenset[str]:
+    """The forms of base spans."""
+    return frozenset(f for _, a, b in base for f in _forms(text[a:b]))
+
+
 def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[int]]:
-    """Base spans, and tokens outside of them that carry a digit or an at sign: places, base labels (0: none), numbers among all tokens."""
+    """Base spans, and tokens outside of them that carry a digit or an at sign, or have the form of a base span: places, base labels (0: none), numbers among all tokens."""
     found = [(a, b, kind + 1) for kind, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
+    known = forms_of(text, base)
     starts, k = [], 0
     for m in _TOKEN.finditer(text):
         starts.append(m.start())
-        if "@" in m[0] or _DIGIT.search(m[0]):
+        if "@" in m[0] or _DIGIT.search(m[0]) or (known and "w" + m[0].strip(_EDGE).lower() in known):
             a, b = m.span()
             while a < b - 1 and text[a] in _EDGE:
                 a += 1
@@ -110,13 +118,13 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
     return [(a, b) for a, b, _ in found], np.array([x for _, _, x in found], int), numbers
 
 
-def links(text: str, places: list[tuple[int, int]], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def links(text: str, places: list[tuple[int, int]], numbers: list[int], known: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes: (neighbours, successive ones of one form). As many as nodes, not as pairs of equal ones."""
     near = [(i, i + 1) for i in range(len(places) - 1) if numbers[i + 1] == numbers[i] + 1]
     seen: dict[str, int] = {}
     far = []
     for i, (a, b) in enumerate(places):
-        for form in _forms(text[a:b]):
+        for form in _forms(text[a:b], known):
             if form in seen and seen[form] != i:
                 far.append((seen[form], i))
             seen[form] = i
@@ -132,10 +140,11 @@ class Field:
         x, y = [np.zeros((0, len(shape("x"))))], [np.zeros(0, int)]
         near, far = np.ones((k, k)), np.ones((k, k))
         for t in texts:
-            places, label, numbers = nodes(t, base_spans(t))
+            base = base_spans(t)
+            places, label, numbers = nodes(t, base)
             x += [shape(t[a:b])[None] for a, b in places]
             y.append(label)
-            for table, pairs in zip((near, far), links(t, places, numbers), strict=True):
+            for table, pairs in zip((near, far), links(t, places, numbers, forms_of(t, base)), strict=True):
                 for a, b in pairs:
                     table[label[a], label[b]] += 1
                     table[label[b], label[a]] += 1
@@ -183,7 +192,7 @@ class Field:
         if not base:
             return base
         places, label, numbers = nodes(text, base)
-        near, far = links(text, places, numbers)
+        near, far = links(text, places, numbers, forms_of(text, base))
         if not len(far) or not (label == 0).any():
             return base
         tied = np.zeros(len(places), bool)

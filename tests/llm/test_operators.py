@@ -343,3 +343,16 @@ def test_vectors_lose_no_link(spark):
     for more in ({"lists": 100}, {"lists": 100, "block": 150}, {"lists": 3, "block": 150}):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, **more).collect()}
         assert [got[i] for i in range(len(x))] == [(int(link[i].sum()), int(root[i])) for i in range(len(x))]
+
+
+def added(text, field):
+    base = pii.base_spans(text)
+    return [(pii.KINDS[k], text[a:b]) for k, a, b in field.spans(text, base) if (k, a, b) not in base]
+
+
+def test_personal_data_of_letters(spark):
+    field = pii.fit_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for again in ("jane.doe", "jane.doe@localhost", "jane.doe@example"):
+        assert added(f"Write to jane.doe@example.com soon, or find {again} there.", field) == [("email", again)]
+    assert added("Write to jane.doe@example.com soon, or find john.roe there.", field) == []
+    assert added("Write to bob@example.com soon, or find Bob@localhost there.", field) == [("email", "Bob@localhost")]
