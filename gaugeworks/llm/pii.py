@@ -3,7 +3,7 @@
 Patterns give the base spans. In documents that have some, tokens form a field over the labels none, email, ip, card
 and phone. Base spans are evidence. Unary potentials are a softmax model of token shapes, fitted to base labels in a bounded sample.
 Neighbours, and each two successive tokens with the same or a similar form, however far apart, share
-pair potentials; loopy sum-product message passing gives beliefs. Tokens without a base span join the result if their belief in a label is
+pair potentials; so does each token with the nearest base span of its form. Loopy sum-product message passing gives beliefs. Tokens without a base span join the result if their belief in a label is
 BELIEF or more and a skip link ties them to a base span.
 """
 
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ _FIND = {k: re.compile(p) for k, p in PATTERNS.items()}
 _DIGIT, _TOKEN, _EDGE = re.compile("[0-9]"), re.compile(r"[^\x20\x09-\x0D]+"), "\"'()[]{}<>,.;:!?"
 #: Bound of the sample for fitting: passages, and characters of each.
 TEXTS, CHARACTERS = 256, 4000
-BELIEF, ROUNDS, DAMPING = 0.8, 12, 0.5
+BELIEF, DAMPING = 0.8, 0.5
+#: Messages have settled when none changes by more. Loops need not settle; this many rounds end them.
+SETTLED, ROUNDS = 1e-4, 1000
 #: A shape alone speaks against a label by so much at most, in logarithms, so that a linked token can outweigh it.
 LEAST = -1.5
 Span = tuple[int, int, int]
@@ -118,16 +122,25 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
     return [(a, b) for a, b, _ in found], np.array([x for _, _, x in found], int), numbers
 
 
-def links(text: str, places: list[tuple[int, int]], numbers: list[int], known: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes: (neighbours, successive ones of one form). As many as nodes, not as pairs of equal ones."""
+def links(text: str, places: list[tuple[int, int]], numbers: list[int], known: frozenset[str] = frozenset(), label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes: (neighbours, successive ones of one form). As many as nodes, not as pairs of equal ones.
+
+    With labels, each node without one is also linked to the nearest base span of its form, so that evidence reaches any number of repeats.
+    """
     near = [(i, i + 1) for i in range(len(places) - 1) if numbers[i + 1] == numbers[i] + 1]
-    seen: dict[str, int] = {}
-    far = []
+    of: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(places):
         for form in _forms(text[a:b], known):
-            if form in seen and seen[form] != i:
-                far.append((seen[form], i))
-            seen[form] = i
+            of.setdefault(form, []).append(i)
+    far = [pair for same in of.values() for pair in pairwise(same)]
+    if label is not None:
+        for same in of.values():
+            base = [i for i in same if label[i] > 0]
+            for i in same if base else []:
+                if label[i] == 0:
+                    k = bisect(base, i)
+                    to = min(base[max(k - 1, 0) : k + 1], key=lambda j: abs(numbers[j] - numbers[i]))
+                    far.append((min(i, to), max(i, to)))
     as_array = lambda x: np.array(sorted(set(x)), int).reshape(-1, 2)
     return as_array(near), as_array(far)
 
@@ -165,7 +178,7 @@ class Field:
         k = self.weights.shape[1]
         unary = shapes @ self.weights
         unary = np.maximum(unary - unary.max(1, keepdims=True), LEAST)
-        unary[label > 0] = -20.0
+        unary[label > 0] = -1e6  # no number of repeats outvotes a base span
         unary[np.flatnonzero(label > 0), label[label > 0]] = 0.0
         pairs = np.concatenate([near, far])
         if len(pairs):
@@ -182,7 +195,10 @@ class Field:
                 top = out.max(1)
                 out = top + np.log(np.exp(out - top[:, None]).sum(1))
                 out -= out.max(1, keepdims=True)
+                change = np.abs(out - message).max()
                 message = DAMPING * message + (1 - DAMPING) * out
+                if change <= SETTLED:
+                    break
             np.add.at(unary, target, message)
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -192,15 +208,12 @@ class Field:
         if not base:
             return base
         places, label, numbers = nodes(text, base)
-        near, far = links(text, places, numbers, forms_of(text, base))
+        near, far = links(text, places, numbers, forms_of(text, base), label)
         if not len(far) or not (label == 0).any():
             return base
-        tied = np.zeros(len(places), bool)
-        group = np.arange(len(places))
-        for a, b in far:  # in order of places, so that evidence runs along a chain
-            group[b] = group[a]
-        for a in np.flatnonzero(label > 0):
-            tied[group == group[a]] = True
+        tied = label > 0
+        while not tied[ends := far[tied[far].any(1)]].all():
+            tied[ends] = True
         p = self.beliefs(np.array([shape(text[a:b]) for a, b in places]), label, near, far)
         best = p.argmax(1)
         more = [(int(best[i]) - 1, *places[i]) for i in np.flatnonzero(tied & (label == 0) & (best > 0) & (p.max(1) >= BELIEF))]

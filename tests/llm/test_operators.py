@@ -356,3 +356,12 @@ def test_personal_data_of_letters(spark):
         assert added(f"Write to jane.doe@example.com soon, or find {again} there.", field) == [("email", again)]
     assert added("Write to jane.doe@example.com soon, or find john.roe there.", field) == []
     assert added("Write to bob@example.com soon, or find Bob@localhost there.", field) == [("email", "Bob@localhost")]
+
+
+@pytest.mark.parametrize("times", [3, 20, 200])
+def test_personal_data_repeated(spark, times):
+    field = pii.fit_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for again in ("jane.doe7", "jane.doe7@localhost", "15550102030"):
+        text = f"Write to jane.doe7@example.com or call +1 (555) 010-2030 soon. {f'Then find {again} there. ' * times}"
+        assert [t for _, t in added(text, field)] == [again] * times
+    assert added("Write to jane.doe7@example.com soon. " + "Then find john.roe8 there. " * times, field) == []
