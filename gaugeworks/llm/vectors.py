@@ -77,12 +77,12 @@ class Index:
 
     def distances(self, query: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Squared distances of residual queries to what codes stand for, summed from one table for each subspace."""
-        out = np.zeros((len(query), len(code)))
+        out = np.zeros((len(code), len(query)))
         for i, (a, b, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)):
             q = query[:, a:b]
-            table = (q**2).sum(1)[:, None] - 2 * q @ book.T + (book**2).sum(1)[None]
-            out += table[:, code[:, i]]
-        return out
+            table = (book**2).sum(1)[:, None] - 2 * book @ q.T + (q**2).sum(1)[None]
+            out += table[code[:, i]]
+        return out.T
 
 
 ROWS = "list long, id long, weight long, code binary, error double, vector binary"
