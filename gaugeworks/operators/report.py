@@ -25,12 +25,21 @@ def column_blocks(columns: DataFrame) -> DataFrame:
 
 
 def wide_grid(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """A row for each characteristic and block, verdicts in columns s1..s6; cells that are missing are null here."""
+    """A row for each characteristic and block, verdicts in columns s1..s6; cells that are missing are null here, and rows without a result are absent: see whole_grid."""
     at = columns.select("project_id", "sample_id", "block", ((F.col("index") - 1) % BLOCK + 1).cast("int").alias("i"))
     wide = cells.join(at, ["project_id", "sample_id"]).groupBy("project_id", "char_id", "block").pivot("i", list(range(1, BLOCK + 1))).agg(F.first("verdict"))
     return wide.select("project_id", "char_id", "block", *[F.col(str(i)).alias(f"s{i}") for i in range(1, BLOCK + 1)])
 
 
+def whole_grid(cells: DataFrame, columns: DataFrame, characteristics: DataFrame) -> DataFrame:
+    """A row for each measured characteristic and each block of its project, results or not. Cells without a result are missing;
+    columns after the last sample are null, and so is the one block of a project without samples."""
+    rows = characteristics.select("project_id", "char_id").join(column_blocks(columns), "project_id", "left").withColumn("block", F.coalesce("block", F.lit(0)))
+    rows = rows.join(wide_grid(cells, columns), ["project_id", "char_id", "block"], "left")
+    sample = lambda i: F.when(F.col("first_index") + i - 1 <= F.col("last_index"), F.coalesce(f"s{i}", F.lit("missing"))).alias(f"s{i}")
+    return rows.select("project_id", "char_id", "block", *[sample(i) for i in range(1, BLOCK + 1)])
+
+
 def check_sheet(characteristics: DataFrame, blanks: int) -> DataFrame:
     """Rows with 1 to 10 blank columns, nothing measured, all groups open."""
     n = max(1, min(10, blanks))

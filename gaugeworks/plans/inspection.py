@@ -307,6 +307,9 @@ _WIDE = ", ".join(f"max(verdict) FILTER ((pos - 1) % 6 = {i}) AS s{i + 1}" for i
 query("r4_wide_grid", f"WITH {CTE} SELECT project_id, char_id, CAST((pos - 1) // 6 AS INT) AS block, {_WIDE} FROM dense WHERE verdict <> 'missing' GROUP BY 1, 2, 3")(
     lambda s, sf: report.wide_grid(evaluate.judged(base.characteristics(s, sf), base.results(s, sf)), _columns(s, sf))
 )
+query("r4_whole_grid", f"WITH {CTE} SELECT project_id, char_id, CAST((pos - 1) // 6 AS INT) AS block, {_WIDE} FROM dense GROUP BY 1, 2, 3")(
+    lambda s, sf: report.whole_grid(evaluate.judged(base.characteristics(s, sf), base.results(s, sf)), _columns(s, sf), evaluate.measured(base.characteristics(s, sf)))
+)
 
 
 @query("e15_sheet_kinds", "WITH p AS (SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS t, len(regexp_extract_all(html, '<img')) AS i FROM pages) SELECT page_id, CASE WHEN t >= 10 THEN 'vector_text' WHEN i > 0 THEN 'raster' ELSE 'outlined' END AS sheet_kind FROM p")

@@ -171,3 +171,12 @@ def test_orphans_and_conflicts(spark):
     res = spark.createDataFrame([(1, 1, 1), (1, 2, 9), (1, 8, 1)], "project_id int, sample_id int, char_id int")
     chars, samples = spark.createDataFrame([(1, 1)], "project_id int, char_id int"), spark.createDataFrame([(1, 1), (1, 2)], "project_id int, sample_id int")
     assert sorted(r["reason"] for r in evaluate.orphans(res, chars, samples).collect()) == ["unknown_characteristic", "unknown_sample"]
+
+
+def test_whole_grid(spark):
+    cells = spark.createDataFrame([(1, 10, 2, "pass"), (1, 17, 2, "fail")], "project_id int, sample_id int, char_id int, verdict string")
+    columns = spark.createDataFrame([(1, 10 + i, i + 1, i // 6) for i in range(8)], "project_id int, sample_id int, index int, block int")
+    chars = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "project_id int, char_id int")
+    none, m = (None,) * 6, "missing"
+    want = [(1, 2, 0, "pass", m, m, m, m, m), (1, 2, 1, m, "fail", None, None, None, None), (1, 3, 0, m, m, m, m, m, m), (1, 3, 1, m, m, None, None, None, None), (4, 5, 0, *none)]
+    assert sorted(values(report.whole_grid(cells, columns, chars)), key=lambda r: r[:3]) == want
