@@ -23,11 +23,18 @@ def with_before(changes: DataFrame, entity: str, value: str, order: str) -> Data
     return changes.withColumn("before", F.lag(value).over(Window.partitionBy(entity).orderBy(order)))
 
 
-def broken_projects(changes: DataFrame, entity: str) -> DataFrame:
-    """H3: projects whose log does not fit together: a `before` that is not the `after` of the change before. All their entries are refused."""
+def broken_projects(changes: DataFrame, entity: str, snapshot: DataFrame | None = None) -> DataFrame:
+    """H3: projects whose log does not fit together: a `before` that is not the `after` of the change before. All their entries are refused.
+
+    The first `before` of an entity has to be its `after` in the snapshot that the log starts from, null where it is absent; without
+    a snapshot the log starts from nothing.
+    """
     w = Window.partitionBy("project_id", entity).orderBy("seq")
-    bad = (F.row_number().over(w) > 1) & ~F.lag("after").over(w).eqNullSafe(F.col("before"))
-    return changes.withColumn("bad", bad).groupBy("project_id").agg(F.bool_or("bad").alias("broken"))
+    rows = changes.withColumn("was", F.lit(None))
+    if snapshot is not None:
+        rows = changes.join(snapshot.select("project_id", entity, F.col("after").alias("was")), ["project_id", entity], "left")
+    state = F.when(F.row_number().over(w) == 1, F.col("was")).otherwise(F.lag("after").over(w))
+    return rows.withColumn("bad", ~state.eqNullSafe(F.col("before"))).groupBy("project_id").agg(F.bool_or("bad").alias("broken"))
 
 
 def entity_history(changes: DataFrame, entity: str) -> DataFrame:

@@ -267,6 +267,17 @@ def current_state(spark: SparkSession, sf: str) -> DataFrame:
 query("h3_replay_integrity", f"WITH {_EV} SELECT project_id, false AS broken FROM ev GROUP BY 1")(lambda s, sf: history.broken_projects(_changes(s, sf), "cell"))
 
 
+@query(
+    "h3_broken_logs",
+    f"WITH {_EV}, b AS (SELECT *, lag(value) OVER (PARTITION BY project_id, cell ORDER BY event_id) AS was FROM ev), n AS (SELECT project_id, cell, arg_max(value, event_id) AS kept FROM ev WHERE event_id % 40 <> 7 AND event_id < 300 GROUP BY 1, 2), l AS (SELECT b.project_id, CASE WHEN event_id % 1997 = 301 THEN NULL ELSE was END AS before, CASE WHEN row_number() OVER w = 1 THEN kept ELSE lag(value) OVER w END AS state FROM b LEFT JOIN n USING (project_id, cell) WHERE event_id >= 300 WINDOW w AS (PARTITION BY b.project_id, b.cell ORDER BY event_id)) SELECT project_id, bool_or(before IS DISTINCT FROM state) AS broken FROM l GROUP BY 1",
+)
+def broken_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The log from entry 300 on; the snapshot before it lost every 40th entry, and every 1997th entry its `before`."""
+    changes = _changes(spark, sf)
+    kept = changes.where("entry_no % 40 <> 7 and entry_no < 300").groupBy("project_id", "cell").agg(F.max_by("after", "entry_no").alias("after"))
+    return history.broken_projects(changes.where("entry_no >= 300").withColumn("before", F.when(F.col("entry_no") % 1997 != 301, F.col("before"))), "cell", kept)
+
+
 @query(
     "h7_changed_since_issue",
     f"WITH {_EV}, i AS (SELECT project_id, max(event_id) AS issued FROM ev WHERE event_id % 10 = 0 GROUP BY 1), b AS (SELECT *, lag(value) OVER (PARTITION BY project_id, cell ORDER BY event_id) AS before FROM ev), l AS (SELECT b.* FROM b JOIN i USING (project_id) WHERE event_id > issued), e AS (SELECT project_id, cell, arg_min(struct_pack(v := before), event_id).v AS at_issue, arg_max(value, event_id) AS now FROM l GROUP BY 1, 2) SELECT * FROM e WHERE at_issue IS DISTINCT FROM now",

@@ -180,3 +180,11 @@ def test_whole_grid(spark):
     none, m = (None,) * 6, "missing"
     want = [(1, 2, 0, "pass", m, m, m, m, m), (1, 2, 1, m, "fail", None, None, None, None), (1, 3, 0, m, m, m, m, m, m), (1, 3, 1, m, m, None, None, None, None), (4, 5, 0, *none)]
     assert sorted(values(report.whole_grid(cells, columns, chars)), key=lambda r: r[:3]) == want
+
+
+def test_first_change_fits_the_snapshot(spark):
+    rows = [(1, "a", 1, "7", "8"), (1, "a", 2, "8", None), (2, "a", 1, "6", "8"), (3, "a", 1, None, "8"), (4, "b", 1, None, "1"), (5, "b", 1, "0", "1")]
+    ch = spark.createDataFrame(rows, "project_id int, entity string, seq int, before string, after string")
+    snap = spark.createDataFrame([(1, "a", "7"), (2, "a", "7"), (3, "a", "7")], "project_id int, entity string, after string")
+    assert {r["project_id"]: r["broken"] for r in history.broken_projects(ch, "entity", snap).collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+    assert {r["project_id"]: r["broken"] for r in history.broken_projects(ch, "entity").collect()} == {1: True, 2: True, 3: False, 4: False, 5: True}
