@@ -34,6 +34,10 @@ def _codes(text: str) -> np.ndarray:
     return c[keep]
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text) and bool((_codes(text) != 32).any())
+
+
 def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
     """Transitions of the automaton of all substrings, as one row of `width` next states for each state; -1: none."""
     step: list[dict[int, int]] = [{}]
@@ -191,7 +195,7 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` in which a language is found: texts that are null or without letters go."""
+    """The rows of `docs` in which a language is found: texts that are null or without letters go, and no others, even if nothing was learned."""
     model = fit_languages(docs.select(F.col("text").cast("string"), F.col("lang").cast("string")))
     spark = docs.sparkSession
     ship(spark)
@@ -202,7 +206,8 @@ def known_language(docs: DataFrame) -> DataFrame:
         for b in batches:
             column = b.column(b.schema.get_field_index("text")).cast(pa.string())
             for first in range(0, b.num_rows, 200):
-                names, _ = languages.predict(column.slice(first, 200).to_pylist())
-                yield b.slice(first, 200).filter(pa.array([n != "und" for n in names]))
+                texts = column.slice(first, 200).to_pylist()
+                keep = [n != "und" for n in languages.predict(texts)[0]] if languages.names else [lettered(t) for t in texts]
+                yield b.slice(first, 200).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -365,3 +365,10 @@ def test_personal_data_repeated(spark, times):
         text = f"Write to jane.doe7@example.com or call +1 (555) 010-2030 soon. {f'Then find {again} there. ' * times}"
         assert [t for _, t in added(text, field)] == [again] * times
     assert added("Write to jane.doe7@example.com soon. " + "Then find john.roe8 there. " * times, field) == []
+
+
+def test_language_unlabelled(docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    ids = lambda d: sorted(r["doc_id"] for r in langid.known_language(d).collect())
+    assert ids(bare) == ids(docs) != []
+    assert langid.known_language(bare).where("doc_id in (100, 101, 104)").count() == 0
