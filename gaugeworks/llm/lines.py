@@ -1,7 +1,7 @@
 """Operator 4: line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 The edit distance counts words put in, left out or changed; the bound is 1 for lines of WORDS_FOR_EDITS words
-and more, 0 for shorter ones. A line goes if an earlier one (by doc_id, then place in the text) is within the bound of it.
+and more. Shorter ones have to be equal as they are written, blanks and carriage returns included. A line goes if an earlier one (by doc_id, then place in the text) is within the bound of it.
 """
 
 from __future__ import annotations
