@@ -15,11 +15,18 @@ from gaugeworks.llm.common import ship, stored
 from gaugeworks.llm.components import connected_components
 
 #: Bound of the sample that centroids are fitted on. Every vector is indexed.
-SAMPLE = 16_384
+SAMPLE = 65_536
+#: Vectors of a list, and sampled vectors for each centroid (lists are at most a sixteenth of SAMPLE).
+PER_LIST, PER_CENTROID = 128, 40
+#: How far a vector looks beyond its own list, in standard deviations of the way to a partner at the least cosine. The way is as
+#: long as the radius; of one that points anywhere, the part across a given plane has the deviation radius / sqrt(dimension).
+REACH = 3.2
 #: Subspaces, and centroids of each.
 SUBSPACES, CODES = 8, 64
 #: Vectors of a block of lists, the most and the least; one task compares two blocks.
 BLOCK, LEAST_BLOCK = 16_384, 2048
+#: Vectors that look into a list together.
+ASKING = 8192
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -59,14 +66,17 @@ class Index:
     def _squares(self, x: np.ndarray) -> np.ndarray:
         return (x**2).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse**2).sum(1)[None]
 
-    def reached(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
-        """[vector, list]: whether the list can hold a vector within the radius.
+    def reached(self, x: np.ndarray, own: np.ndarray, radius: float, of: np.ndarray | None = None) -> np.ndarray:
+        """[vector, list]: whether the list (all, or those numbered `of`) is within the radius.
 
         Vectors of the list lie beyond the plane midway between its centroid and that of the vector's own list, so by the triangle
-        inequality the vector is no farther from that plane than the radius.
+        inequality a vector within the radius of one of them is no farther from that plane than the radius.
         """
-        d = self._squares(x)
-        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * self.apart[own] + 1e-9
+        of = np.arange(len(self.coarse)) if of is None else of
+        c = self.coarse[of]
+        d = (c**2).sum(1)[None] - 2 * x @ c.T
+        mine = (self.coarse**2).sum(1)[own] - 2 * (x * self.coarse[own]).sum(1)
+        return d - mine[:, None] <= 2 * radius * self.apart[np.ix_(own, of)] + 1e-9
 
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and how far each is from what its codes stand for."""
@@ -77,10 +87,10 @@ class Index:
 
     def distances(self, query: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Squared distances of residual queries to what codes stand for, summed from one table for each subspace."""
-        out = np.zeros((len(code), len(query)))
+        out = np.zeros((len(code), len(query)), np.float32)
         for i, (a, b, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)):
             q = query[:, a:b]
-            table = (book**2).sum(1)[:, None] - 2 * book @ q.T + (q**2).sum(1)[None]
+            table = ((book**2).sum(1)[:, None] - 2 * book @ q.T + (q**2).sum(1)[None]).astype(np.float32)
             out += table[code[:, i]]
         return out.T
 
@@ -131,7 +141,7 @@ def _blocks(sizes: dict[int, int], index: Index, block: int) -> dict[int, tuple[
     return out
 
 
-def _tiled(shared, placed: dict[int, tuple[int, int]], radius: float):
+def _tiled(shared, placed: dict[int, tuple[int, int]], reach: float):
     """Each vector for every pair of blocks of which one is its own and the other can hold a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +160,7 @@ def _tiled(shared, placed: dict[int, tuple[int, int]], radius: float):
             for i in range(0, len(at), 1024):
                 part = at[i : i + 1024]
                 x = np.frombuffer(b"".join(b.column(5).take(pa.array(part)).to_pylist()), np.float64).reshape(len(part), -1)
-                r, c = np.nonzero(index.reached(x, lists[part], radius).astype(np.float32) @ holds)
+                r, c = np.nonzero(index.reached(x, lists[part], reach).astype(np.float32) @ holds)
                 who.append(part[r])
                 other.append(c)
             for i in np.flatnonzero(lists < 0):
@@ -166,7 +176,7 @@ def _tiled(shared, placed: dict[int, tuple[int, int]], radius: float):
     return run
 
 
-def _matched(shared, least: float):
+def _matched(shared, least: float, reach: float):
     """Of two blocks, or one with itself: for each vector the weight of those that it links with, and each linked vector's root here.
 
     A pair of vectors meets in one pair of blocks only, so that it counts once, for both.
@@ -185,9 +195,12 @@ def _matched(shared, least: float):
         dim = -int(lists[0]) if lists[0] < 0 else index.dim
         x = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(-1, dim)
         radius = math.sqrt(2 - 2 * least)
-        bound = radius + pdf["error"].to_numpy() + 1e-9
-        if lists[0] >= 0:
+        # the table sums single floats: 1e-4 is far above their rounding
+        bound = (radius + pdf["error"].to_numpy() + 1e-9) ** 2 + 1e-4
+        coded = lists[0] >= 0
+        if coded:
             code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
+            held = np.unique(lists[asked])
         count = np.zeros(len(pdf), np.int64)
         ids, pos = np.unique(id_, return_inverse=True)
         parent = np.arange(len(ids))
@@ -198,29 +211,27 @@ def _matched(shared, least: float):
                 v = parent[v]
             return v
 
-        for i in range(0, len(asking), 1024):
-            q = asking[i : i + 1024]
-            reached = index.reached(x[q], lists[q], radius) if lists[0] >= 0 else None
-            for members in np.split(asked, np.flatnonzero(np.diff(lists[asked])) + 1):
-                for j in range(0, len(members), 2048):
-                    m = members[j : j + 2048]
-                    if reached is None:
-                        a, near = q, np.ones((len(q), len(m)), bool)
-                    else:
-                        which = int(lists[m[0]])
-                        a = q[reached[:, which]]
-                        near = index.distances(x[a] - index.coarse[which], code[m]) <= bound[m][None] ** 2
-                    if low == high:
-                        near &= a[:, None] < m[None]
-                    near &= id_[a][:, None] != id_[m][None]
+        runs = np.split(asked, np.flatnonzero(np.diff(lists[asked])) + 1)
+        for i in range(0, len(asking), ASKING):
+            q = asking[i : i + ASKING]
+            near_lists = index.reached(x[q], lists[q], reach, held) if coded else None
+            for which, run_ in enumerate(runs):
+                a = q[near_lists[:, which]] if coded else q
+                rest = x[a] - index.coarse[held[which]] if coded else None
+                for j in range(0, len(run_) if len(a) else 0, 1024):
+                    m = run_[j : j + 1024]
+                    near = index.distances(rest, code[m]) <= bound[m][None] if coded else np.ones((len(a), len(m)), bool)
                     rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
                     if not len(rows):
                         continue
-                    linked = (x[a[rows]] @ x[m[cols]].T >= least) & near[np.ix_(rows, cols)]
-                    count[a[rows]] += linked @ weight[m[cols]]
-                    count[m[cols]] += weight[a[rows]] @ linked
-                    for r, hit in zip(a[rows], linked, strict=True):
-                        for c in {find(v) for v in np.unique(pos[m[cols[hit]]])}:
+                    f, g = a[rows], m[cols]
+                    linked = (x[f] @ x[g].T >= least) & near[np.ix_(rows, cols)] & (id_[f][:, None] != id_[g][None])
+                    if low == high:
+                        linked &= f[:, None] < g[None]
+                    count[f] += linked @ weight[g]
+                    count[g] += weight[f] @ linked
+                    for r, hit in zip(f, linked, strict=True):
+                        for c in {find(v) for v in np.unique(pos[g[hit]])}:
                             lower, upper = sorted((find(c), find(pos[r])))
                             parent[upper] = lower
         root = np.array([find(v) for v in range(len(ids))])
@@ -231,45 +242,48 @@ def _matched(shared, least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, lists: int | None = None, sample: int = SAMPLE, block: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, lists: int | None = None, sample: int = SAMPLE, block: int | None = None, reach: float | None = REACH) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors` (vec_id, embedding).
 
     Pairs link whose cosine is `least` or more. Null or zero vectors, and those with null or non-finite components, link with
     nothing; so do rows without vec_id, whose component_id and kept are null. Equal vectors are one class from the start. Vectors of
     another length than most are compared only with their like, in one list without codes. Rows that share a vec_id are one node.
-    A vector looks into every list that can hold a partner by the triangle inequality, and the table-lookup distance is held against
-    the bound plus the code's own error, so no link is lost. Without clusters nearly all lists are looked into, and work grows with the square.
+    A vector looks into the lists within `reach` deviations (see REACH); the number of lists grows with the rows up to a sixteenth of
+    `sample`. The exact way is `reach` None: every list that can hold a partner by the triangle inequality, where no link is lost, but
+    without clusters nearly all lists are looked into and work grows with the square. Up to reach ** 2 dimensions both are the same.
+    The table-lookup distance is held against the bound plus the code's own error, so a list that is looked into loses no link.
     An empty table gives none.
     """
     spark = vectors.sparkSession
     ship(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     good = F.coalesce(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0), F.lit(False))
-    rows = v.withColumn("x", F.when(good, F.col("x")))
-    classes = stored(rows.where("x is not null and vec_id is not null").groupBy("x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vectors")
+    rows = v.withColumn("x", F.when(good & F.col("vec_id").isNotNull(), F.col("x")))
+    classes = stored(rows.where("x is not null").groupBy("x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vectors")
     total = classes.count()
     dims = classes.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    index = None
+    index, radius = None, math.sqrt(max(0.0, 2 - 2 * least))
     if dims:
-        drawn = classes.where(F.size("x") == dims[0]["d"]).orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toPandas()
+        n_lists = lists or max(1, min(total // PER_LIST, sample // 16))
+        drawn = classes.where(F.size("x") == dims[0]["d"]).orderBy(F.xxhash64("id"), "id").limit(min(sample, max(2048, PER_CENTROID * n_lists))).select("x").toPandas()
         x = np.array(drawn["x"].tolist(), np.float64)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        index = Index(x, lists or max(1, min(total // 128, sample // 16)), SUBSPACES, CODES)
+        index = Index(x, n_lists, SUBSPACES, CODES)
+    far = radius * min(1.0, reach / math.sqrt(index.dim)) if index and reach is not None else radius
     shared = spark.sparkContext.broadcast(index)
     assigned = stored(classes.select("id", "weight", "x").mapInArrow(_assigned(shared), ROWS), "lists")
     # one number for each list, and lists are bounded by the sample
     sizes = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}
     placed = _blocks(sizes, index, block or min(BLOCK, max(LEAST_BLOCK, total // 8)))
-    tiles = assigned.mapInArrow(_tiled(shared, placed, math.sqrt(2 - 2 * least)), TILED) if placed else spark.createDataFrame([], TILED)
-    blocks = tiles.groupBy("low", "high")
-    found = stored(blocks.applyInPandas(_matched(shared, least), "id long, n long, root long"), "linked")
+    tiles = assigned.mapInArrow(_tiled(shared, placed, far), TILED) if placed else spark.createDataFrame([], TILED)
+    found = stored(tiles.groupBy("low", "high").applyInPandas(_matched(shared, least, far), "id long, n long, root long"), "linked")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("id <> root"), "id", "root")
     low = roots.groupBy("root").agg(F.min("node").alias("low"))
     placed = roots.join(low, "root").select(F.col("node").alias("id"), "low")
     of = classes.join(counts, "id", "left").join(placed, "id", "left").select("x", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("low", "id").alias("low"))
-    out = rows.join(of, "x", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("low", "vec_id"))
-    links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
-    return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    # vectors that link with nothing need no join, whose key they would all share
+    out = rows.where("x is not null").join(of, "x").select("vec_id", "n_links", F.col("low").alias("component_id"))
+    out = out.union(rows.where("x is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -372,3 +372,18 @@ def test_language_unlabelled(docs):
     ids = lambda d: sorted(r["doc_id"] for r in langid.known_language(d).collect())
     assert ids(bare) == ids(docs) != []
     assert langid.known_language(bare).where("doc_id in (100, 101, 104)").count() == 0
+
+
+def test_vectors_of_many_lists(spark):
+    """Recall by default where only few of many lists are looked into, and the exact way."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9000, 64))
+    x[6000:] = x[:3000] + rng.normal(size=(3000, 64)) * np.where(rng.random((3000, 1)) < 0.5, 0.455, 0.3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = np.zeros(len(x), int)
+    for i in range(0, len(x), 1000):
+        link[i : i + 1000] = (u[i : i + 1000] @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    for reach, least in ((vectors.REACH, 0.99), (None, 1.0)):
+        got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, lists=500, reach=reach).collect()}
+        assert all(got[i] <= n for i, n in enumerate(link)) and sum(got.values()) >= least * link.sum() > 3000
