@@ -22,6 +22,8 @@ LENGTH = 1024
 PIECE = 128
 #: Windows that are balanced together, and the share of them that is filled.
 WINDOWS, FILL = 32, 0.995
+#: Buckets that texts are dealt to, at most, and about how many rows are in one.
+BUCKETS, ROWS = 65_536, 4096
 _CODERS: dict[str, Coder] = {}
 
 
@@ -174,36 +176,62 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, pie
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(path or tokenizer_path(), capacity, piece), PIECES)
 
 
-def _sequences(path: str, length: int):
+def id_type(path: str) -> np.dtype:
+    """What a token id is stored as: two bytes, or four where the vocabulary is larger."""
+    return np.dtype("<u2" if coder(path).exact.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def _streamed(path: str, kind: np.dtype):
+    """Of each row its bucket, digest, doc_id and ids, which end in id 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        part, local = TaskContext.get().partitionId(), 0
-        rest = np.zeros(0, np.uint16)
+        names = ["bucket", "digest", "doc_id", "ids"]
+        for b in batches:
+            first, held, blobs = 0, 0, []
+            for i, text in enumerate(b.column(3)):
+                blobs.append(np.append(code.ids(text.as_py()), np.uint32(0)).astype(kind).tobytes())
+                held += len(blobs[-1])
+                if held > 1 << 20 or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, len(blobs)) for c in range(3)), pa.array(blobs, pa.binary())], names)
+                    first, held, blobs = i + 1, 0, []
+
+    return run
 
-        def made(ids: np.ndarray, tokens: list[int]) -> pa.RecordBatch:
+
+def _sequences(length: int, kind: np.dtype):
+    """Sequences of each bucket's stream of ids; the rows of a bucket come together and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride = length * kind.itemsize
+        bucket, local, rest = None, 0, b""
+        rows: list[tuple[int, int, int, bytes]] = []
+
+        def cut(data: bytes, last: bool) -> bytes:
             nonlocal local
-            n = len(tokens)
-            blob = [ids[i * length : (i + 1) * length].tobytes() for i in range(n)]
-            local += n
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(local - n, local), pa.int64()), pa.array(tokens, pa.int32()), pa.array(blob, pa.binary())], ["part", "local", "n_tokens", "ids"]
-            )
+            for at in range(0, len(data), stride):
+                piece = data[at : at + stride]
+                if len(piece) < stride and not last:
+                    return piece
+                rows.append((bucket, local, len(piece) // kind.itemsize, piece.ljust(stride, b"\0")))
+                local += 1
+            return b""
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "local", "n_tokens", "ids"])
 
         for b in batches:
-            for first in range(0, b.num_rows, 500):
-                ids = [rest]
-                for text in b.column(0).slice(first, 500):
-                    got = code.ids(text.as_py())
-                    if len(got) and int(got.max()) > 65535:
-                        raise ValueError("ids over 65535 do not fit two bytes")
-                    ids += [got.astype("<u2"), np.zeros(1, "<u2")]
-                stream = np.concatenate(ids)
-                n = len(stream) // length
-                rest = stream[n * length :]
-                if n:
-                    yield made(stream, [length] * n)
-        if len(rest):
-            yield made(np.concatenate([rest, np.zeros(length - len(rest), "<u2")]), [len(rest)])
+            for of, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if of != bucket:
+                    cut(rest, True)
+                    bucket, local, rest = of, 0, b""
+                rest = cut(rest + ids.as_py(), False)
+                if len(rows) >= 1024:
+                    yield flush()
+        cut(rest, True)
+        yield flush()
 
     return run
 
@@ -239,7 +267,7 @@ def _slots(key: int):
 SHARDS = "shard long, first_slot long, n_sequences long, length long, stride_bytes long, n_tokens long, payload_crc32 long, payload binary"
 
 
-def _shards(length: int, per_shard: int):
+def _shards(length: int, per_shard: int, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: list[int] = []
         tokens, blobs = 0, []
@@ -249,7 +277,7 @@ def _shards(length: int, per_shard: int):
             if slots != list(range(slots[0], slots[0] + len(slots))):
                 raise ValueError(f"slots of shard {slots[0] // per_shard} are not in sequence")
             payload = b"".join(blobs)
-            row = (slots[0] // per_shard, slots[0], len(slots), length, 2 * length, tokens, zlib.crc32(payload), payload)
+            row = (slots[0] // per_shard, slots[0], len(slots), length, stride, tokens, zlib.crc32(payload), payload)
             slots, tokens, blobs = [], 0, []
             return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], [x.split()[0] for x in SHARDS.split(", ")])
 
@@ -266,24 +294,40 @@ def _shards(length: int, per_shard: int):
     return run
 
 
-def training_shards(docs: DataFrame, key: int = 20240607, path: str | None = None, length: int = LENGTH, per_shard: int = 1024) -> DataFrame:
-    """Shards of two-byte token ids in training order: one row each, sequence s of a shard at byte s * stride_bytes of its payload.
+def streams(docs: DataFrame, rows: int) -> DataFrame:
+    """bucket, digest, doc_id, text: in what order texts are read, whatever the splits of the input.
 
-    Texts are read into a stream of ids, each text ended by id 0 (null and empty texts are that id alone), and cut into sequences;
-    a task's last one is filled up with id 0, and n_tokens tells how many ids count. Sequences are numbered densely by
-    task and place, and a keyed Feistel permutation with cycle-walking gives each number its slot. Shards are
-    range partitions of the slots. An empty table gives none; repeated rows and null doc_ids are texts like others.
+    A row's digest deals it to one of at most BUCKETS buckets, about `rows` to each; within one, digests and doc_ids give the order.
+    """
+    text = F.col("text").cast("string")
+    digest = F.xxhash64(F.col("doc_id").cast("long"), text)
+    n = min(BUCKETS, max(1, docs.count() // rows))
+    return docs.select(F.pmod(digest, F.lit(n)).cast("int").alias("bucket"), digest.alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+
+def training_shards(docs: DataFrame, key: int = 20240607, path: str | None = None, length: int = LENGTH, per_shard: int = 1024, rows: int = ROWS) -> DataFrame:
+    """Shards of token ids in training order: one row each, sequence s of a shard at byte s * stride_bytes of its payload.
+
+    Each text is its ids and id 0 (null and empty texts are that id alone). Texts are read bucket by bucket, see streams(), and a
+    bucket's stream is cut into sequences; its last one is filled up with id 0, and n_tokens tells how many ids count. Sequences are
+    numbered densely by bucket and place, and a keyed Feistel permutation with cycle-walking gives each number its slot. Shards are
+    range partitions of the slots. Ids take two bytes, or four where the vocabulary is larger. The same rows give the same shards,
+    however they are split. An empty table gives none; repeated rows and null doc_ids are texts like others.
     """
     spark = docs.sparkSession
     ship(spark)
-    made = stored(docs.select(F.col("text").cast("string")).mapInArrow(_sequences(path or tokenizer_path(), length), "part int, local long, n_tokens int, ids binary"), "sequences")
-    # one row for each task that read texts: a few bytes each, whatever the texts' size
-    parts = made.groupBy("part").agg(F.count("*").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    placed = made.join(F.broadcast(parts), "part").select((F.col("base") + F.col("local")).alias("index"), "all", "n_tokens", "ids")
+    path = path or tokenizer_path()
+    kind = id_type(path)
+    read = streams(docs, rows).mapInArrow(_streamed(path, kind), "bucket int, digest long, doc_id long, ids binary")
+    ordered = read.repartition("bucket").sortWithinPartitions("bucket", "digest", "doc_id").select("bucket", "ids")
+    made = stored(ordered.mapInArrow(_sequences(length, kind), "bucket int, local long, n_tokens int, ids binary"), "sequences")
+    # BUCKETS rows at most
+    parts = made.groupBy("bucket").agg(F.count("*").alias("n"))
+    parts = parts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    placed = made.join(F.broadcast(parts), "bucket").select((F.col("base") + F.col("local")).alias("index"), "all", "n_tokens", "ids")
     slots = placed.mapInArrow(_slots(key), "slot long, n_tokens int, ids binary").withColumn("shard", F.expr(f"slot div {per_shard}"))
     dealt = slots.repartitionByRange("shard").sortWithinPartitions("slot").select("slot", "n_tokens", "ids")
-    return dealt.mapInArrow(_shards(length, per_shard), SHARDS)
+    return dealt.mapInArrow(_shards(length, per_shard, length * kind.itemsize), SHARDS)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
@@ -291,6 +335,14 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
     training_shards(docs, **options).write.parquet(path)
 
 
+def write_files(shards: DataFrame, path: str) -> None:
+    """Writes the payload of each shard as a file of its own, `path`/shard=N/part-*: sequence s at byte s * stride_bytes.
+
+    A reader seeks to where it left off. The writer ends each file with one more byte, a newline.
+    """
+    shards.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(path)
+
+
 def sequences_from(shards: DataFrame, first_slot: int = 0) -> DataFrame:
     """slot and ids (bytes) of the sequences from a slot on: where a run was interrupted, reading goes on. Earlier shards are not read."""
     left = shards.where(F.col("first_slot") + F.col("n_sequences") > first_slot)
