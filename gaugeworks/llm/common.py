@@ -33,11 +33,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own, in local mode alone: a cluster has to name its folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="gaugeworks-checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     elif not spark.sparkContext.getCheckpointDir():
@@ -50,6 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     What the write shuffled is not needed afterwards, so Spark is asked to remove those files when it ends.
     """
+    return stored_at(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of stored_at() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As stored(), with the table's path, for removed()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
@@ -58,7 +71,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def lists(spark: SparkSession, least: int = 512) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored
+from gaugeworks.llm.common import removed, stored, stored_at
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     factor too. Nulls and self links are ignored. An empty link table gives an empty result.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    pairs = stored(pairs.distinct(), "links")
+    pairs, path = stored_at(pairs.distinct(), "links")
     hops: list[DataFrame] = []
     turn = 0
     while not pairs.isEmpty():
@@ -29,8 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         left = hop.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = hop.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = pairs.join(left, "a").join(right, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        pairs = stored(moved.where("a <> b").distinct(), "links")
-        turn += 1
+        pairs, fresh = stored_at(moved.where("a <> b").distinct(), "links")
+        removed(pairs.sparkSession, path)
+        path, turn = fresh, turn + 1
     if not hops:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = hops[-1].select("node", F.col("to").alias("root"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import stored
@@ -34,13 +34,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("skey", "source_size", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"), "weight")
 
 
-def curriculum(docs: DataFrame, seed: str = "mix") -> DataFrame:
+def curriculum(docs: DataFrame, seed: str = "mix", tag: Column | None = None) -> DataFrame:
     """Each row of `docs` with size, source_size, target, and positions: an array of a training time in [0, 1] for each time it is taken.
 
     A source's documents stand in the order of a keyed digest, three times over; a copy is taken if its middle word is
     before the target. Its position is where the integral of the source's weight schedule, weight * (1 + slope * (2t - 1)),
     has used up the words before its middle. Running sums go over digest prefixes first, then within one, so no task holds a source.
-    The same rows give the same result. Null text has size 0; a null source is a source; repeated
+    The same rows give the same result. `tag` is returned too and orders rows that are alike otherwise. Null text has size 0; a null source is a source; repeated
     rows are taken one by one. Rows that tie in every column are alike. An empty table gives none.
     """
     spark = docs.sparkSession
@@ -50,7 +50,7 @@ def curriculum(docs: DataFrame, seed: str = "mix") -> DataFrame:
     base = stored(
         docs.select(
             F.col("doc_id"), F.col("source"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws(" ", F.lit(seed), F.col("doc_id"))).alias("h"), F.xxhash64(text).alias("th"),
+            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws(" ", F.lit(seed), F.col("doc_id"))).alias("h"), F.xxhash64(text).alias("th"), (F.lit(0) if tag is None else tag).alias("tag"),
         ).withColumn("bucket", F.substring("h", 1, digits)),
         "sizes",
     )
@@ -58,7 +58,7 @@ def curriculum(docs: DataFrame, seed: str = "mix") -> DataFrame:
     part = base.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
     part = part.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     part = part.join(targets, "skey").select("skey", "bucket", "ahead", "source_size", "target", "weight")
-    inside = Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id"), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id"), "size", "th", "tag").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(part, ["skey", "bucket"])
     rows = rows.withColumn("slope", F.element_at(F.create_map(*[F.lit(x) for kv in SLOPES.items() for x in kv]), F.col("weight")))
 
@@ -69,7 +69,7 @@ def curriculum(docs: DataFrame, seed: str = "mix") -> DataFrame:
         return F.when(middle < F.col("target"), t)
 
     rows = rows.withColumn("positions", F.array_compact(F.array(*[at(e) for e in range(REPEATS)])))
-    return rows.select("doc_id", "source", "th", "size", "source_size", "target", "positions")
+    return rows.select("doc_id", "source", "th", "tag", "size", "source_size", "target", "positions")
 
 
 def mixed_sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -80,14 +80,20 @@ def mixed_sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, range-sorted by training position."""
-    at = curriculum(docs, seed).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_th"), "positions")
-    at = at.groupBy("_d", "_s", "_th").agg(F.flatten(F.collect_list("positions")).alias("_positions"), F.count("*").alias("_rows")).where(F.size("_positions") > 0)
-    rows = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.dropDuplicates(["doc_id", "source", "_h"])
-    joined = rows.join(at, rows["doc_id"].eqNullSafe(at["_d"]) & rows["source"].eqNullSafe(at["_s"]) & (rows["_h"] == at["_th"]))
-    out = joined.withColumn("_position", F.explode("_positions"))
-    return out.orderBy("_position", "_d").select(*[rows[c] for c in docs.columns])
+    """The rows of `docs`, each as often as the mix takes it, range-sorted by training position.
+
+    Rows are told apart by digests (128 bits) of all their columns, whatever their names; rows alike in all of them share out their positions.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    # hashes pass over nulls, so where these are is hashed too
+    tag = F.concat_ws(" ", *[F.xxhash64(F.lit(i), *hashed, *[c.isNull() for c in hashed]) for i in range(2)])
+    at = curriculum(docs, seed, tag).where(F.size("positions") > 0).groupBy("tag").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("rows"))
+    joined = docs.select(row.alias("row"), tag.alias("tag")).join(at, "tag")
+    # the join has brought rows that are alike together: each is numbered, and takes each `rows`-th position
+    number = F.row_number().over(Window.partitionBy("tag").orderBy("tag")) - 1
+    dealt = joined.withColumn("number", number).select("row", "rows", "number", F.posexplode("positions").alias("k", "position")).where(F.col("k") % F.col("rows") == F.col("number"))
+    return dealt.orderBy("position", "row.doc_id").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = f"""

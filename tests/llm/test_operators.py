@@ -387,3 +387,85 @@ def test_vectors_of_many_lists(spark):
     for reach, least in ((vectors.REACH, 0.99), (None, 1.0)):
         got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, lists=500, reach=reach).collect()}
         assert all(got[i] <= n for i, n in enumerate(link)) and sum(got.values()) >= least * link.sum() > 3000
+
+
+def test_shards_hold_the_streams_in_training_order(docs, tmp_path):
+    """Sequence i of the streams, read in plain Python, lies at slot f(i): by rows, by files that a reader seeks in, however the input is split."""
+    code, length, per = tokens.coder(tokens.tokenizer_path()), 64, 8
+    rows = sorted((tuple(r) for r in tokens.streams(docs, 10).collect()), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
+    want = []
+    for bucket in sorted({r[0] for r in rows}):
+        stream = [i for r in rows if r[0] == bucket for i in [*code.exact.encode(r[3] or "", add_special_tokens=False).ids, 0]]
+        stream += [0] * (-len(stream) % length)
+        want += [np.array(stream[i : i + length], "<u2").tobytes() for i in range(0, len(stream), length)]
+    assert len({r[0] for r in rows}) > 3
+    slots = tokens.feistel(np.arange(len(want)), len(want), 5).tolist()
+    at = dict(zip(slots, want, strict=True))
+    for n, given in enumerate((docs, docs.repartition(7).orderBy(F.desc("doc_id")))):
+        shards = tokens.training_shards(given, key=5, length=length, per_shard=per, rows=10)
+        got = {r["slot"]: bytes(r["ids"]) for r in tokens.sequences_from(shards).collect()}
+        assert got == at
+        tokens.write_files(shards, str(tmp_path / f"f{n}"))
+        for slot in (0, 9, len(want) - 1):
+            (file,) = (tmp_path / f"f{n}" / f"shard={slot // per}").glob("part-*")
+            with file.open("rb") as f:
+                f.seek(slot % per * length * 2)
+                assert f.read(length * 2) == at[slot]
+
+
+def test_mixed_documents_keep_every_column(spark):
+    rows = [(1, "a b", "en", "s", 1, "x"), (1, "a b", "de", "s", 2, "y"), (2, "c " * 40, None, "t", 3, "z"), (2, "c " * 40, "t", None, 3, "z"), (3, None, "en", "s", 0, "x"), (4, "d d d", "en", "s", 0, "u"), (4, "d d d", "en", "s", 0, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _h string")
+    for c in ("_position", "_positions", "_rows", "_d", "_s", "_th", "tag", "row", "rows", "number", "k", "position", "positions", "size"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("_h")))
+    taken, got = {}, {}
+    for r in mixing.curriculum(docs, tag=F.col("_h")).collect():
+        taken[r["tag"]] = taken.get(r["tag"], 0) + len(r["positions"])
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert r in docs.collect()
+        got[r["_h"]] = got.get(r["_h"], 0) + 1
+    assert {k: n for k, n in taken.items() if n} == got
+
+
+def test_phrases_are_longest_matches_throughout():
+    """Brute force over stretches, in four languages and a script whose alphabet outgrows the table."""
+    rng = random.Random(4)
+    letters = {"a": "abcde ", "b": "aeiou mn", "c": "".join(map(chr, range(0x4E00, 0x4E00 + 3000))), "d": "xyz"}
+    said = {n: ["".join(rng.choice(ls) for _ in range(400)) for _ in range(4)] for n, ls in letters.items()}
+    model = langid.Languages(said)
+    cells, langid.CELLS = langid.CELLS, 1 << 16
+    try:
+        tried = ["", "漢字", said["a"][0], said["c"][0] + said["c"][1], "".join(said["a"]) * 2]
+        for _ in range(25):
+            parts = [rng.choice(said[rng.choice("abcd")]) for _ in range(rng.randint(1, 8))]
+            tried.append("".join(p[(i := rng.randrange(300)) : i + rng.choice([3, 60, 399])] for p in parts) + rng.choice(["", "q", "漢"]))
+        got = model.phrases([model.symbols(t) for t in tried])
+        assert any(x.table is None for x in model.languages) and any(x.table is not None for x in model.languages)
+    finally:
+        langid.CELLS = cells
+    for k, n in enumerate(model.names):
+        known = "".join("".join(map(chr, langid._codes(t))) + " " for t in said[n])
+        for t, row in zip(tried, got, strict=True):
+            s, want, i = "".join(map(chr, langid._codes(t))), 0, 0
+            while i < len(s):
+                j = i + 1
+                while j < len(s) and s[i : j + 1] in known:
+                    j += 1
+                want, i = want + 1, j
+            assert row[k] == want
+    whole = said["a"][0].strip()
+    assert model.phrases([model.symbols(whole)])[0, 0] == 1
+
+
+def test_known_language_goes_by_the_parse(spark):
+    rng = random.Random(5)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    junk = [(10**9 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(800)), None, "j", 0) for i in range(5)]
+    junk += [(10**9 + 9, "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(100)), None, "j", 0)]
+    short = [(2 * 10**9, "漢字", None, "j", 0), (2 * 10**9 + 1, "x", None, "j", 0)]
+    got = {r[0] for r in langid.known_language(d.union(spark.createDataFrame(junk + short, d.schema))).select("doc_id").collect()}
+    assert got == {r[0] for r in d.select("doc_id").collect()} | {s[0] for s in short}
+    chinese = d.limit(20).union(spark.createDataFrame([(1, junk[-1][1], "zh", "j", 0), (2, junk[-1][1][:60], None, "j", 0)], d.schema))
+    assert {1, 2} <= {r[0] for r in langid.known_language(chinese).select("doc_id").collect()}
