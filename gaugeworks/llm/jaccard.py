@@ -41,6 +41,8 @@ SHORT = 32
 BLOCK = 16384
 #: Shingles of a block; what a task holds is bounded by twice this, or by its longest two texts.
 SHINGLES = 1_000_000
+#: Shingles whose postings share a bucket; a posting stands for four shingles and more.
+SHINGLES_OF_BUCKET = 2_000_000
 #: Occurrences that pairs need, but for small sets.
 NEED = 4
 #: DivideSkip's tuning constant.
@@ -245,7 +247,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(text.mapInArrow(_sets(width), "doc_id long, n_shingles long, key binary"), "sets")
 
-    buckets = lists(spark)
+    # so that what a bucket holds stays within bounds as the texts grow
+    held = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(lists(spark), -(-held // SHINGLES_OF_BUCKET))
     posted = text.select("text").mapInArrow(_posted(width, num, den, buckets), "bucket int, packed binary")
     merged = stored(posted.groupBy("bucket").applyInPandas(_merged(short), "a long, b long, n long"), "merged")
     pairs = merged.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -261,7 +265,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     # the first eight bytes of the key, as the tasks read them: little-endian and signed
     member = F.conv(F.concat(*[F.substring(F.hex("key"), 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")
-    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("member", member)
+    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")).withColumn("member", member)
     chosen = stored(classes.join(bundles, classes["member"] == bundles["node"]).select("rep", "member", "key", "n", "root"), "chosen")
     blocks = lambda: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
     size = chosen.groupBy("root").agg(blocks().alias("blocks"), F.count("*").alias("sets")).where("sets > 1")
@@ -286,5 +290,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rep = classes.select("key", "rep")
     end = united.join(rep, united["node"] == rep["key"]).groupBy("root").agg(F.min("rep").alias("low"))
     placed = united.join(end, "root").select(F.col("node").alias("key"), "low")
-    reps = rep.join(placed, "key", "left").select("key", F.coalesce("low", "rep").alias("component_id"))
-    return sets.join(reps, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # of classes that have one document and no link, the document is its own component: only the others are looked up, rows without a set not at all.
+    # Written, so that the rows of a large class can be split over tasks
+    copied = classes.where("copies > 1").select("key", "rep")
+    reps = copied.join(placed, "key", "full").select("key", F.coalesce("low", "rep").alias("component_id"))
+    reps = stored(reps, "components")
+    linked = sets.where("key is not null and doc_id is not null").join(reps, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.union(sets.where("key is null or doc_id is null").select("doc_id", "n_shingles", "doc_id"))
