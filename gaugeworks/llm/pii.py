@@ -1,10 +1,10 @@
 """Operator 10: personal data, by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans. In documents that have some, tokens form a field over the labels none, email, ip, card
-and phone. Base spans are evidence. Unary potentials are a softmax model of token shapes, fitted to base labels in a bounded sample.
-Neighbours, and each two successive tokens with the same or a similar form, however far apart, share
-pair potentials; so does each token with the nearest base span of its form. Loopy sum-product message passing gives beliefs. Tokens without a base span join the result if their belief in a label is
-BELIEF or more and a skip link ties them to a base span.
+Patterns give the base spans. All tokens of a document form a field over the labels none, email, ip, card and phone, with base
+spans as evidence. Neighbours share pair potentials, and so do each two successive tokens with the same or a similar form, however far apart,
+and each token with the nearest base span of its form. Potentials of token shapes and of pairs are learned together, by pseudo-likelihood, from
+the base labels of a bounded sample. Loopy sum-product message passing gives beliefs. Tokens without a base span join the result if their belief
+in a label is BELIEF or more and skip links tie them to a base span; a document without base spans has nothing that could tie one, so its field is not run.
 """
 
 from __future__ import annotations
@@ -30,11 +30,15 @@ PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_FIND = {k: re.compile(p) for k, p in PATTERNS.items()}
+# A match of digits and points that fails at a run's first digit fails at its others too: they are not tried, as a run can be very long
+_FIND = {k: re.compile(("(?<![0-9])" if k == "ip" else "") + p) for k, p in PATTERNS.items()}
+_DOMAIN, _LOCAL = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT, _TOKEN, _EDGE = re.compile("[0-9]"), re.compile(r"[^\x20\x09-\x0D]+"), "\"'()[]{}<>,.;:!?"
 #: Bound of the sample for fitting: passages, and characters of each.
 TEXTS, CHARACTERS = 256, 4000
 BELIEF, DAMPING = 0.8, 0.5
+#: Linked tokens are taken to agree by so much, in logarithms, before any are seen: samples hold few of them.
+AGREE = 8.0
 #: Messages have settled when none changes by more. Loops need not settle; this many rounds end them.
 SETTLED, ROUNDS = 1e-4, 1000
 #: A shape alone speaks against a label by so much at most, in logarithms, so that a linked token can outweigh it.
@@ -56,12 +60,30 @@ def _valid(kind: str, s: str) -> bool:
     return (sum(twice) + sum(digits[-1::-2])) % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Matches of the email pattern, found from their at signs, in time that grows with the text."""
+    out: list[tuple[int, int]] = []
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            end = m.end()
+            out.append((start, end))
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind's number, start, end) in code points, by kind and start."""
     out: list[Span] = []
     has = _DIGIT.search(text) is not None
     for i, kind in enumerate(KINDS):
-        if "@" in text if kind == "email" else has and (kind != "phone" or "+" in text):
+        if kind == "email":
+            out += [(i, a, b) for a, b in _emails(text)]
+        elif has and (kind != "phone" or "+" in text):
             out += [(i, m.start(), m.end()) for m in _FIND[kind].finditer(text) if _valid(kind, m[0])]
     return out
 
@@ -100,28 +122,34 @@ def forms_of(text: str, base: list[Span]) -> frozenset[str]:
 
 
 def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[int]]:
-    """Base spans, and tokens outside of them that carry a digit or an at sign, or have the form of a base span: places, base labels (0: none), numbers among all tokens."""
+    """Base spans, and all tokens outside of them: places, base labels (0: none), numbers among all tokens."""
     found = [(a, b, kind + 1) for kind, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    known = forms_of(text, base)
     starts, k = [], 0
     for m in _TOKEN.finditer(text):
         starts.append(m.start())
-        if "@" in m[0] or _DIGIT.search(m[0]) or (known and "w" + m[0].strip(_EDGE).lower() in known):
-            a, b = m.span()
-            while a < b - 1 and text[a] in _EDGE:
-                a += 1
-            while b > a + 1 and text[b - 1] in _EDGE:
-                b -= 1
-            while k < len(taken) and taken[k][1] <= a:
-                k += 1
-            if k == len(taken) or taken[k][0] >= b:
-                found.append((a, b, 0))
+        a, b = m.span()
+        while a < b - 1 and text[a] in _EDGE:
+            a += 1
+        while b > a + 1 and text[b - 1] in _EDGE:
+            b -= 1
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= b:
+            found.append((a, b, 0))
     found.sort()
     numbers = (np.searchsorted(np.array(starts), [a for a, _, _ in found], "right") - 1).tolist() if found else []
     return [(a, b) for a, b, _ in found], np.array([x for _, _, x in found], int), numbers
 
 
+def reached(label: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which nodes skip links tie to a base span, over any number of them."""
+    tied = label > 0
+    while len(far) and not tied[ends := far[tied[far].any(1)]].all():
+        tied[ends] = True
+    return tied
+
+
 def links(text: str, places: list[tuple[int, int]], numbers: list[int], known: frozenset[str] = frozenset(), label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes: (neighbours, successive ones of one form). As many as nodes, not as pairs of equal ones.
 
@@ -149,30 +177,47 @@ class Field:
     """Weights of the field: shapes by label, and log potentials of label pairs for neighbours and for skip links."""
 
     def __init__(self, texts: list[str]) -> None:
-        k = len(KINDS) + 1
-        x, y = [np.zeros((0, len(shape("x"))))], [np.zeros(0, int)]
-        near, far = np.ones((k, k)), np.ones((k, k))
+        """Pseudo-likelihood: each node's label given its shape and the labels of its neighbours and of those it is linked with.
+
+        Weights are drawn to 0, those of linked labels to AGREE where they are equal. Tokens that links tie to a base span are hidden, not examples of no label. Linked nodes are seen a second time without their
+        shape, as links have to speak for tokens that look like nothing.
+        """
+        k, n = len(KINDS) + 1, len(shape("x"))
+        x, y = [np.zeros((0, n + 2 * k))], [np.zeros(0, int)]
         for t in texts:
             base = base_spans(t)
             places, label, numbers = nodes(t, base)
-            x += [shape(t[a:b])[None] for a, b in places]
-            y.append(label)
-            for table, pairs in zip((near, far), links(t, places, numbers, forms_of(t, base)), strict=True):
-                for a, b in pairs:
-                    table[label[a], label[b]] += 1
-                    table[label[b], label[a]] += 1
-        features, labels = np.concatenate(x), np.concatenate(y)
-        self.weights = np.zeros((features.shape[1], k))
-        target = np.eye(k)[labels]
-        for _ in range(300 if len(labels) else 0):
-            score = features @ self.weights
+            if not places:
+                continue
+            near, far = links(t, places, numbers, forms_of(t, base))
+            seen = ~reached(label, far) | (label > 0)
+            rows = np.zeros((len(places), n + 2 * k))
+            rows[:, :n] = [shape(t[a:b]) for a, b in places]
+            for at, pairs in ((n, near), (n + k, far)):
+                for i, j in ((0, 1), (1, 0)):
+                    to = pairs[seen[pairs[:, j]]]
+                    np.add.at(rows, (to[:, i], at + label[to[:, j]]), 1)
+            linked = seen & (rows[:, n + k :].sum(1) > 0)
+            bare = rows[linked]
+            bare[:, 1:n] = 0
+            x += [rows[seen], bare]
+            y += [label[seen], label[linked]]
+        rows, count = np.unique(np.concatenate([np.concatenate(x), np.concatenate(y)[:, None]], 1), axis=0, return_counts=True)
+        features, target = rows[:, :-1], np.eye(k)[rows[:, -1].astype(int)]
+        # of repeated cases the root counts, so that words by the thousand do not drown what is rare
+        share = np.sqrt(count)[:, None] / np.sqrt(count).sum() if len(count) else np.zeros((0, 1))
+        weights, pace = np.zeros((n + 2 * k, k)), np.full((n + 2 * k, k), 1e-8)
+        weights[n + k :] = AGREE * np.eye(k)
+        prior = weights.copy()
+        for _ in range(500 if len(rows) else 0):
+            score = features @ weights
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            self.weights += 1.0 * (features.T @ (target - p) / len(labels) - 1e-4 * self.weights)
-        # how much likelier a pair of labels is than chance makes it; skip links favour equal labels from the start
-        far += 60 * np.eye(k)
-        lift = lambda t: np.log(t / t.sum()) - np.log(t.sum(1) / t.sum())[:, None] - np.log(t.sum(0) / t.sum())[None]
-        self.near, self.far = lift(near), lift(far)
+            slope = features.T @ (share * (target - p)) - 1e-4 * (weights - prior)
+            pace += slope**2
+            weights += 0.3 * slope / np.sqrt(pace)
+        self.weights = weights[:n]
+        self.near, self.far = ((w + w.T) / 2 for w in (weights[n : n + k], weights[n + k :]))
 
     def beliefs(self, shapes: np.ndarray, label: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         k = self.weights.shape[1]
@@ -211,9 +256,7 @@ class Field:
         near, far = links(text, places, numbers, forms_of(text, base), label)
         if not len(far) or not (label == 0).any():
             return base
-        tied = label > 0
-        while not tied[ends := far[tied[far].any(1)]].all():
-            tied[ends] = True
+        tied = reached(label, far)
         p = self.beliefs(np.array([shape(text[a:b]) for a, b in places]), label, near, far)
         best = p.argmax(1)
         more = [(int(best[i]) - 1, *places[i]) for i in np.flatnonzero(tied & (label == 0) & (best > 0) & (p.max(1) >= BELIEF))]

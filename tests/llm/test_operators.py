@@ -469,3 +469,110 @@ def test_known_language_goes_by_the_parse(spark):
     assert got == {r[0] for r in d.select("doc_id").collect()} | {s[0] for s in short}
     chinese = d.limit(20).union(spark.createDataFrame([(1, junk[-1][1], "zh", "j", 0), (2, junk[-1][1][:60], None, "j", 0)], d.schema))
     assert {1, 2} <= {r[0] for r in langid.known_language(chinese).select("doc_id").collect()}
+
+
+def test_beliefs_are_exact_marginals_without_loops():
+    """On chains and trees of up to seven tokens, message passing against the sum over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    field = pii.Field([])
+    k = len(pii.KINDS) + 1
+    field.weights = rng.normal(size=(len(pii.shape("x")), k)) * 0.2
+    field.near, field.far = ((m + m.T) / 2 for m in rng.normal(size=(2, k, k)))
+    for near, far, label in (([(0, 1), (1, 2), (2, 3)], [], [0, 0, 0, 0]), ([(0, 1), (3, 4)], [(1, 3)], [1, 0, 0, 0, 0]), ([(0, 1), (1, 2)], [(1, 4), (4, 6), (2, 5)], [0, 0, 3, 0, 0, 0, 0])):
+        near, far, label = (np.array(x, int) for x in (near, far, label))
+        near, far = near.reshape(-1, 2), far.reshape(-1, 2)
+        shapes = rng.integers(0, 2, (len(label), len(pii.shape("x")))).astype(float)
+        unary = shapes @ field.weights
+        unary = np.maximum(unary - unary.max(1, keepdims=True), pii.LEAST)
+        want = np.zeros((len(label), k))
+        for ys in itertools.product(range(k), repeat=len(label)):
+            if all(b in (0, y) for b, y in zip(label, ys, strict=True)):
+                w = np.exp(sum(unary[i, y] for i, y in enumerate(ys) if not label[i]) + sum(field.near[ys[a], ys[b]] for a, b in near) + sum(field.far[ys[a], ys[b]] for a, b in far))
+                for i, y in enumerate(ys):
+                    want[i, y] += w
+        want /= want.sum(1, keepdims=True)
+        assert np.abs(field.beliefs(shapes, label, near, far) - want).max() < 1e-3
+
+
+def scanned(text):
+    """Base spans by a scanner that uses no regular expressions."""
+    digit, alnum = set("0123456789"), set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    run = lambda i, of: next((j for j in range(i, len(text)) if text[j] not in of), len(text))
+
+    def email(i):
+        j = run(i, alnum | set("._%+-"))
+        if j == i or j == len(text) or text[j] != "@":
+            return None
+        k = run(j + 1, alnum | {"-"})
+        end = None
+        while k > j + 1 and k < len(text) and text[k] == "." and (m := run(k + 1, alnum | {"-"})) > k + 1:
+            end = k = m
+        return end
+
+    def ip(i):
+        j = run(i, digit)
+        for _ in range(3):
+            if j == i or j == len(text) or text[j] != "." or (m := run(j + 1, digit)) == j + 1:
+                return None
+            j = m
+        return j
+
+    def card(i):
+        if text[i] not in digit:
+            return None
+        j = i + 1
+        while j < len(text):
+            step = j + (text[j] in " -")
+            if step == len(text) or text[step] not in digit:
+                break
+            j = step + 1
+        return j if j > i + 1 else None
+
+    def phone(i):
+        if text[i] != "+" or i + 1 == len(text) or text[i + 1] not in digit:
+            return None
+        j = run(i + 2, digit | set(" ().-"))
+        while j > i + 3 and text[j - 1] not in digit:
+            j -= 1
+        return j if j > i + 3 and text[j - 1] in digit else None
+
+    def fits(kind, s):
+        if kind == "ip":
+            return all(int(x) <= 255 for x in s.split("."))
+        n = [int(c) for c in s if c in digit]
+        if kind == "card":
+            total = sum(d if i % 2 == 0 else d * 2 // 10 + d * 2 % 10 for i, d in enumerate(reversed(n)))
+            return 13 <= len(n) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(n) <= 15
+
+    out = []
+    for k, (kind, at) in enumerate((("email", email), ("ip", ip), ("card", card), ("phone", phone))):
+        i = 0
+        while i < len(text):
+            if (end := at(i)) is None:
+                i += 1
+            else:
+                if fits(kind, text[i:end]):
+                    out.append((k, i, end))
+                i = end
+    return out
+
+
+def test_base_spans_against_a_scanner(spark):
+    rng = random.Random(3)
+    bits = ["a.b@c.de", "@", "x@y", "x@y..z", "a@b.c.", "1.2.3.4", "300.1.1.1", "1.2.3", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-2030", "+12", "+1 2 ", "0123456789012", " ", ".", "-", "+", "9", "é", "٣"]
+    tried = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(3000)] + [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in tried:
+        assert pii.base_spans(t) == scanned(t), t
+    assert sum(len(scanned(t)) for t in tried) > 1000
+
+
+def test_personal_data_of_odd_texts(spark):
+    """Ties, one very long word, and a text of very many tokens."""
+    field = pii.fit_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    long_ = "w " * 30_000 + "jane.doe7@example.com " + "jane.doe7 w " * 2
+    assert [t for _, t in added(long_, field)] == ["jane.doe7"] * 2
+    assert pii.base_spans("9" * 200_000) == [] and added("x" * 200_000 + " a@b.cd", field) == []
+    assert added("a1b2c@x.org a1b2c@y.org then a1b2c ", field) == [("email", "a1b2c")]
