@@ -2,63 +2,137 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.exprs import strict_decimal, written_scale
+from gaugeworks.functions.exprs import DEC, strict_decimal, written_scale
 from gaugeworks.operators.tolerance import fit_parts
 
-_NUMBER = "[0-9]*[.,]?[0-9]+"
-#: chamfers such as 2X 30° come before quantities
-_QUANTITY = "^([0-9]+) ?(?:[xX×]|PL|pl) ?(?![0-9. ,]*°)"
-_PREFIX = "^(SØ|SR|Ø|R|M|C|↧)?\\s*"
+# Numbers as drawings have them: decimals with point or comma, inch fractions of a power of two, degrees with minutes and seconds
+_PLAIN = "(?:[0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)"
+_PART = "(?:1/2|[1-3]/4|[1-7]/8|(?:1[0-5]|[1-9])/16|(?:[12][0-9]|3[01]|[1-9])/32|(?:[1-5][0-9]|6[0-3]|[1-9])/64|(?:1[01][0-9]|12[0-7]|[1-9][0-9]|[1-9])/128)"
+_FRACTION = f"(?:[0-9]+ )?{_PART}(?![0-9])"
+_DMS = "[0-9]+° ?[0-5]?[0-9]'(?: ?[0-5]?[0-9]\")?"
+_VALUE = f"(?:{_DMS}|{_FRACTION}|{_PLAIN}°?)"
+_SIZE = f"(?:{_DMS}|[0-5]?[0-9]'|{_FRACTION}|{_PLAIN}°?)"
+_CLASS = "[A-Za-z]{1,2}[0-9]{1,2}"
+_ZERO = "0(?:[.,]0+)?°?"
+#: value, fit, its shaft, symmetric tolerance, two deviations, second limit, MIN or MAX. A deviation has a sign, or is a zero after a blank or a stroke; not both are zeros without one.
+_BODY = f"(?i)^({_VALUE})(?: ?({_CLASS})(?:/({_CLASS}))?)?(?: ?± ?({_SIZE})|(?! {_ZERO} ?/? ?{_ZERO}$)( ?[+-] ?{_SIZE}| {_ZERO}) ?/? ?([+-] ?{_SIZE}|(?<=[ /]){_ZERO})|(?: ?[/-] ?| )({_VALUE})| ?(MIN|MAX)\\.?)?$"
+_CHAMFER = f"^({_PLAIN}) ?[xX] ?({_PLAIN})°$"
+_THREAD = f"^({_PLAIN})(?: ?[xX] ?{_PLAIN})?(?: ?- ?(?:[0-9]{{1,2}}[A-Za-z]{{1,2}}){{1,2}})?$"
+_PREFIX = "^(SØ|SR|Ø|R|M|C|↧) ?"
+#: A number before x is a quantity, unless only an angle follows: that is a chamfer's leg
+_FRONT, _BACK = "^([0-9]+) ?(?:[xX]|(?i:PL(?:ACES)?)) ?+(?![0-9.,]+ ?°)", " ([0-9]+) ?(?i:PL(?:ACES)?)$"
+_SUFFIX = f"((?: ?(?:THRU(?: ALL)?|DEEP|TYP|↧ ?{_PLAIN}))+)$"
+_SPLIT = "\u0001"
 
 
 def _number(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), "^([+-]?)\\.", "$10.")
 
 
-def callouts(rows: DataFrame, text: str = "requirement_text") -> DataFrame:
-    """Quantity, kind, marking, nominal, scale, fit, tol_kind, tol_a, tol_b, unit, hints and parse_ok of each text.
-
-    Ordered patterns, each anchored at both ends; a text that fits none is a note (a word of three letters) or other.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once. Columns named step by step would do, but Catalyst weighs each against all others, which takes minutes here."""
+    return F.transform(F.array(value), body)[0]
+
+
+def written_value(text: Column) -> Column:
+    """A decimal, an inch fraction or degrees, minutes and seconds as a number; null if it is none of them."""
+    fraction, dms = "^(?:([0-9]+) )?([0-9]+)/([0-9]+)$", "^(?:([0-9]+)° ?)?([0-9]{1,2})'(?: ?([0-9]{1,2})\")?$"
+    places = lambda n: F.lit(n).cast(f"decimal({len(str(n))},0)")
+
+    def size(t: Column) -> Column:
+        part = lambda p, i: F.coalesce(F.regexp_extract(t, p, i).try_cast("long"), F.lit(0))
+        # denominators are powers of two up to 128: ten million divides by them without rest
+        inches = part(fraction, 1) * 10_000_000 + F.floor(part(fraction, 2) * 10_000_000 / part(fraction, 3)).cast("long")
+        seconds = part(dms, 1) * 3600 + part(dms, 2) * 60 + part(dms, 3)
+        return (
+            F.when(t.contains("/"), (inches.cast("decimal(18,0)") / places(10_000_000)).cast(DEC)).when(t.contains("'"), (seconds.cast("decimal(20,12)") / places(3600)).cast(DEC))
+            .otherwise(let(_number(F.replace(t, F.lit("°"), F.lit(""))), strict_decimal))
+        )
+
+    unsigned = let(F.regexp_replace(text, "^[+-] ?", ""), size)
+    return F.when(F.startswith(text, F.lit("-")), -unsigned).otherwise(unsigned).cast(DEC)
+
+
+def callout(text: Column, drawing_unit: str = "mm") -> Column:
+    """What callouts() reads of a text, as a struct."""
+    strip = lambda c, p: F.trim(F.regexp_replace(c, p, ""))
+    tidy = F.regexp_replace(text, "\\s+", " ")
+    for way, of in (("-", "−"), ("'", "′"), ('"', "″"), ("Ø", "⌀"), ("x", "×")):
+        tidy = F.replace(tidy, F.lit(of), F.lit(way))
+    some = lambda c: let(c, lambda x: F.when(x != "", x))
+
+    def bare(t: Column) -> Column:
+        reference = t.rlike("^\\(.*\\)$|^[0-9]+ ?[xX] ?\\(.*\\)$| REF$")
+        marking = F.when(reference, "reference").when(t.rlike("^\\[.*\\]$"), "basic")
+        b = F.regexp_replace(F.regexp_replace(t, "\\+ ?/? ?-(?= ?[0-9.,])", "±"), "(^| )DIA ?|ø", "$1Ø")
+        return let(marking, lambda m: let(F.when(m.isNotNull(), F.trim(F.regexp_replace(strip(b, "[()\\[\\]]| REF$"), " +", " "))).otherwise(b), lambda b: counted(t, m, b)))
+
+    def counted(t: Column, m: Column, b: Column) -> Column:
+        many = F.coalesce(F.regexp_extract(b, _FRONT, 1).try_cast("int"), F.regexp_extract(b, _BACK, 1).try_cast("int"))
+        tail = f"(?i)(?<=[^ ]){_SUFFIX}"
+        return let(many, lambda q: let(strip(strip(b, _FRONT), _BACK), lambda b: let(F.trim(F.regexp_extract(b, tail, 1)), lambda s: let(strip(b, tail), lambda b: measured(t, m, q, s, b)))))
+
+    def measured(t: Column, m: Column, q: Column, s: Column, b: Column) -> Column:
+        turned = b.contains("°")
+        mark = ~turned & b.rlike('"| ?in$')
+        rest = F.when(turned, b).otherwise(strip(b, '"| ?(in|mm)$'))
+        return let(mark, lambda mark: let(rest, lambda b: let(F.regexp_extract(b, _PREFIX, 1), lambda p: let(F.regexp_replace(b, _PREFIX, ""), lambda r: parted(t, m, q, s, mark, p, r)))))
+
+    def parted(t: Column, m: Column, q: Column, s: Column, mark: Column, p: Column, r: Column) -> Column:
+        found = F.transform(F.split(F.regexp_replace(r, _BODY, _SPLIT.join(f"${i}" for i in range(1, 9))), _SPLIT), lambda x: some(F.trim(x)))
+        thread, chamfer = (p == "M") & r.rlike(_THREAD), (p == "") & r.rlike(_CHAMFER)
+
+        def how(f: Column) -> Column:
+            classes = F.get(f, F.lit(1)).isNull() | (fit_parts(F.get(f, F.lit(1))).isNotNull() & (F.get(f, F.lit(2)).isNull() | fit_parts(F.get(f, F.lit(2))).isNotNull()))
+            return F.when(thread, "thread").when(chamfer, "chamfer").when((F.size(f) == 8) & classes & (p != "M"), "body")
+
+        return let(found, lambda f: let(how(f), lambda h: read(t, m, q, s, mark, p, r, f, h)))
+
+    def read(t: Column, m: Column, q: Column, s: Column, mark: Column, p: Column, r: Column, f: Column, h: Column) -> Column:
+        own = lambda c: F.when(h == "body", c)
+        part = lambda i: own(F.get(f, F.lit(i)))
+        value = F.coalesce(part(0), F.when(h.isNotNull(), F.regexp_extract(r, f"^{_PLAIN}", 0)))
+        form = F.when(part(3).isNotNull(), "symmetric").when(part(4).isNotNull(), "deviations").when(part(6).isNotNull(), "limits").otherwise(F.lower(part(7)))
+        return let(value, lambda v: let(form, lambda k: finished(t, m, q, s, mark, p, r, h, v, k, part)))
+
+    def finished(t: Column, m: Column, q: Column, s: Column, mark: Column, p: Column, r: Column, h: Column, v: Column, k: Column, part: Callable[[int], Column]) -> Column:
+        known = h.isNotNull()
+        degrees = (h == "body") & v.rlike("[°']")
+        kind = (
+            F.when(~known, F.when(t.rlike("[\\p{L}]{3,}"), "note").otherwise("other")).when(h != "body", h).when(p.isin("Ø", "SØ"), "diameter").when(p == "R", "radius")
+            .when(p == "SR", "spherical_radius").when(p == "C", "chamfer").when(p == "↧", "depth").when(degrees, "angle").otherwise("linear")
+        )
+        whole_limits = v.rlike("^[0-9]+$") & F.coalesce(k == "limits", F.lit(False))
+        notation = F.coalesce((h == "body") & r.rlike(f"(^|[^0-9])[.,][0-9]|{_PART}") & ~r.contains("°") & ~whole_limits, F.lit(False))
+        first = F.when(k == "symmetric", part(3)).when(k == "deviations", part(4)).when(k == "limits", v)
+        second = F.when(k == "deviations", part(5)).when(k == "limits", part(6))
+        pair = F.when(part(2).isNotNull(), F.concat(part(1), F.lit("/"), part(2))).otherwise(part(1))
+        hints = lambda n: F.array_compact(F.array(F.when(n & ~mark, "inch_notation"), F.when(t.rlike("[0-9],[0-9]"), "decimal_comma"), F.when(part(2).isNotNull(), "fit_pair")))
+        unit = lambda kd, n: F.when(known, F.when(kd == "angle", "deg").when(mark | n, "in").otherwise(F.lit(drawing_unit)))
+        number = lambda c: let(c, written_value)
+        scale = F.when(known, let(_number(F.replace(v, F.lit("°"), F.lit(""))), written_scale))
+        return let(notation, lambda n: let(kind, lambda kd: F.struct(
+            F.when(known, F.greatest(F.coalesce(q, F.lit(1)), F.lit(1))).otherwise(1).alias("quantity"), kd.alias("kind"), F.when(known, m).alias("marking"), number(v).alias("nominal"), scale.alias("scale"), pair.alias("fit"), k.alias("tol_kind"),
+            number(first).alias("tol_a"), number(second).alias("tol_b"), unit(kd, n).alias("unit"), hints(n).alias("hints"), known.alias("parse_ok"), F.when(known & (s != ""), s).alias("suffixes"),
+        )))
+
+    return let(F.trim(F.coalesce(tidy, F.lit(""))), bare)
+
+
+def callouts(rows: DataFrame, text: str = "requirement_text", drawing_unit: str = "mm") -> DataFrame:
+    """Quantity, kind, marking, nominal, scale, fit, tol_kind, tol_a, tol_b, unit, hints, parse_ok and suffixes of each text.
+
+    Brackets, quantity, suffixes and unit are taken off in turn; one pattern, anchored at both ends, reads what is left. A text that fits
+    none is a note (a word of three letters) or other. Lengths without a unit are inches if a number is written as in inches (no zero
+    before the point, a fraction), else in `drawing_unit`. A null text is other.
     """
-    t = F.regexp_replace(F.trim(text), "\\s+", " ")
-    rows = rows.withColumn("_t", t)
-    quantity = F.regexp_extract("_t", _QUANTITY, 1)
-    rows = rows.withColumn("quantity", F.coalesce(F.nullif(quantity, F.lit("")).try_cast("int"), F.lit(1))).withColumn("_b", F.trim(F.regexp_replace("_t", _QUANTITY, "")))
-    reference = F.col("_b").rlike("^\\(.*\\)$") | F.col("_b").rlike(" REF$")
-    basic = F.col("_b").rlike("^\\[.*\\]$")
-    rows = rows.withColumn("marking", F.when(reference, "reference").when(basic, "basic")).withColumn("_b", F.trim(F.regexp_replace("_b", "^[\\(\\[]|[\\)\\]]$| REF$", "")))
-    rows = rows.withColumn("_inch", F.col("_b").rlike('("|″| in)$')).withColumn("_b", F.trim(F.regexp_replace("_b", '("|″| in| mm)$', "")))
-    rows = rows.withColumn("_p", F.regexp_extract("_b", _PREFIX, 1)).withColumn("_r", F.regexp_replace("_b", _PREFIX, ""))
-    form = lambda tail, i: F.regexp_extract("_r", f"^({_NUMBER})(°)?{tail}$", i)
-    fit_tail, sym_tail, dev_tail, lim_tail, one_tail = " ?([A-Za-z]{1,2}[0-9]{1,2})", f" ?± ?({_NUMBER})°?", f" ?([+-] ?{_NUMBER}|0) ?/? ?([+-] ?{_NUMBER}|0)", f"(?: ?[/-] ?| )({_NUMBER})°?", " (MIN|MAX)\\.?"
-    is_ = lambda tail: F.col("_r").rlike(f"^{_NUMBER}°?{tail}$")
-    tol_kind = F.when(is_(sym_tail), "symmetric").when(is_(dev_tail), "deviations").when(is_(one_tail), F.lower(form(one_tail, 3))).when(is_(lim_tail), "limits")
-    fit = F.when(is_(fit_tail), form(fit_tail, 3))
-    plain = is_("")
-    rows = rows.withColumn("_fit", fit).withColumn("parse_ok", (plain | tol_kind.isNotNull() | F.coalesce(fit_parts(F.col("_fit")).isNotNull(), F.lit(False))) & F.col("_b").isNotNull())
-    tol_kind = F.when(F.col("parse_ok"), tol_kind)
-    rows = rows.withColumn("tol_kind", tol_kind)
-    value = _number(F.regexp_extract("_r", f"^({_NUMBER})", 1))
-    squeeze = lambda c: strict_decimal(F.regexp_replace(_number(F.replace(c, F.lit(" "), F.lit(""))), "^\\+", ""))
-    a = F.when(F.col("tol_kind") == "symmetric", squeeze(form(sym_tail, 3))).when(F.col("tol_kind") == "deviations", squeeze(form(dev_tail, 3))).when(F.col("tol_kind") == "limits", strict_decimal(value))
-    b = F.when(F.col("tol_kind") == "deviations", squeeze(form(dev_tail, 4))).when(F.col("tol_kind") == "limits", squeeze(form(lim_tail, 3)))
-    angle = F.col("_r").rlike(f"^{_NUMBER}°")
-    kind = (
-        F.when(~F.col("parse_ok"), F.when(F.col("_t").rlike("[\\p{L}]{3,}"), "note").otherwise("other")).when(F.col("_p") == "Ø", "diameter").when(F.col("_p") == "SØ", "spherical_diameter").when(F.col("_p") == "R", "radius")
-        .when(F.col("_p") == "SR", "spherical_radius").when(F.col("_p") == "M", "thread").when(F.col("_p") == "C", "chamfer").when(F.col("_p") == "↧", "depth").when(angle, "angle").otherwise("linear")
-    )
-    hints = F.array_compact(F.array(F.when(F.col("_inch"), "inch_notation"), F.when(F.col("_t").rlike("[0-9],[0-9]"), "decimal_comma")))
-    unit = F.when(kind == "angle", "deg").when(F.col("_inch"), "in").otherwise("mm")
-    known = F.col("parse_ok")
-    return rows.select(
-        *[c for c in rows.columns if not c.startswith("_") and c not in ("parse_ok", "quantity", "marking", "tol_kind")],
-        F.when(known, F.col("quantity")).otherwise(1).alias("quantity"), kind.alias("kind"), F.when(known, F.col("marking")).alias("marking"),
-        F.when(known, strict_decimal(value)).alias("nominal"), F.when(known, written_scale(value)).alias("scale"), F.when(known, F.col("_fit")).alias("fit"), "tol_kind", a.alias("tol_a"), b.alias("tol_b"),
-        F.when(known, unit).alias("unit"), hints.alias("hints"), F.coalesce(known, F.lit(False)).alias("parse_ok"),
-    )
+    fields = ("quantity", "kind", "marking", "nominal", "scale", "fit", "tol_kind", "tol_a", "tol_b", "unit", "hints", "parse_ok", "suffixes")
+    return rows.withColumn("_callout", callout(F.col(text), drawing_unit)).select(*[c for c in rows.columns if c not in fields], "_callout.*")
 
 
 def sheet_kinds(objects: DataFrame) -> DataFrame:
@@ -78,12 +152,36 @@ def compared(truth: DataFrame, proposals: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("wrong", F.when(F.coalesce("n", F.lit(0)) != 1, F.array(F.lit("proposals"))).otherwise(wrong)).drop("n", "p").withColumn("correct", F.size("wrong") == 0)
 
 
+# Categories of extraction, in the order of reports
+CATEGORIES = ("linear_general", "diameter_general", "radius_general", "angle_general", "chamfer_general", "symmetric", "asymmetric", "one_sided", "limit", "fit", "fit_printed", "thread", "reference", "other")
+
+
 def category(kind: Column, tol_kind: Column, fit: Column, marking: Column) -> Column:
-    """Q2: by what the truth says."""
+    """By what a text says alone."""
     return F.coalesce(marking, F.when(fit.isNotNull(), "fit"), tol_kind, kind)
 
 
+def truth_category(text: Column, kind: Column, nominal: Column, upper: Column, lower: Column, fit: Column, rule: Column, inspect: Column) -> Column:
+    """Q2: one of CATEGORIES, from the fields of a truth row and its text."""
+    explicit = F.coalesce(rule == "explicit", F.lit(False))
+    signed = text.rlike("\\s(?:[+−-]\\S*|0(?=\\s|$))")
+    general = [F.when(kind == k, f"{k}_general") for k in ("linear", "diameter", "radius", "angle", "chamfer")]
+    return (
+        F.when(nominal.isNull(), "other").when(~inspect, F.when(text.startswith("(") | text.contains("REF"), "reference").otherwise("other")).when(kind == "thread", "thread")
+        .when(fit.isNotNull(), F.when(explicit, "fit_printed").otherwise("fit")).when(explicit & text.contains("±"), "symmetric").when(explicit & (text.contains("MIN") | text.contains("MAX")), "other")
+        .when(explicit & ~signed, "limit").when(explicit & (upper.isNull() | lower.isNull()), "other").when(explicit & ((upper == nominal) | (lower == nominal)), "one_sided").when(explicit, "asymmetric")
+        .otherwise(F.coalesce(*general, F.lit("other")))
+    )
+
+
 def tally(cases: DataFrame) -> DataFrame:
     """Q6, Q7: count, correct, percent to one decimal, rounded half up by integers, and the 99 percent gate, by category and in all."""
     rows = cases.groupingSets([["category"], []], "category").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
     return rows.select(F.coalesce("category", F.lit("total")).alias("category"), "n", "n_correct", (F.expr("(n_correct * 2000 + n) div (2 * n)") / 10.0).alias("percent"), (F.col("n_correct") * 100 >= F.col("n") * 99).alias("passes"))
+
+
+def tally_by_trait(cases: DataFrame) -> DataFrame:
+    """Q6: counts as in tally(), by category, by each trait of the array `traits`, and in all, in one pass: a case is given to each group that it is in."""
+    groups = F.concat(F.array(F.struct(F.lit("category").alias("of"), F.col("category").alias("name")), F.struct(F.lit("total").alias("of"), F.lit("total").alias("name"))), F.transform("traits", lambda t: F.struct(F.lit("trait").alias("of"), t.alias("name"))))
+    rows = cases.select(F.explode(groups).alias("g"), "correct").groupBy("g.of", "g.name").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+    return rows.select("of", "name", "n", "n_correct", (F.expr("(n_correct * 2000 + n) div (2 * n)") / 10.0).alias("percent"), (F.col("n_correct") * 100 >= F.col("n") * 99).alias("passes"))

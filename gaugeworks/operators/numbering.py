@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.exprs import in_rect, number_parts
 
 # Kinds in the order of their declaration
-KINDS = ("linear", "diameter", "radius", "spherical_diameter", "spherical_radius", "angle", "chamfer", "thread", "depth", "note", "surface", "other")
+KINDS = ("linear", "diameter", "radius", "spherical_radius", "angle", "chamfer", "thread", "counterbore", "countersink", "depth", "surface_texture", "geometric", "note", "flag_note", "material_process", "other")
 MM = 72 / 25.4
 #: Rows of one reading line are within so many mm of its first point.
 ROW_TOLERANCE = 7 * MM

@@ -124,7 +124,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN m = 5 THEN 'H7' END AS fit, CASE m WHEN 3 THEN 'symmetric' WHEN 4 THEN 'deviations' END AS tol_kind, CAST(CASE m WHEN 3 THEN 0.1 WHEN 4 THEN 0.2 END AS DECIMAL(28,12)) AS tol_a, CAST(CASE m WHEN 4 THEN -0.1 END AS DECIMAL(28,12)) AS tol_b, 'mm' AS unit, true AS parse_ok FROM (SELECT *, p_partkey % 8 AS m FROM part)""",
 )
 def callouts(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.callouts(_texts(spark, sf)).drop("requirement_text", "hints")
+    return extract.callouts(_texts(spark, sf)).drop("requirement_text", "hints", "suffixes")
 
 
 query("e12_free_text", "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{L}]{3,}') THEN 'note' ELSE 'other' END AS kind, false AS parse_ok FROM documents")(
