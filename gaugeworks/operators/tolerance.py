@@ -88,29 +88,30 @@ def read_table(path: str) -> dict[str, Any]:
         return tomllib.load(f)
 
 
-def contains(size: Column, cell: str) -> Column:
-    """Sizes above 0 within the bounds as the table gives them; a bound that is missing is open."""
-    lo, hi = F.col(f"{cell}.lo"), F.col(f"{cell}.hi")
-    above = lo.isNull() | (size > lo) | (F.col(f"{cell}.lo_incl") & (size == lo))
-    below = hi.isNull() | (size < hi) | (F.col(f"{cell}.hi_incl") & (size == hi))
+def holds(size: Column, of: Column) -> Column:
+    """Sizes above 0 within the bounds of a struct as the table gives them; a bound that is missing is open."""
+    above = of["lo"].isNull() | (size > of["lo"]) | (of["lo_incl"] & (size == of["lo"]))
+    below = of["hi"].isNull() | (size < of["hi"]) | (of["hi_incl"] & (size == of["hi"]))
     return (size > 0) & above & below
 
 
+def by_part(cells: DataFrame) -> DataFrame:
+    """One row for each part of each table: a map of its columns to their ranges, in the order of rows."""
+    cell = F.struct("row_no", "lo", "lo_incl", "hi", "hi_incl", "value", "value_unit", "version")
+    columns = cells.groupBy("table_id", "part_id", "column").agg(F.sort_array(F.collect_list(cell)).alias("ranges"))
+    return columns.groupBy("table_id", "part_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "ranges"))).alias("columns"))
+
+
 def looked_up(sizes: DataFrame, cells: DataFrame, out: str) -> DataFrame:
     """For (table_id, part_id, column, size) the cell, as struct `out`, with `found`: value, not_defined, out_of_range, no_such_part or unknown_column.
 
-    Equality on table, part and column makes it a hash join of a broadcast table; the range is its residual condition.
+    A hash join with the few parts of the tables, broadcast; column and range are found in the part's row. Where ranges overlap, the first one counts.
     """
-    cells = F.broadcast(cells)
-    keys = ["table_id", "part_id", "column"]
-    hit = sizes.alias("s").join(cells.alias("c"), [F.col(f"s.{k}") == F.col(f"c.{k}") for k in keys] + [contains(F.col("s.size"), "c")], "left")
-    body = F.struct(*[F.col(f"c.{x}") for x in ("value", "lo", "lo_incl", "hi", "hi_incl", "value_unit", "row_no", "version")])
-    hit = hit.select("s.*", F.when(F.col("c.row_no").isNotNull(), body).alias(out))
-    known = cells.select(*keys).distinct().withColumn("has_column", F.lit(True))
-    part = cells.select("table_id", "part_id").distinct().withColumn("has_part", F.lit(True))
-    hit = hit.join(F.broadcast(known), keys, "left").join(F.broadcast(part), ["table_id", "part_id"], "left")
-    found = F.when(F.col(f"{out}.value").isNotNull(), "value").when(F.col(out).isNotNull(), "not_defined").when(F.col("has_part").isNull(), "no_such_part").when(F.col("has_column").isNull(), "unknown_column").otherwise("out_of_range")
-    return hit.withColumn(f"{out}_found", found).drop("has_column", "has_part")
+    hit = sizes.join(F.broadcast(by_part(cells)), ["table_id", "part_id"], "left")
+    ranges = F.try_element_at("columns", F.col("column"))
+    hit = hit.withColumn("_ranges", ranges).withColumn(out, F.get(F.filter("_ranges", lambda x: holds(F.col("size"), x)), F.lit(0)))
+    found = F.when(F.col(f"{out}.value").isNotNull(), "value").when(F.col(out).isNotNull(), "not_defined").when(F.col("columns").isNull(), "no_such_part").when(F.col("_ranges").isNull(), "unknown_column").otherwise("out_of_range")
+    return hit.withColumn(f"{out}_found", found).drop("columns", "_ranges")
 
 
 def applies_to(kind: Column) -> Column:
@@ -118,11 +119,17 @@ def applies_to(kind: Column) -> Column:
     return F.when(kind.isin("linear", "diameter", "spherical_diameter", "depth"), "linear").when(kind.isin("radius", "spherical_radius", "chamfer"), "radius_chamfer").when(kind == "angle", "angular")
 
 
+def size_in_mm(rows: DataFrame) -> Column:
+    """By what tables are looked up: the nominal without its sign; inches, where rows have a unit, as mm."""
+    size = F.abs("nominal")
+    return F.when(F.col("unit") == "in", size * F.lit("25.4").cast("decimal(3,1)")).otherwise(size).cast(DEC) if "unit" in rows.columns else size
+
+
 def general_tolerance(rows: DataFrame, cells: DataFrame, table_id: str = "iso-2768-1", klass: str = "m") -> DataFrame:
     """Rows with kind, nominal (and shorter_leg, in mm) get `tolerance` and `found`; degrees are minutes / 60 cut to six places."""
     leg = F.col("shorter_leg") if "shorter_leg" in rows.columns else F.lit(None).cast(DEC)
     part = applies_to(F.col("kind"))
-    asked = rows.withColumn("part_id", part).withColumn("table_id", F.lit(table_id)).withColumn("column", F.lit(klass)).withColumn("size", F.when(part == "angular", leg).otherwise(F.col("nominal")))
+    asked = rows.withColumn("part_id", part).withColumn("table_id", F.lit(table_id)).withColumn("column", F.lit(klass)).withColumn("size", F.when(part == "angular", leg).otherwise(size_in_mm(rows)))
     got = looked_up(asked, cells, "cell")
     value = F.when(F.col("cell.value_unit") == "arcmin", F.floor(F.col("cell.value") / 60, F.lit(6))).otherwise(F.col("cell.value")).cast(DEC)
     return got.withColumn("tolerance", value).withColumnRenamed("cell_found", "found").drop("part_id", "table_id", "column", "size", "cell")
@@ -157,7 +164,7 @@ def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286")
     Up to four range lookups: standard tolerance, fundamental deviation, delta, and a special case that replaces the deviation.
     """
     p = fit_parts(F.col("fit"))
-    rows = rows.withColumn("p", p).withColumn("table_id", F.lit(table_id)).withColumn("size", F.col("nominal"))
+    rows = rows.withColumn("p", p).withColumn("table_id", F.lit(table_id)).withColumn("size", size_in_mm(rows))
     letter, grade, hole = F.col("p.letter"), F.col("p.grade"), F.col("p.feature") == "hole"
     upper_half = letter.isin(*A_TO_H)
     delta_to = F.when(letter.isin("K", "M", "N"), 8).when(letter == "J", -2).otherwise(7)
@@ -204,28 +211,87 @@ def converted(value: Column, places: int, how: str) -> Column:
     return {"upper": F.floor(mm, F.lit(places)), "lower": F.ceil(mm, F.lit(places)), "nominal": F.round(mm, places)}[how].cast(DEC)
 
 
-def derived(rows: DataFrame, cells: DataFrame, general_class: str | None = "m", decimal_rules: list[tuple[int, str]] = ()) -> DataFrame:
-    """Rule, upper_dev, lower_dev, upper_limit, lower_limit, inspect_now and hint for rows with kind, nominal, scale, fit, tol_kind, tol_a, tol_b, marking.
+def inches(value: Column, places: int, how: str) -> Column:
+    """Mm to inches, rounded as converted() rounds. The quotient is put right by products, which are exact where a division is not."""
+    step, mm = F.lit(10**-places).cast(f"decimal({places + 1},{places})"), lambda c: c * F.lit("25.4").cast("decimal(3,1)")
+    near = F.floor(value / F.lit("25.4").cast("decimal(3,1)"), F.lit(places)).cast(DEC)
+    low = F.when(mm(near) > value, near - step).when(mm(near + step) <= value, near + step).otherwise(near).cast(DEC)
+    high = F.when(mm(low) == value, low).otherwise(low + step)
+    half = F.when(mm(low + high) == 2 * value, F.when(value < 0, low).otherwise(high)).when(mm(low + high) > 2 * value, low).otherwise(high)
+    return {"upper": low, "lower": high, "nominal": half}[how].cast(DEC)
+
+
+def in_unit(value: Column, of: Column, to: Column, mm_places: int, inch_places: int, how: str) -> Column:
+    """A value of one unit in another; as it is where both are the same."""
+    return F.when((of == "in") & (to == "mm"), converted(value, mm_places, how)).when((of == "mm") & (to == "in"), inches(value, inch_places, how)).otherwise(value).cast(DEC)
+
+
+def derived(
+    rows: DataFrame, cells: DataFrame, general_class: str | None = "m", decimal_rules: list[tuple[int, str]] = (), general_table: str = "iso-2768-1",
+    drawing_rule: tuple[str, str] | None = None, output_unit: str | None = None, mm_places: int = 3, inch_places: int = 4,
+) -> DataFrame:
+    """Rule, upper_dev, lower_dev, upper_limit, lower_limit, inspect_now, hint, hints, note, out_nominal and out_unit for rows with kind, nominal, scale, fit, tol_kind, tol_a, tol_b, marking (and unit, mm if there is none).
 
-    Written tolerance, fit, general table, decimal places: the first that is there counts. A fit ends the search even
-    if it can't be expanded. Threads, reference and basic dimensions get no limits; the last two are not inspected.
+    Written tolerance, fit, drawing rule (table, class), general or custom table, decimal places: the first that is there counts. A fit ends the
+    search even if it can't be expanded; so does an angle without a known shorter leg where a table has angles (note, T7). A size outside a table is a
+    hint, and the search goes on. Printed deviations of a fit that are not the table's are a hint (T3; mm only). Threads, reference and basic dimensions get
+    no limits; the last two are not inspected. Tables are in mm: limits of inch sizes, and all with another `output_unit`, are converted and rounded inward (T8).
     """
-    rows = expanded_fits(general_tolerance(rows, cells, klass=general_class or "-"), cells)
+    unit = F.when(F.col("kind") == "angle", "deg").otherwise(F.coalesce("unit", F.lit("mm"))) if "unit" in rows.columns else F.when(F.col("kind") == "angle", "deg").otherwise("mm")
+    rows = rows.withColumn("_unit", unit)
+    if "shorter_leg" not in rows.columns:
+        rows = rows.withColumn("shorter_leg", F.lit(None).cast(DEC))
+        given = False
+    else:
+        given = True
+    levels = [("drawing_rule", *drawing_rule)] if drawing_rule else []
+    levels += [("general", general_table, general_class)] if general_class else []
+    for name, table, klass in levels:
+        rows = general_tolerance(rows, cells, table, klass).withColumnsRenamed({"tolerance": f"_{name}", "found": f"_{name}_found"})
+    rows = expanded_fits(rows, cells)
+    kinds = F.broadcast(cells.groupBy("table_id").agg(F.max(F.col("kind") == "custom").alias("_custom")).where(F.col("table_id") == general_table).drop("table_id"))
+    rows = rows.join(kinds, how="left") if general_table != "iso-2768-1" else rows.withColumn("_custom", F.lit(False))
     by_places = F.create_map(*[F.lit(x).cast(t) for p, v in decimal_rules for x, t in ((p, "int"), (v, DEC))]) if decimal_rules else None
-    rule_value = F.try_element_at(by_places, F.col("scale")) if by_places is not None else F.lit(None).cast(DEC)
-    length = F.col("kind") != "angle"
+    decimal = F.try_element_at(by_places, F.col("scale")) if by_places is not None else F.lit(None).cast(DEC)
+    angle = F.col("kind") == "angle"
     none = F.col("kind").isin("thread") | F.coalesce(F.col("marking").isin("reference", "basic"), F.lit(False))
     written, has_fit = F.col("tol_kind").isNotNull(), F.col("fit").isNotNull()
-    general = F.lit(bool(general_class)) & (F.col("found") == "value")
-    rule = F.when(none, "no_tolerance_defined").when(written, "explicit").when(has_fit, "fit").when(general, "general").when(length & rule_value.isNotNull(), "decimal_places").otherwise("no_tolerance_defined")
-    rows = rows.withColumn("rule", rule).withColumn("e", explicit_deviations(F.col("tol_kind"), F.col("tol_a"), F.col("tol_b"), F.col("nominal"))).withColumn("rule_value", rule_value)
-    symmetric = F.when(F.col("rule") == "general", F.col("tolerance")).when(F.col("rule") == "decimal_places", F.col("rule_value"))
-    upper = F.when(F.col("rule") == "explicit", F.col("e.upper")).when(F.col("rule") == "fit", F.col("fit_upper")).otherwise(symmetric)
-    lower = F.when(F.col("rule") == "explicit", F.col("e.lower")).when(F.col("rule") == "fit", F.col("fit_lower")).otherwise(-symmetric)
-    out = rows.withColumn("upper_dev", upper.cast(DEC)).withColumn("lower_dev", lower.cast(DEC))
-    hint = F.when((F.col("rule") == "fit") & (F.col("fit_found") != "value"), F.concat(F.lit("fit_"), F.col("fit_found"))).when(~none & ~written & ~has_fit & F.col("found").isin("out_of_range", "not_defined"), F.concat(F.lit("general_"), F.col("found")))
-    inspect = ~F.coalesce(F.col("marking").isin("reference", "basic"), F.lit(False))
-    return out.withColumn("upper_limit", (F.col("nominal") + F.col("upper_dev")).cast(DEC)).withColumn("lower_limit", (F.col("nominal") + F.col("lower_dev")).cast(DEC)).withColumn("inspect_now", inspect).withColumn("hint", hint).drop("e", "rule_value", "tolerance", "found", "fit_upper", "fit_lower", "fit_found", "range_lo", "range_hi")
+    open_ = ~none & ~written & ~has_fit
+    rule = F.when(none, "no_tolerance_defined").when(written, "explicit").when(has_fit, "fit")
+    stopped, outside = F.lit(False), []
+    for name, *_ in levels:
+        found, label = F.col(f"_{name}_found"), F.when(F.col("_custom"), "custom_table").otherwise(name) if name == "general" else F.lit(name)
+        no_leg = angle & F.col("shorter_leg").isNull() & (found != "no_such_part")
+        rule = rule.when(no_leg, "no_tolerance_defined").when(found == "value", label)
+        outside.append(F.when(open_ & ~stopped & ~no_leg & found.isin("out_of_range", "not_defined", "unknown_column"), F.concat(F.lit(f"{name}_"), found)))
+        stopped = stopped | no_leg | (found == "value")
+    rule = rule.when(~angle & decimal.isNotNull(), "decimal_places").otherwise("no_tolerance_defined")
+    rows = rows.withColumn("rule", rule).withColumn("_e", explicit_deviations(F.col("tol_kind"), F.col("tol_a"), F.col("tol_b"), F.col("nominal"))).withColumn("_decimal", decimal)
+    at_level = {name: F.col("rule").isin(name, "custom_table") if name == "general" else F.col("rule") == name for name, *_ in levels}
+    symmetric = F.coalesce(*[F.when(is_, F.col(f"_{name}")) for name, is_ in at_level.items()], F.when(F.col("rule") == "decimal_places", F.col("_decimal")))
+    pick = lambda e, f, sign: F.when(F.col("rule") == "explicit", F.col(e)).when(F.col("rule") == "fit", F.col(f)).otherwise(symmetric * sign).cast(DEC)
+    rows = rows.withColumn("_up", pick("_e.upper", "fit_upper", 1)).withColumn("_low", pick("_e.lower", "fit_lower", -1))
+    # what deviations are in: as written, or mm where a table gave them; angles stay degrees
+    tables = F.col("rule").isin("fit", "drawing_rule", "general", "custom_table") & (F.col("_unit") != "deg")
+    rows = rows.withColumn("_source", F.when(tables, "mm").otherwise(F.col("_unit"))).withColumn("out_unit", F.when(F.col("_unit") == "deg", "deg").otherwise(F.lit(output_unit) if output_unit else F.col("_unit")))
+    exact = F.when((F.col("_unit") == "in") & (F.col("_source") == "mm"), F.col("nominal") * F.lit("25.4").cast("decimal(3,1)")).otherwise(F.col("nominal")).cast(DEC)
+    to = lambda c, of, how: in_unit(c, F.col(of), F.col("out_unit"), mm_places, inch_places, how)
+    rows = rows.withColumn("_exact", exact).withColumn("out_nominal", to(F.col("nominal"), "_unit", "nominal"))
+    rows = rows.withColumn("upper_limit", to((F.col("_exact") + F.col("_up")).cast(DEC), "_source", "upper")).withColumn("lower_limit", to((F.col("_exact") + F.col("_low")).cast(DEC), "_source", "lower"))
+    changed = (F.col("_unit") != F.col("out_unit")) | (F.col("_source") != F.col("out_unit"))
+    rows = rows.withColumn("upper_dev", F.when(changed, F.col("upper_limit") - F.col("out_nominal")).otherwise(F.col("_up")).cast(DEC)).withColumn("lower_dev", F.when(changed, F.col("lower_limit") - F.col("out_nominal")).otherwise(F.col("_low")).cast(DEC))
+    printed = ~none & (F.col("tol_kind") == "deviations") & fit_parts(F.col("fit")).isNotNull() & (F.col("_unit") == "mm")
+    differ = (F.col("fit_found") == "value") & ~(F.col("fit_upper").eqNullSafe(F.col("_e.upper")) & F.col("fit_lower").eqNullSafe(F.col("_e.lower")))
+    fit_hint = F.when(((F.col("rule") == "fit") | printed) & (F.col("fit_found") != "value"), F.concat(F.lit("fit_"), F.col("fit_found"))).when(printed & differ, "fit_deviations_differ")
+    marked = F.when(F.col("marking").isin("reference", "basic"), F.concat("marking", F.lit("_dimension")))
+    legs = [angle & open_ & F.col("shorter_leg").isNull() & (F.col(f"_{name}_found") != "no_such_part") for name, *_ in levels]
+    note = F.coalesce(*[F.when(x, "shorter_leg_unknown") for x in legs], F.lit(None).cast("string"))
+    rows = rows.withColumn("note", note).withColumn("inspect_now", ~F.coalesce(F.col("marking").isin("reference", "basic"), F.lit(False))).withColumn("_table_hints", F.array_compact(F.array(fit_hint, *outside))).withColumn("_marked", marked)
+    rows = rows.withColumn("hint", F.get("_table_hints", F.lit(0))).withColumn("_had_hints", F.concat(F.array_compact(F.array("_marked")), F.col("_table_hints")))
+    read = [F.col("hints")] if "hints" in rows.columns else []
+    rows = rows.withColumn("hints", F.concat(*read, F.col("_had_hints")))
+    own = [c for c in rows.columns if c.startswith("_")] + ["fit_upper", "fit_lower", "fit_found", "range_lo", "range_hi"]
+    return rows.drop(*own, *([] if given else ["shorter_leg"]))
 
 
 def table_issues(cells: DataFrame) -> DataFrame:

@@ -170,7 +170,8 @@ def conversion(spark: SparkSession, sf: str) -> DataFrame:
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     cells = tolerance.span_table(tolerance.table_cells(spark, tolerance.GENERAL)).where("part_id = 'linear' and column = 'm'")
     sizes = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast(DEC).alias("size"), F.lit("m").alias("column"))
-    return sizes.alias("s").join(F.broadcast(cells).alias("c"), (F.col("s.column") == F.col("c.column")) & tolerance.contains(F.col("s.size"), "c")).select("p_partkey", "span_lo", "span_hi")
+    bounds = F.struct("c.lo", "c.lo_incl", "c.hi", "c.hi_incl")
+    return sizes.alias("s").join(F.broadcast(cells).alias("c"), (F.col("c.table_id") == "iso-2768-1") & (F.col("c.part_id") == "linear") & (F.col("s.column") == F.col("c.column")) & tolerance.holds(F.col("s.size"), bounds)).select("p_partkey", "span_lo", "span_hi")
 
 
 # --- numbers
