@@ -371,3 +371,57 @@ def _moved(orders: DataFrame) -> DataFrame:
     rows = orders.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("item"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 3 == 0).alias("m"))
     last = F.max(F.when(~F.col("m"), F.col("pos"))).over(Window.partitionBy("project_id"))
     return numbering.moved_before(rows.withColumn("t", F.coalesce(F.col("pos") == last, F.lit(False))), "m", "t").select("project_id", "item", "pos")
+
+
+# --- callouts as drawings have them
+
+
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """A callout for each part, of one of fourteen forms: sizes that end in zeros, inches, minutes of arc, limits, pairs and printed fits, chamfers, threads."""
+    around = (("", "00"), ("Ø", "00"), None, ("", '.000"'), ("", "00 mm"), ("", ' 1/4"'), ("", "°30'15\""), ("", "00 0 -0.6"), None, ("Ø", " H7/g6"), ("Ø", " H7 +0.021 0"), ("", "x45°"), ("M", "x1.25-6H"), ("4X Ø", "00 THRU"))
+    s = F.col("p_size").cast("string")
+    own = {2: F.concat(F.lit("."), F.lpad(s, 3, "0")), 8: F.concat(s, F.lit(".02-"), s, F.lit(".01"))}
+    forms = [own[i] if a is None else F.concat(F.lit(a[0]), s, F.lit(a[1])) for i, a in enumerate(around)]
+    return load(spark, sf, "part").select("p_partkey", F.element_at(F.array(*forms), (F.col("p_partkey") % 14 + 1).cast("int")).alias("requirement_text"))
+
+
+query(
+    "e8_drawn_forms",
+    """SELECT p_partkey, CAST(CASE m WHEN 13 THEN 4 ELSE 1 END AS INT) AS quantity, ['linear', 'diameter', 'linear', 'linear', 'linear', 'linear', 'angle', 'linear', 'linear', 'diameter', 'diameter', 'chamfer', 'thread', 'diameter'][m + 1] AS kind,
+    CAST(CASE WHEN m IN (0, 1, 4, 7, 13) THEN s * 100 WHEN m = 2 THEN s / 1000 WHEN m = 5 THEN s + 0.25 WHEN m = 6 THEN s + 0.504166666667 WHEN m = 8 THEN s + 0.02 ELSE s END AS DECIMAL(28,12)) AS nominal, CAST(CASE WHEN m IN (2, 3) THEN 3 WHEN m = 8 THEN 2 ELSE 0 END AS INT) AS scale,
+    CASE m WHEN 9 THEN 'H7/g6' WHEN 10 THEN 'H7' END AS fit, CASE m WHEN 7 THEN 'deviations' WHEN 8 THEN 'limits' WHEN 10 THEN 'deviations' END AS tol_kind, CAST(CASE m WHEN 7 THEN 0 WHEN 8 THEN s + 0.02 WHEN 10 THEN 0.021 END AS DECIMAL(28,12)) AS tol_a,
+    CAST(CASE m WHEN 7 THEN -0.6 WHEN 8 THEN s + 0.01 WHEN 10 THEN 0 END AS DECIMAL(28,12)) AS tol_b, CASE WHEN m IN (2, 3, 5) THEN 'in' WHEN m = 6 THEN 'deg' ELSE 'mm' END AS unit, CASE m WHEN 13 THEN 'THRU' END AS suffixes, true AS parse_ok
+    FROM (SELECT p_partkey, p_partkey % 14 AS m, CAST(p_size AS DECIMAL(28,12)) AS s FROM part)""",
+)(lambda s, sf: extract.callouts(_drawn(s, sf)).drop("requirement_text", "hints", "marking"))
+
+
+@query(
+    "t1_units",
+    """WITH b AS (SELECT p_partkey, p_partkey % 14 AS m, CAST(p_size AS DECIMAL(28,12)) * CASE WHEN p_partkey % 14 = 3 THEN 25.4 ELSE 100 END AS mm FROM part WHERE p_partkey % 14 IN (0, 3)),
+    t AS (SELECT *, CASE WHEN mm <= 30 THEN 0.2 WHEN mm <= 120 THEN 0.3 WHEN mm <= 400 THEN 0.5 WHEN mm <= 1000 THEN 0.8 WHEN mm <= 2000 THEN 1.2 WHEN mm <= 4000 THEN 2 END AS d FROM b)
+    SELECT p_partkey, CASE WHEN d IS NULL THEN 'no_tolerance_defined' ELSE 'general' END AS rule, CAST(mm AS DECIMAL(28,12)) AS out_nominal, CAST(mm + d AS DECIMAL(28,12)) AS upper_limit, CAST(mm - d AS DECIMAL(28,12)) AS lower_limit, 'mm' AS out_unit, CASE WHEN d IS NULL THEN 'general_out_of_range' END AS hint FROM t""",
+)
+def limits_in_mm(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain sizes in inches and in mm, with limits in mm by the general table, its end at 4000 mm included."""
+    rows = extract.callouts(_drawn(spark, sf).where("p_partkey % 14 in (0, 3)"))
+    got = tolerance.derived(rows, tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS), output_unit="mm")
+    return got.select("p_partkey", "rule", "out_nominal", "upper_limit", "lower_limit", "out_unit", "hint")
+
+
+@query("n9_kind_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 15 WHEN 3 THEN 0 ELSE 3 END, p_partkey) AS INT) AS place FROM part WHERE p_size = 7")
+def kind_order(spark: SparkSession, sf: str) -> DataFrame:
+    """One project's parts by the rank of their kinds."""
+    kinds = F.array(*[F.lit(k) for k in ("diameter", "surface_texture", "other", "linear", "spherical_radius")])
+    rows = load(spark, sf, "part").where("p_size = 7").select("p_partkey", F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")).alias("kind"), F.lit(1).alias("project_id"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in numbering.KINDS]), F.col("kind"))
+    return rows.select("p_partkey", F.row_number().over(Window.partitionBy("project_id").orderBy(rank, "p_partkey")).alias("place"))
+
+
+@query(
+    "q2_truth_categories",
+    """SELECT p_partkey, ['linear_general', 'diameter_general', 'linear_general', 'linear_general', 'linear_general', 'linear_general', 'angle_general', 'one_sided', 'limit', 'fit', 'fit_printed', 'chamfer_general', 'thread', 'diameter_general'][p_partkey % 14 + 1] AS category FROM part""",
+)
+def truth_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth rows as the cascade makes them of the drawn forms."""
+    rows = tolerance.derived(extract.callouts(_drawn(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS))
+    return rows.select("p_partkey", extract.truth_category(*[F.col(c) for c in ("requirement_text", "kind", "nominal", "upper_limit", "lower_limit", "fit", "rule", "inspect_now")]).alias("category"))
