@@ -5,9 +5,12 @@ Rows of one sheet, or of one box on it, are folded in order; sheets and boxes ar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.folds import folded
 from gaugeworks.operators.extract import callouts
 
 # Shares of the font size, of a text's extent, and degrees
@@ -29,52 +32,42 @@ def text_runs(glyphs: DataFrame) -> DataFrame:
     """Runs of characters with text and frame (cx, cy, w, h, angle), in the order of the content.
 
     `glyphs`: project_id, sheet_id, seq, ch, x, y, w, h, origin_x, origin_y, rotation, font_name, font_size.
-    A run is compared with its first character, so it is folded; a change of font is known from two rows, and cuts a sheet into the parts to fold.
+    A run is compared with its first character, so it is folded; a change of font ends it.
     Runs of blanks alone are dropped.
     """
-    w = Window.partitionBy(*SHEET).orderBy("seq")
-    rad = F.radians("rotation")
-    along = lambda x, y: x * F.cos(rad) - y * F.sin(rad)
-    across = lambda x, y: x * F.sin(rad) + y * F.cos(rad)
     sides = [(F.col("x") + i * F.col("w"), F.col("y") + j * F.col("h")) for i in (0, 1) for j in (0, 1)]
-    far = F.greatest(*[along(*p) for p in sides])
-    rows = glyphs.withColumn("font_no", F.sum(F.when(F.col("font_name").eqNullSafe(F.lag("font_name").over(w)), 0).otherwise(1)).over(w))
-    glyph = F.struct(
-        "seq", "ch", "font_size", "rotation", "origin_x", "origin_y", far.alias("far"), F.least(*[along(*p) for p in sides]).alias("u0"), F.greatest(*[along(*p) for p in sides]).alias("u1"),
-        F.least(*[across(*p) for p in sides]).alias("v0"), F.greatest(*[across(*p) for p in sides]).alias("v1"), *[F.struct(x.alias("x"), y.alias("y")).alias(f"p{k}") for k, (x, y) in enumerate(sides)],
-    )
-    member = "struct<seq: bigint, run: int, gap: boolean, turn: double>"
-    start = F.from_json(F.lit('{"run": -1, "out": []}'), f"struct<run: int, size: double, turn: double, base: double, far: double, out: array<{member}>>")
-
-    def step(s: Column, g: Column) -> Column:
-        r = F.radians(s["turn"])
-        em = F.greatest(s["size"], F.lit(1e-12))
-        u = lambda p: p["x"] * F.cos(r) - p["y"] * F.sin(r)
-        at = g["origin_x"] * F.cos(r) - g["origin_y"] * F.sin(r)
-        base = g["origin_x"] * F.sin(r) + g["origin_y"] * F.cos(r)
-        gap = at - s["far"]
-        fits = (F.abs(g["font_size"] - s["size"]) <= SIZE_SHARE * em) & (turned_by(g["rotation"], s["turn"]) <= TURN) & (F.abs(base - s["base"]) <= BASELINE * em) & gap.between(-OVERLAP * em, GAP * em)
-        same = F.coalesce(fits, F.lit(False))
-        own = F.radians(g["rotation"])
-        run = F.when(same, s["run"]).otherwise(s["run"] + 1)
-        turn = F.when(same, s["turn"]).otherwise(g["rotation"])
-        entry = F.struct(g["seq"].alias("seq"), run.alias("run"), (same & (gap >= SPACE * em)).alias("gap"), turn.alias("turn"))
-        return F.struct(
-            run.alias("run"), F.when(same, s["size"]).otherwise(g["font_size"]).alias("size"), turn.alias("turn"),
-            F.when(same, s["base"]).otherwise(g["origin_x"] * F.sin(own) + g["origin_y"] * F.cos(own)).alias("base"),
-            F.when(same, F.greatest(s["far"], *[u(g[f"p{k}"]) for k in range(4)])).otherwise(g["far"]).alias("far"), F.concat(s["out"], F.array(entry)).alias("out"),
-        )
-
-    parts = rows.groupBy(*SHEET, "font_no").agg(F.array_sort(F.collect_list(glyph)).alias("g"), F.first("font_name").alias("font_name"))
-    folded = parts.withColumn("m", F.aggregate("g", start, step, lambda s: s["out"])).select(*SHEET, "font_no", "font_name", F.explode(F.arrays_zip("g", "m")).alias("z"))
-    folded = folded.select(*SHEET, "font_no", "font_name", "z.g.*", F.col("z.m.run").alias("run"), F.col("z.m.gap").alias("gap"), F.col("z.m.turn").alias("turn"))
+    size_share, turn_by, baseline, overlap, gap_share, space = SIZE_SHARE, TURN, BASELINE, OVERLAP, GAP, SPACE
+
+    def step(s, font, size, rotation, ox, oy, x, y, w, h):
+        def along(turn, px, py):
+            return px * math.cos(math.radians(turn)) - py * math.sin(math.radians(turn))
+
+        def across(turn, px, py):
+            return px * math.sin(math.radians(turn)) + py * math.cos(math.radians(turn))
+
+        def reach(turn):
+            return max(along(turn, px, py) for px in (x, x + w) for py in (y, y + h))
+
+        run, same, gap = -1, False, 0.0
+        if s:
+            run, last, first_size, turn, base, far = s
+            em = max(first_size, 1e-12)
+            gap, d = along(turn, ox, oy) - far, abs(rotation - turn) % 360
+            same = last == font and abs(size - first_size) <= size_share * em and min(d, 360 - d) <= turn_by
+            same = same and abs(across(turn, ox, oy) - base) <= baseline * em and -overlap * em <= gap <= gap_share * em
+        if same:
+            return (run, font, first_size, turn, base, max(far, reach(turn))), (run, gap >= space * em, turn)
+        return (run + 1, font, size, rotation, across(rotation, ox, oy), reach(rotation)), (run + 1, False, rotation)
+
+    reads = ["font_name", "font_size", "rotation", "origin_x", "origin_y", "x", "y", "w", "h"]
+    dealt = folded(glyphs.select(*SHEET, "seq", "ch", *[F.col(c) if c == "font_name" else F.col(c).cast("double").alias(c) for c in reads]), SHEET, ["seq"], reads, step, "run int, gap boolean, turn double")
     # the frame lies in the direction of the run's first character
     t = F.radians("turn")
-    us = [F.col(f"p{k}.x") * F.cos(t) - F.col(f"p{k}.y") * F.sin(t) for k in range(4)]
-    vs = [F.col(f"p{k}.x") * F.sin(t) + F.col(f"p{k}.y") * F.cos(t) for k in range(4)]
+    us = [x * F.cos(t) - y * F.sin(t) for x, y in sides]
+    vs = [x * F.sin(t) + y * F.cos(t) for x, y in sides]
     seen = ~F.col("ch").rlike("^\\s*$")
     shown = lambda c: F.when(seen, c)
-    runs = folded.groupBy(*SHEET, "font_no", "run").agg(
+    runs = dealt.groupBy(*SHEET, "run").agg(
         F.min("seq").alias("seq"), F.first("font_name").alias("font_name"), F.min_by("font_size", "seq").alias("font_size"), F.min_by("turn", "seq").alias("rotation"),
         F.min(shown(F.least(*us))).alias("u0"), F.max(shown(F.greatest(*us))).alias("u1"), F.min(shown(F.least(*vs))).alias("v0"), F.max(shown(F.greatest(*vs))).alias("v1"),
         F.array_sort(F.collect_list(F.struct("seq", F.concat(F.when(F.col("gap"), " ").otherwise(""), F.col("ch")).alias("c")))).alias("c"),
@@ -101,19 +94,14 @@ def reading_directions(runs: DataFrame) -> DataFrame:
 
 def chained(rows: DataFrame, group: list[str], lo: str, hi: str, share: float, out: str) -> DataFrame:
     """Rows of a group in order of `lo`; one joins the chain before it if they overlap by `share` of the smaller extent. The chain's range grows."""
-    entry = f"struct<lo: double, hi: double, {out}: int>"
-    start = F.from_json(F.lit(f'{{"{out}": -1, "out": []}}'), f"struct<lo: double, hi: double, {out}: int, out: array<{entry}>>")
-
-    def step(s: Column, p: Column) -> Column:
-        least = F.greatest(F.least(p["hi"] - p["lo"], s["hi"] - s["lo"]), F.lit(1e-12))
-        same = s["hi"].isNotNull() & (F.least(s["hi"], p["hi"]) - F.greatest(s["lo"], p["lo"]) >= share * least)
-        at = F.when(same, s[out]).otherwise(s[out] + 1)
-        lo_, hi_ = F.when(same, F.least(s["lo"], p["lo"])).otherwise(p["lo"]), F.when(same, F.greatest(s["hi"], p["hi"])).otherwise(p["hi"])
-        return F.struct(lo_.alias("lo"), hi_.alias("hi"), at.alias(out), F.concat(s["out"], F.array(F.struct(lo_.alias("lo"), hi_.alias("hi"), at.alias(out)))).alias("out"))
-
-    body = F.struct(F.col(lo).alias("lo"), F.col("seq").alias("seq"), F.col(hi).alias("hi"), F.struct(*[c for c in rows.columns if c not in group]).alias("row"))
-    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list(body)).alias("p")).withColumn("m", F.aggregate("p", start, step, lambda s: s["out"]))
-    return folded.select(*group, F.explode(F.arrays_zip("p", "m")).alias("z")).select(*group, "z.p.row.*", F.col(f"z.m.{out}").alias(out))
+    def step(s, low, high):
+        start, end, at = s or (low, high, -1)
+        least = max(min(high - low, end - start), 1e-12)
+        if at >= 0 and min(end, high) - max(start, low) >= share * least:
+            return (min(start, low), max(end, high), at), (at,)
+        return (low, high, at + 1), (at + 1,)
+
+    return folded(rows, group, [lo, "seq", hi], [lo, hi], step, f"{out} int")
 
 
 def text_lines(runs: DataFrame) -> DataFrame:

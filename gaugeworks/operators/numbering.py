@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import in_rect, number_parts
+from gaugeworks.functions.folds import folded
 
 # Kinds in the order of their declaration
 KINDS = ("linear", "diameter", "radius", "spherical_radius", "angle", "chamfer", "thread", "counterbore", "countersink", "depth", "surface_texture", "geometric", "note", "flag_note", "material_process", "other")
@@ -44,20 +45,17 @@ def sheet_ordinals(sheets: DataFrame) -> DataFrame:
 def reading_order(points: DataFrame, group: list[str], tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """Points of each group with `line` and `rank`: a line holds what is within the tolerance of its first point, then x counts.
 
-    The line hangs on its first point, not on the one before, so an ordered fold carries it; groups are zones of sheets.
+    The line hangs on its first point, not on the one before, so an ordered fold carries it.
     """
-    sorted_ = F.array_sort(F.collect_list(F.struct("y", "x", "item")))
-    state = "struct<y: double, line: int, out: array<struct<line: int, x: double, y: double, item: bigint>>>"
-    start = F.from_json(F.lit('{"y": null, "line": -1, "out": []}'), state)
-
-    def step(s: Column, p: Column) -> Column:
-        same = s["y"].isNotNull() & (p["y"] <= s["y"] + tolerance)
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        entry = F.struct(line.alias("line"), p["x"].alias("x"), p["y"].alias("y"), p["item"].alias("item"))
-        return F.struct(F.when(same, s["y"]).otherwise(p["y"]).alias("y"), line.alias("line"), F.concat(s["out"], F.array(entry)).alias("out"))
-
-    folded = points.groupBy(*group).agg(sorted_.alias("p")).withColumn("out", F.array_sort(F.aggregate("p", start, step, lambda s: s["out"])))
-    return folded.select(*group, F.posexplode("out").alias("rank", "o")).select(*group, "rank", "o.line", "o.x", "o.y", "o.item")
+    def step(s, y):
+        first, line = s or (None, -1)
+        if first is None or not y <= first + tolerance:
+            first, line = y, line + 1
+        return (first, line), (line,)
+
+    rows = folded(points.select(*group, "x", "y", "item"), group, ["y", "x", "item"], ["y"], step, "line int")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("line", "x", "y", "item")) - 1
+    return rows.select(*group, rank.alias("rank"), "line", "x", "y", "item")
 
 
 def zone_cell(v: Column, start: Column, length: Column, n: Column) -> Column:
