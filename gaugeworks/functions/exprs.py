@@ -11,10 +11,17 @@ DEC = "decimal(28,12)"
 OK_WORDS = ("ok", "o", "+", "io", "i.o.")
 NOT_OK_WORDS = ("not ok", "not_ok", "nok", "n", "x", "nio", "n.i.o.")
 
+# C5, reasons of refused edits
+REASONS = (
+    "unknown_characteristic", "unknown_balloon", "unknown_sheet", "numbering_locked", "invalid_geometry", "invalid_style", "invalid_sheet_setting", "invalid_project_setting", "invalid_move_target",
+    "zero_quantity", "unknown_sample", "unknown_revision", "not_an_image", "invalid_image_edit", "empty_serial", "duplicate_serial", "too_many_samples", "invalid_sample_count", "invalid_date",
+    "invalid_result", "result_type_conflict", "missing_table", "nothing_to_undo", "nothing_to_redo", "internal",
+)
+
 
 def strict_decimal(text: Column) -> Column:
-    """Digits with an optional sign and point; anything else is null."""
-    return F.when(F.regexp_like(text, F.lit("^-?[0-9]+(\\.[0-9]+)?$")), text.try_cast(DEC))
+    """Digits with an optional sign and point; anything else is null, and so is what DEC can't hold exactly (more than 12 places)."""
+    return F.when(F.regexp_like(text, F.lit("^-?[0-9]+(\\.[0-9]{1,12}0*)?$")), text.try_cast(DEC))
 
 
 def written_scale(text: Column) -> Column:
@@ -46,8 +53,49 @@ def number_parts(text: Column) -> Column:
     return F.struct(part(1).try_cast("int").alias("base"), part(2).try_cast("int").alias("sub"), F.nullif(letters, F.lit(0)).alias("letter"))
 
 
+def letters(n: Column) -> Column:
+    """Letters of a count up to 26^6: 1 is A, 26 is Z, 27 is AA; empty for 0 and null."""
+    start = F.struct(F.coalesce(n, F.lit(0)).cast("bigint").alias("rest"), F.lit("").alias("text"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = s["rest"] > 0
+        text = F.when(more, F.concat(F.char(F.lit(65) + (s["rest"] - 1) % 26), s["text"])).otherwise(s["text"])
+        return F.struct(F.when(more, F.floor((s["rest"] - 1) / 26)).otherwise(F.lit(0)).cast("bigint").alias("rest"), text.alias("text"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step, lambda s: s["text"])
+
+
+def number_text(parts: Column) -> Column:
+    """A display number as it is written, of what number_parts gives."""
+    return F.concat(parts["base"].cast("string"), F.when(parts["sub"].isNotNull(), F.concat(F.lit("."), parts["sub"].cast("string"))).otherwise(""), letters(parts["letter"]))
+
+
+def table_name(table_id: Column) -> Column:
+    """The printed name of a tolerance table."""
+    return F.regexp_replace(table_id, "^iso-", "ISO ")
+
+
+def rule_detail(rule: Column, table_id: Column, klass: Column, fit: Column, tolerance: Column) -> Column:
+    """Table and class or fit behind a rule, or its tolerance; empty for what is written, typed or absent."""
+    return (
+        F.when(rule == "fit", F.concat(table_name(table_id), F.lit(" "), fit)).when(rule.isin("drawing_rule", "general", "custom_table"), F.concat(table_name(table_id), F.lit(" "), klass))
+        .when(rule == "decimal_places", F.concat(F.lit("±"), tolerance)).otherwise("")
+    )
+
+
+def unit_symbol(unit: Column) -> Column:
+    """As printed; empty without a unit."""
+    return F.when(unit == "deg", "°").otherwise(F.coalesce(unit, F.lit("")))
+
+
+def typed_length(text: Column, unit: Column) -> Column:
+    """A length above 0 as typed, with a point or comma; null for anything else, and where the unit is no length."""
+    value = strict_decimal(F.regexp_replace(F.replace(F.trim(text), F.lit(","), F.lit(".")), "^\\.", "0."))
+    return F.when(unit.isin("mm", "in") & (value > 0), value)
+
+
 def to_mm(value: Column, unit: Column) -> Column:
-    """Inches times 25.4, exactly."""
+    """Inches times 25.4, exactly; null for degrees."""
     return F.when(unit == "in", value * F.lit("25.4").cast("decimal(3,1)")).when(unit == "mm", value)
 
 

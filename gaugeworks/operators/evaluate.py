@@ -61,6 +61,12 @@ def progress(state: DataFrame) -> DataFrame:
     return state.groupBy("project_id").agg(n.alias("n_characteristics"), F.count_if(samples).alias("n_samples"), F.when(n > 0, F.count_if(samples & (F.col("missing") == 0))).otherwise(0).alias("n_complete"))
 
 
+def rows_open_or_failed(state: DataFrame, missing: bool = False, failed: bool = False) -> DataFrame:
+    """characteristics with a missing cell, with a failed one, or with both where both are asked for."""
+    keep = (F.col("missing") > 0 if missing else F.lit(True)) & (F.col("verdict") == "fail" if failed else F.lit(True))
+    return state.where(F.col("grain") == "characteristic").where(keep)
+
+
 def row_cells(cells: DataFrame) -> DataFrame:
     """V4: for each characteristic its cells in the order of the samples."""
     entry = F.struct("sample_pos", "verdict", "position")
@@ -80,11 +86,12 @@ def type_conflicts(characteristics: DataFrame, results: DataFrame, wanted: Colum
 def upserted(results: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H9: results after typed entries, the last of a cell counting, and the entries that can't be read.
 
-    A blank entry clears its cell; an entry without a comment keeps the old one.
+    A blank entry clears its cell; an entry without a comment keeps the old one. Numbers of more places than are kept are refused as out of range.
     """
     key = ["project_id", "sample_id", "char_id"]
     read = entries.withColumn("p", parsed_result(F.col("text")))
-    refused = read.where("not p.ok").select(*key, "text", "seq", F.lit("unreadable_value").alias("reason"))
+    number = F.regexp_like(F.trim("text"), F.lit("^[-−]?[0-9]*[.,]?[0-9]+$"))
+    refused = read.where("not p.ok").select(*key, "text", "seq", F.when(number, "out_of_range").otherwise("unreadable_value").alias("reason"))
     last = read.where("p.ok").groupBy(*key).agg(F.max_by(F.struct("p.value", "p.scale", "p.attribute", "p.cleared", "comment"), "seq").alias("e"))
     both = results.withColumn("here", F.lit(True)).join(last, key, "full")
     new = lambda c: F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(F.col(n := {"scale": "value_scale"}.get(c, c))).alias(n)

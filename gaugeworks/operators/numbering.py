@@ -63,6 +63,25 @@ def zone_cell(v: Column, start: Column, length: Column, n: Column) -> Column:
     return F.least(F.greatest(F.floor((v - start) / length * n), F.lit(0)), n - 1).cast("int")
 
 
+def zone_order(column: Column, row: Column, columns: Column, rows: Column, rotation: Column) -> Column:
+    """The place of a cell in reading order of the turned sheet; 0 for all without a grid of at least one cell."""
+    left, up = columns - 1 - column, rows - 1 - row
+    turned = F.when(rotation == 90, column * rows + up).when(rotation == 180, up * columns + left).when(rotation == 270, left * rows + row).otherwise(row * columns + column)
+    return F.when((columns > 0) & (rows > 0), turned).otherwise(0)
+
+
+def sheets_of(characteristics: DataFrame, balloons: DataFrame, sheets: DataFrame) -> DataFrame:
+    """`page` (from 1) of the first source, else of the first balloon; `sheet_unit` of the first balloon's sheet, else the first source's, else mm.
+
+    `characteristics` have `sources` array<struct<sheet_id, ...>>, `sheets` sheet_id, index (from 0) and unit. A sheet that is not there counts as none.
+    """
+    b = first_balloons(balloons).select("project_id", "char_id", F.col("sheet_id").alias("_b"))
+    rows = characteristics.select("project_id", "char_id", F.get("sources", F.lit(0))["sheet_id"].alias("_s")).join(b, ["project_id", "char_id"], "left")
+    at = lambda key, out: sheets.select("project_id", F.col("sheet_id").alias(key), F.struct("index", "unit").alias(out))
+    rows = rows.withColumn("_p", F.coalesce("_s", "_b")).withColumn("_u", F.coalesce("_b", "_s")).join(at("_p", "p"), ["project_id", "_p"], "left").join(at("_u", "u"), ["project_id", "_u"], "left")
+    return rows.select("project_id", "char_id", (F.col("p.index") + 1).alias("page"), F.coalesce("u.unit", F.lit("mm")).alias("sheet_unit"))
+
+
 def zone_label(column: Column, row: Column, column_labels: Column, row_labels: Column) -> Column:
     """N6."""
     return F.concat(F.element_at(row_labels, row + 1), F.element_at(column_labels, column + 1))

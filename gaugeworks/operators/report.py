@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.exprs import group_verdict, projected
+from gaugeworks.functions.exprs import group_verdict, localized, projected, rule_detail, signed, unit_symbol
+from gaugeworks.operators.evaluate import grid, measured
 
 #: Samples in one block of columns.
 BLOCK = 6
@@ -19,9 +20,33 @@ def sample_columns(samples: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(s, ["project_id", "sample_id"])
 
 
-def column_blocks(columns: DataFrame) -> DataFrame:
-    """First and last sample of each block."""
-    return columns.groupBy("project_id", "block").agg(F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+def column_blocks(columns: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """First and last sample of each block; of `projects` those without samples have one block, from 0 to 0."""
+    blocks = columns.groupBy("project_id", "block").agg(F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+    if projects is None:
+        return blocks
+    return projects.select("project_id").join(blocks, "project_id", "left").na.fill(0, ["block", "first_index", "last_index"])
+
+
+def report_rows(characteristics: DataFrame, samples: DataFrame, results: DataFrame, comma: bool = False) -> DataFrame:
+    """Measured characteristics as printed, with their cells in the order of the samples.
+
+    `characteristics` have texts as stored: number, kind, requirement_text, quantity, nominal, upper_dev, lower_dev, upper_limit_text, lower_limit_text,
+    unit, fit, rule, table_id, class, rule_tolerance and draft, beside the limits that cells are judged by. Without a result a cell is missing and empty.
+    """
+    number = lambda c: F.coalesce(localized(F.col(c), comma), F.lit(""))
+    dev = lambda c: F.coalesce(localized(signed(F.col(c)), comma), F.lit(""))
+    detail = rule_detail(F.col("rule"), F.col("table_id"), F.col("class"), F.col("fit"), localized(F.col("rule_tolerance"), comma))
+    texts = measured(characteristics).select(
+        "project_id", "char_id", "number", "kind", F.col("requirement_text").alias("requirement"), F.col("quantity").cast("string").alias("quantity"), number("nominal").alias("nominal"),
+        dev("upper_dev").alias("upper_deviation"), dev("lower_dev").alias("lower_deviation"), number("lower_limit_text").alias("lower_limit"), number("upper_limit_text").alias("upper_limit"),
+        unit_symbol(F.col("unit")).alias("unit"), F.coalesce("fit", F.lit("")).alias("fit"), F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce(detail, F.lit("")).alias("rule_detail"), F.coalesce("draft", F.lit(False)).alias("draft"),
+    )
+    cells = grid(characteristics, samples, results)
+    value = F.when(F.col("value").isNotNull(), F.coalesce("value_text", F.col("value").cast("string"))) if "value_text" in results.columns else F.col("value").cast("string")
+    entry = F.struct("sample_pos", F.coalesce(localized(value, comma), F.col("attribute"), F.lit("")).alias("value"), "verdict")
+    found = cells.groupBy("project_id", "char_id").agg(F.array_sort(F.collect_list(entry)).alias("cells"))
+    return texts.join(found, ["project_id", "char_id"], "left").withColumn("cells", F.coalesce("cells", F.array().cast(dict(found.dtypes)["cells"])))
 
 
 def wide_grid(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -46,10 +71,13 @@ def check_sheet(characteristics: DataFrame, blanks: int) -> DataFrame:
     return characteristics.select("project_id", "char_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("index")).select("*", F.lit("missing").alias("verdict"))
 
 
-def summary(state: DataFrame) -> DataFrame:
-    """Counts of each project and whether results are open."""
+def summary(state: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """Counts of each project and whether results are open; with `drafts` (project_id of each row with draft limits) whether it has draft limits."""
     p = state.where("grain = 'project'")
-    return p.select("project_id", "pass", "fail", "not_evaluated", "missing", "verdict", (F.col("missing") + F.col("not_evaluated") > 0).alias("open_results"))
+    rows = p.select("project_id", "pass", "fail", "not_evaluated", "missing", "verdict", (F.col("missing") + F.col("not_evaluated") > 0).alias("open_results"))
+    if drafts is None:
+        return rows
+    return rows.join(drafts.select("project_id").distinct().withColumn("draft_limits", F.lit(True)), "project_id", "left").na.fill(False, ["draft_limits"])
 
 
 def failing_parts(state: DataFrame) -> DataFrame:

@@ -12,6 +12,14 @@ AUDIT = "entry_no bigint, timestamp timestamp, user string, action struct<type:
 # Columns of the list
 LIST = ("number", "kind", "requirement_text", "nominal", "unit", "upper_limit", "lower_limit", "fit", "rule", "result_type", "status", "inspect", "quantity")
 
+# The list as it is exported, with its headers in English and German
+EXPORT = {
+    "number": ("No", "Nr"), "kind": ("Kind", "Art"), "requirement_text": ("Requirement", "Anforderung"), "nominal": ("Nominal", "Nennmaß"), "upper_dev": ("Upper deviation", "Oberes Abmaß"),
+    "lower_dev": ("Lower deviation", "Unteres Abmaß"), "upper_limit": ("Upper limit", "Obere Grenze"), "lower_limit": ("Lower limit", "Untere Grenze"), "unit": ("Unit", "Einheit"), "fit": ("Fit", "Passung"),
+    "rule": ("Rule", "Regel"), "quantity": ("Quantity", "Anzahl"), "classification": ("Classification", "Klassifizierung"), "method": ("Inspection method", "Prüfmethode"), "gauge": ("Gauge", "Prüfmittel"),
+    "sampling": ("Sampling", "Stichprobe"), "frequency": ("Frequency", "Häufigkeit"), "inspect": ("Inspect", "Prüfen"), "status": ("Status", "Status"), "page": ("Sheet", "Blatt"), "comment": ("Comment", "Kommentar"),
+}
+
 
 def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents in the newest schema, and those that are newer or can't be read.
@@ -67,6 +75,22 @@ def write_list(characteristics: DataFrame, path: str) -> None:
     rows.repartition("project_id").sortWithinPartitions("project_id", number_parts(F.col("number")), "pos").drop("pos").write.partitionBy("project_id").option("header", True).csv(path)
 
 
+def export_rows(characteristics: DataFrame) -> DataFrame:
+    """The columns of EXPORT as texts, rejected rows left out; nulls and the classification none are empty."""
+    rows = characteristics.where("status is null or status <> 'rejected'")
+    text = {"inspect": F.when(F.col("inspect"), "yes").otherwise("no"), "classification": F.nullif(F.col("classification"), F.lit("none"))}
+    return rows.select("project_id", "pos", *[F.coalesce(text.get(c, F.col(c).cast("string")), F.lit("")).alias(c) for c in EXPORT])
+
+
+def write_export(characteristics: DataFrame, path: str, language: str = "en") -> None:
+    """CSV of the whole list in number order with headers in a language (en, de), one folder for each project; quoted only where needed."""
+    from gaugeworks.functions.exprs import number_parts
+
+    rows = export_rows(characteristics).repartition("project_id").sortWithinPartitions("project_id", number_parts(F.col("number")), "pos")
+    heads = [F.col(c).alias(h[("en", "de").index(language)]) for c, h in EXPORT.items()]
+    rows.select("project_id", *heads).write.partitionBy("project_id").option("header", True).option("emptyValue", "").csv(path)
+
+
 def write_reports(rows: DataFrame, path: str) -> None:
     """One JSON document for each project."""
     body = F.struct(*[c for c in rows.columns if c != "project_id"])
