@@ -35,8 +35,11 @@ def _number(text: Column) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once. Columns named step by step would do, but Catalyst weighs each against all others, which takes minutes here."""
-    return F.transform(F.array(value), body)[0]
+    """`body` of a value that is computed once. Columns named step by step would do, but Catalyst weighs each against all others, which takes minutes here.
+
+    element_at() keeps its type; an index would work the types of all nested bodies out again for each row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def written_value(text: Column) -> Column:
