@@ -198,6 +198,21 @@ def rule_details(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", "rule", X.rule_detail(F.col("rule"), table, F.lit("m"), F.col("fit"), F.lit(None).cast("string")).alias("rule_detail"), X.unit_symbol(F.col("unit")).alias("unit"))
 
 
+@query(
+    "q6_tally_by_trait",
+    f"""WITH {_CASCADE}, c AS (SELECT ['linear', 'diameter', 'radius', 'symmetric', 'deviations', 'fit', 'reference', 'thread'][m + 1] AS category, p_partkey % 50 <> 0 AS ok, p_partkey AS k FROM e),
+    x AS (SELECT 'category' AS "of", category AS name, ok FROM c UNION ALL SELECT 'total', 'total', ok FROM c UNION ALL SELECT 'trait', 'even', ok FROM c WHERE k % 2 = 0 UNION ALL SELECT 'trait', 'third', ok FROM c WHERE k % 3 = 0),
+    g AS (SELECT "of", name, count(*) AS n, count(*) FILTER (ok) AS n_correct FROM x GROUP BY 1, 2) SELECT *, ((n_correct * 2000 + n) // (2 * n)) / 10.0 AS percent, n_correct * 100 >= n * 99 AS passes FROM g""",
+)
+def tally_by_trait(spark: SparkSession, sf: str) -> DataFrame:
+    """What the cascade proposes against itself, every fiftieth truth with another kind; traits follow from the key."""
+    rows = tolerance.derived(extract.callouts(_texts(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)).withColumn("inspect", F.col("inspect_now"))
+    k = F.col("p_partkey")
+    traits = F.array_compact(F.array(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "third")))
+    truth = rows.withColumn("category", extract.category(F.col("kind"), F.col("tol_kind"), F.col("fit"), F.col("marking"))).withColumn("kind", F.when(k % 50 == 0, "note").otherwise(F.col("kind"))).withColumn("traits", traits)
+    return extract.tally_by_trait(extract.compared(truth.select("p_partkey", "category", "traits", *extract.FIELDS), rows.select("p_partkey", *extract.FIELDS), "p_partkey"))
+
+
 # --- log
 
 
