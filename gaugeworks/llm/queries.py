@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import jaccard, jpeg, langid, lines, mixing, pii, tokens, urls, vectors
+from gaugeworks.llm import jaccard, jpeg, langid, lines, mixing, pii, repair, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op7(docs: DataFrame) -> DataFrame:
     return jpeg.media_features(jpeg.media_columns(docs))
 
 
+def op11(conversations: DataFrame) -> DataFrame:
+    return repair.conversation_audits(repair.damaged(conversations), "times")
+
+
 QUERIES: dict[str, Query] = {
     "op1_training_shards": _over("documents", tokens.training_shards),
     "op2_product_quantisation": _over("embeddings", vectors.near_vectors),
@@ -34,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": _over("pages", urls.url_filter),
     "op9_source_mixing": _over("documents", mixing.mixed_sizes),
     "op10_personal_data": _over("documents", pii.personal_data),
+    "op11_conversation_repair": _over("conversations", op11),
 }
 
-SQL = {"op8_url_filter": urls.SQL, "op9_source_mixing": mixing.SQL}
+SQL = {"op8_url_filter": urls.SQL, "op9_source_mixing": mixing.SQL, "op11_conversation_repair": repair.SQL}
