@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import jaccard, jpeg, langid, lines, mixing, pii, repair, tokens, urls, vectors
+from gaugeworks.llm import bestfit, jaccard, jpeg, langid, lines, mixing, pii, repair, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mixing": _over("documents", mixing.mixed_sizes),
     "op10_personal_data": _over("documents", pii.personal_data),
     "op11_conversation_repair": _over("conversations", op11),
+    "op13_best_fit_packing": _over("documents", bestfit.best_fit_packed),
 }
 
 SQL = {"op8_url_filter": urls.SQL, "op9_source_mixing": mixing.SQL, "op11_conversation_repair": repair.SQL}
