@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bestfit, jaccard, jpeg, langid, lines, mixing, pii, repair, tokens, urls, vectors
+from gaugeworks.llm import audit, bestfit, jaccard, jpeg, langid, lines, mixing, pii, repair, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op11(conversations: DataFrame) -> DataFrame:
     return repair.conversation_audits(repair.damaged(conversations), "times")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_interactions(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_training_shards": _over("documents", tokens.training_shards),
     "op2_product_quantisation": _over("embeddings", vectors.near_vectors),
@@ -39,7 +43,8 @@ QUERIES: dict[str, Query] = {
     "op9_source_mixing": _over("documents", mixing.mixed_sizes),
     "op10_personal_data": _over("documents", pii.personal_data),
     "op11_conversation_repair": _over("conversations", op11),
+    "op12_filter_interaction_audit": op12,
     "op13_best_fit_packing": _over("documents", bestfit.best_fit_packed),
 }
 
-SQL = {"op8_url_filter": urls.SQL, "op9_source_mixing": mixing.SQL, "op11_conversation_repair": repair.SQL}
+SQL = {"op8_url_filter": urls.SQL, "op9_source_mixing": mixing.SQL, "op11_conversation_repair": repair.SQL, "op12_filter_interaction_audit": audit.SQL}
