@@ -16,11 +16,15 @@ from gaugeworks.llm.components import connected_components
 
 #: Bound of the sample that centroids are fitted on. Every vector is indexed.
 SAMPLE = 65_536
+#: And in bytes, but for 2048 vectors at least.
+SAMPLE_BYTES = 256 << 20
 #: Vectors of a list, and sampled vectors for each centroid (lists are at most a sixteenth of SAMPLE).
 PER_LIST, PER_CENTROID = 128, 40
-#: How far a vector looks beyond its own list, in standard deviations of the way to a partner at the least cosine. The way is as
-#: long as the radius; of one that points anywhere, the part across a given plane has the deviation radius / sqrt(dimension).
+#: How far a vector looks beyond its own list, in standard deviations of the way to a partner at the least cosine, along the line between the
+#: two lists' centroids. The deviations come from the data: from how the members of the two lists lie along that line.
 REACH = 3.2
+#: A list with fewer sampled members has no deviation of its own.
+MEMBERS = 8
 #: Subspaces, and centroids of each.
 SUBSPACES, CODES = 8, 64
 #: Vectors of a block of lists, the most and the least; one task compares two blocks.
@@ -55,28 +59,52 @@ def nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Coarse centroids and, for residuals, a codebook for each subspace."""
 
-    def __init__(self, sample: np.ndarray, n_lists: int, subspaces: int, codes: int) -> None:
+    def __init__(self, sample: np.ndarray, n_lists: int, subspaces: int, codes: int, reach: float | None = None) -> None:
         self.dim = sample.shape[1]
         self.coarse = kmeans(sample, n_lists)
-        self.apart = np.sqrt(np.maximum(self._squares(self.coarse), 0))
+        own = nearest(sample, self.coarse, 1)[:, 0]
+        rest = sample - self.coarse[own]
+        apart = np.sqrt(np.maximum(self._squares(self.coarse), 0))
+        width = apart if reach is None else np.minimum(apart, reach * self._deviations(rest, own, apart))
+        # single floats, rounded up
+        self.width = (width * (1 + 1e-6)).astype(np.float32)
         self.cuts = np.linspace(0, self.dim, min(subspaces, self.dim) + 1).astype(int)
-        rest = sample - self.coarse[nearest(sample, self.coarse, 1)[:, 0]]
         self.books = [kmeans(rest[:, a:b], codes) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def _squares(self, x: np.ndarray) -> np.ndarray:
         return (x**2).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse**2).sum(1)[None]
 
+    def _deviations(self, rest: np.ndarray, own: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """[list, list]: deviation of a step of length 1 along the line between the two centroids, times their distance.
+
+        A step from a vector to a partner is taken to lie as residuals lie: those of the first list, of the second, or of all, whichever lie most along the line.
+        """
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(len(self.coarse) + 1))
+        share, everywhere = np.zeros_like(apart), np.zeros_like(apart)
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            r = rest[order[a:b]]
+            if b - a >= MEMBERS and (length := (r**2).sum()) > 0:
+                share[k] = ((r @ (self.coarse - self.coarse[k]).T) ** 2).sum(0) / length
+        spread = rest.T @ rest
+        if (length := np.trace(spread)) > 0:
+            c = self.coarse @ spread
+            form = (c * self.coarse).sum(1)
+            everywhere = np.maximum(form[:, None] - 2 * c @ self.coarse.T + form[None], 0) / length
+        return np.sqrt(np.maximum(np.maximum(share, share.T), everywhere))
+
     def reached(self, x: np.ndarray, own: np.ndarray, radius: float, of: np.ndarray | None = None) -> np.ndarray:
-        """[vector, list]: whether the list (all, or those numbered `of`) is within the radius.
+        """[vector, list]: whether the list (all, or those numbered `of`) can hold a partner within the radius.
 
         Vectors of the list lie beyond the plane midway between its centroid and that of the vector's own list, so by the triangle
-        inequality a vector within the radius of one of them is no farther from that plane than the radius.
+        inequality a vector within the radius of one of them is no farther from that plane than the radius: the exact bound. With a
+        reach, no farther than so many deviations of a step as long as the radius across that plane.
         """
         of = np.arange(len(self.coarse)) if of is None else of
         c = self.coarse[of]
         d = (c**2).sum(1)[None] - 2 * x @ c.T
         mine = (self.coarse**2).sum(1)[own] - 2 * (x * self.coarse[own]).sum(1)
-        return d - mine[:, None] <= 2 * radius * self.apart[np.ix_(own, of)] + 1e-9
+        return d - mine[:, None] <= 2 * radius * self.width[np.ix_(own, of)] + 1e-9
 
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and how far each is from what its codes stand for."""
@@ -141,7 +169,7 @@ def _blocks(sizes: dict[int, int], index: Index, block: int) -> dict[int, tuple[
     return out
 
 
-def _tiled(shared, placed: dict[int, tuple[int, int]], reach: float):
+def _tiled(shared, placed: dict[int, tuple[int, int]], radius: float):
     """Each vector for every pair of blocks of which one is its own and the other can hold a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +188,7 @@ def _tiled(shared, placed: dict[int, tuple[int, int]], reach: float):
             for i in range(0, len(at), 1024):
                 part = at[i : i + 1024]
                 x = np.frombuffer(b"".join(b.column(5).take(pa.array(part)).to_pylist()), np.float64).reshape(len(part), -1)
-                r, c = np.nonzero(index.reached(x, lists[part], reach).astype(np.float32) @ holds)
+                r, c = np.nonzero(index.reached(x, lists[part], radius).astype(np.float32) @ holds)
                 who.append(part[r])
                 other.append(c)
             for i in np.flatnonzero(lists < 0):
@@ -176,7 +204,7 @@ def _tiled(shared, placed: dict[int, tuple[int, int]], reach: float):
     return run
 
 
-def _matched(shared, least: float, reach: float):
+def _matched(shared, least: float):
     """Of two blocks, or one with itself: for each vector the weight of those that it links with, and each linked vector's root here.
 
     A pair of vectors meets in one pair of blocks only, so that it counts once, for both.
@@ -214,7 +242,7 @@ def _matched(shared, least: float, reach: float):
         runs = np.split(asked, np.flatnonzero(np.diff(lists[asked])) + 1)
         for i in range(0, len(asking), ASKING):
             q = asking[i : i + ASKING]
-            near_lists = index.reached(x[q], lists[q], reach, held) if coded else None
+            near_lists = index.reached(x[q], lists[q], radius, held) if coded else None
             for which, run_ in enumerate(runs):
                 a = q[near_lists[:, which]] if coded else q
                 rest = x[a] - index.coarse[held[which]] if coded else None
@@ -248,9 +276,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, lists: int | None = Non
     Pairs link whose cosine is `least` or more. Null or zero vectors, and those with null or non-finite components, link with
     nothing; so do rows without vec_id, whose component_id and kept are null. Equal vectors are one class from the start. Vectors of
     another length than most are compared only with their like, in one list without codes. Rows that share a vec_id are one node.
-    A vector looks into the lists within `reach` deviations (see REACH); the number of lists grows with the rows up to a sixteenth of
-    `sample`. The exact way is `reach` None: every list that can hold a partner by the triangle inequality, where no link is lost, but
-    without clusters nearly all lists are looked into and work grows with the square. Up to reach ** 2 dimensions both are the same.
+    A vector looks into the lists within `reach` deviations (see REACH), which are measured on the sample, so that vectors of few effective dimensions
+    look into more of them; the number of lists grows with the rows up to a sixteenth of `sample`. The exact way is `reach` None: every
+    list that can hold a partner by the triangle inequality, where no link is lost, but work grows with the square.
     The table-lookup distance is held against the bound plus the code's own error, so a list that is looked into loses no link.
     An empty table gives none.
     """
@@ -265,19 +293,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, lists: int | None = Non
     index, radius = None, math.sqrt(max(0.0, 2 - 2 * least))
     if dims:
         n_lists = lists or max(1, min(total // PER_LIST, sample // 16))
-        drawn = classes.where(F.size("x") == dims[0]["d"]).orderBy(F.xxhash64("id"), "id").limit(min(sample, max(2048, PER_CENTROID * n_lists))).select("x").toPandas()
-        x = np.array(drawn["x"].tolist(), np.float64)
+        size = min(sample, max(2048, PER_CENTROID * n_lists), max(2048, SAMPLE_BYTES // (8 * dims[0]["d"])))
+        drawn = classes.where(F.size("x") == dims[0]["d"]).orderBy(F.xxhash64("id"), "id").limit(size).select("x").toArrow()
+        x = np.concatenate([c.flatten().to_numpy() for c in drawn.column(0).chunks]).reshape(-1, dims[0]["d"])
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        index = Index(x, n_lists, SUBSPACES, CODES)
-    far = radius * min(1.0, reach / math.sqrt(index.dim)) if index and reach is not None else radius
+        index = Index(x, n_lists, SUBSPACES, CODES, reach)
     shared = spark.sparkContext.broadcast(index)
     assigned = stored(classes.select("id", "weight", "x").mapInArrow(_assigned(shared), ROWS), "lists")
     # one number for each list, and lists are bounded by the sample
     sizes = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}
     placed = _blocks(sizes, index, block or min(BLOCK, max(LEAST_BLOCK, total // 8)))
-    tiles = assigned.mapInArrow(_tiled(shared, placed, far), TILED) if placed else spark.createDataFrame([], TILED)
-    found = stored(tiles.groupBy("low", "high").applyInPandas(_matched(shared, least, far), "id long, n long, root long"), "linked")
+    tiles = assigned.mapInArrow(_tiled(shared, placed, radius), TILED) if placed else spark.createDataFrame([], TILED)
+    found = stored(tiles.groupBy("low", "high").applyInPandas(_matched(shared, least), "id long, n long, root long"), "linked")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("id <> root"), "id", "root")
     low = roots.groupBy("root").agg(F.min("node").alias("low"))

@@ -389,6 +389,59 @@ def test_vectors_of_many_lists(spark):
         assert all(got[i] <= n for i, n in enumerate(link)) and sum(got.values()) >= least * link.sum() > 3000
 
 
+def shaped(kind, n, rng):
+    """Unit vectors of few effective dimensions, of clusters, or of falling variance; a quarter has a near copy."""
+    if kind == "isotropic":
+        x = rng.normal(size=(n, 64))
+    elif kind == "clusters":
+        of = rng.integers(0, 60, n)
+        x = rng.normal(size=(60, 128))[of] + np.einsum("ni,nij->nj", rng.normal(size=(n, 8)), (rng.normal(size=(60, 8, 128)) * 0.35)[of])
+    elif kind == "falling":
+        x = rng.normal(size=(n, 128)) / np.arange(1, 129) ** 0.7
+    else:
+        inner, outer, noise = kind
+        x = rng.normal(size=(n, inner)) @ rng.normal(size=(inner, outer)) + rng.normal(size=(n, outer)) * noise
+    m = n // 4
+    step = rng.normal(size=(m, x.shape[1]))
+    x[:m] = x[m : 2 * m] + step / np.linalg.norm(step, axis=1, keepdims=True) * np.linalg.norm(x[m : 2 * m], axis=1, keepdims=True) * rng.uniform(0.05, 0.46, (m, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links_of(u):
+    found = [np.stack(np.nonzero(u[i : i + 1000] @ u.T >= 0.9)) + np.array([[i], [0]]) for i in range(0, len(u), 1000)]
+    a, b = np.concatenate(found, 1)
+    return a[a < b], b[a < b]
+
+
+SHAPES = ["isotropic", "clusters", "falling", (8, 128, 0.0), (12, 128, 0.3), (20, 256, 0.3)]
+
+
+@pytest.mark.parametrize("kind", SHAPES, ids=str)
+@pytest.mark.parametrize("lists", [100, 500])
+def test_lists_that_are_looked_into_hold_the_partners(kind, lists):
+    u = shaped(kind, 12_000, np.random.default_rng(21))
+    index = vectors.Index(u[: max(2048, vectors.PER_CENTROID * lists)], lists, 8, 16, vectors.REACH)
+    own = vectors.nearest(u, index.coarse, 1)[:, 0]
+    a, b = links_of(u)
+    radius = np.sqrt(0.2)
+    met = 0
+    for i in range(0, len(a), 4000):
+        p, q = a[i : i + 4000], b[i : i + 4000]
+        at = np.arange(len(p))
+        met += (index.reached(u[p], own[p], radius)[at, own[q]] & index.reached(u[q], own[q], radius)[at, own[p]]).sum()
+    assert met >= 0.99 * len(a) > 2000
+
+
+@pytest.mark.parametrize("kind", [(8, 128, 0.0), "clusters"], ids=str)
+def test_vectors_of_few_effective_dimensions(spark, kind):
+    u = shaped(kind, 6000, np.random.default_rng(22))
+    a, b = links_of(u)
+    want = np.bincount(np.r_[a, b], minlength=len(u))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, lists=300).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 4000
+
+
 def test_shards_hold_the_streams_in_training_order(docs, tmp_path):
     """Sequence i of the streams, read in plain Python, lies at slot f(i): by rows, by files that a reader seeks in, however the input is split."""
     code, length, per = tokens.coder(tokens.tokenizer_path()), 64, 8
