@@ -82,18 +82,17 @@ def mixed_sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, range-sorted by training position.
 
-    Rows are told apart by digests (128 bits) of all their columns, whatever their names; rows alike in all of them share out their positions.
+    Rows are told apart by digests (128 bits) of all their columns, whatever their names; rows alike in all of them
+    take their positions together, so work is linear in repeated rows. Null and empty texts have no words and are taken at the place where they stand.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     hashed = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
     # hashes pass over nulls, so where these are is hashed too
     tag = F.concat_ws(" ", *[F.xxhash64(F.lit(i), *hashed, *[c.isNull() for c in hashed]) for i in range(2)])
-    at = curriculum(docs, seed, tag).where(F.size("positions") > 0).groupBy("tag").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("rows"))
-    joined = docs.select(row.alias("row"), tag.alias("tag")).join(at, "tag")
-    # the join has brought rows that are alike together: each is numbered, and takes each `rows`-th position
-    number = F.row_number().over(Window.partitionBy("tag").orderBy("tag")) - 1
-    dealt = joined.withColumn("number", number).select("row", "rows", "number", F.posexplode("positions").alias("k", "position")).where(F.col("k") % F.col("rows") == F.col("number"))
-    return dealt.orderBy("position", "row.doc_id").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    at = curriculum(docs, seed, tag).select("tag", F.explode("positions").alias("position"))
+    # one row of those alike stands for all: they take the positions of all of them
+    rows = docs.select(row.alias("row"), tag.alias("tag")).groupBy("tag").agg(F.any_value("row").alias("row"))
+    return at.join(rows, "tag").orderBy("position", "row.doc_id").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = f"""

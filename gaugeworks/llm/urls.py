@@ -17,7 +17,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = "allow", prefix_digits: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of `pages`.
 
-    Each distinct url is expanded into its host suffixes (of as many labels as some rule has) times its path
+    Each row's url is expanded into its host suffixes (of as many labels as some rule has) times its path
     prefixes (of the lengths that rules have). Expressions meet rules on the first digits of their
     SHA-256, full digests confirm, and the longest rule wins; equally long ones by their text. Urls that no
     rule fits get `default`. A null url, or one without ``://``, has empty host and path. Repeated
@@ -42,11 +42,14 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     parts = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     prefixes = F.filter(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), n))), lambda p: p.isNotNull())
-    expanded = split.where("host <> '' or path <> ''").select("url", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("url", "suffix", F.explode("prefixes").alias("prefix"))
-    expanded = expanded.select("url", digest(F.col("suffix"), F.col("prefix")).alias("digest")).withColumn("short", F.substring("digest", 1, prefix_digits))
-    met = expanded.alias("e").join(F.broadcast(table).alias("r"), "short").where("e.digest = r.digest")
-    best = met.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    return split.join(best, "url", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # a row is a key of its own, so that popular urls and nulls are none; its expressions meet again in the task that made them
+    rows = split.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path")
+    keys = ["row", "page_id", "host", "path"]
+    expanded = rows.select(*keys, F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select(*keys, "suffix", F.explode_outer("prefixes").alias("prefix"))
+    expanded = expanded.select(*keys, digest(F.col("suffix"), F.col("prefix")).alias("digest")).withColumn("short", F.substring("digest", 1, prefix_digits))
+    met = expanded.alias("e").join(F.broadcast(table).alias("r"), (F.col("e.short") == F.col("r.short")) & (F.col("e.digest") == F.col("r.digest")), "left")
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict")))
+    return met.groupBy(*keys).agg(best.alias("best")).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = f"""

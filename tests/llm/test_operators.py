@@ -466,6 +466,16 @@ def test_shards_hold_the_streams_in_training_order(docs, tmp_path):
                 assert f.read(length * 2) == at[slot]
 
 
+def test_mixed_documents_of_many_equal_rows(spark):
+    """Work is linear in repeated rows: their squares would be 4 * 10 ** 10 here."""
+    rows = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    more = spark.createDataFrame([(8, "d " * 50, "t"), (9, None, "t")], "doc_id long, text string, source string")
+    docs = rows.union(more)
+    taken = mixing.mixed_sizes(docs).where("size > 0").groupBy("doc_id").agg(F.sum(F.col("taken") / F.col("size")).alias("n")).where("n > 0").collect()
+    got = mixing.mixed_documents(docs).groupBy("doc_id", "text").count().where("text is not null").collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {r["doc_id"]: round(r["n"]) for r in taken} and len(got) == 2
+
+
 def test_mixed_documents_keep_every_column(spark):
     rows = [(1, "a b", "en", "s", 1, "x"), (1, "a b", "de", "s", 2, "y"), (2, "c " * 40, None, "t", 3, "z"), (2, "c " * 40, "t", None, 3, "z"), (3, None, "en", "s", 0, "x"), (4, "d d d", "en", "s", 0, "u"), (4, "d d d", "en", "s", 0, "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _h string")
