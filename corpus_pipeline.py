@@ -13,7 +13,7 @@ from gaugeworks.llm.common import stored
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language is found (null, or without letters) go."""
+    """Texts go that are null or without letters, and those that no language learned from the labelled ones parses into fewer bits, all but 8 phrases, than letters one by one take."""
     return langid.known_language(docs)
 
 
@@ -23,18 +23,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that shingles of five words and a similarity of 0.8 link, the one with the smallest doc_id stays. Rows without doc_id stay."""
+    """Of documents that shingles of five words and a similarity of 0.8 link, the one with the smallest doc_id stays. Rows without doc_id stay, and so do all rows that bear a doc_id that stays."""
     gone = jaccard.ngram_jaccard_join(docs, width=5, num=80, den=100).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, rows as often as taken, in training order."""
+    """Sources at their target weights, rows as often as taken, in training order. A null source is a source; null texts have no words."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1024 tokens."""
+    """The pieces of sequences of 1024 tokens; a null text is the closing id alone."""
     return tokens.packed(docs)
 
 
