@@ -1,8 +1,7 @@
-"""State and history from an append-only log (H1-H8, J14), edits in bulk."""
+"""State and history from an append-only log (H1-H8, J14), edits in bulk. Lists are in lists.py."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,39 +20,6 @@ def current_state(snapshot: DataFrame, changes: DataFrame, entity: str, after: s
     return both.select("project_id", entity, F.when(F.col("l").isNotNull(), F.col("l.v")).otherwise(F.col("was")).alias(after)).where(F.col(after).isNotNull())
 
 
-def current_order(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
-    """H2: project_id, entity and pos (from 0) of a list after its log, and whether the log fits the list (`sound`, for the whole project).
-
-    `snapshot`: project_id, entity, pos; `changes`: project_id, seq, kind (inserted, removed, ordered), entity, index, and `before` and `after`, the
-    entities of an ordered list. Inserts shift what follows, so a project's structural changes are replayed in order, one project at a time; values
-    need no order (current_state). A change that does not fit breaks the project: it gets one row without an entity.
-    """
-    lists = snapshot.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda r: r["entity"]).alias("start"))
-    log = changes.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "entity", "index", "before", "after"))).alias("log"))
-
-    def replay(batches):
-        for b in batches:
-            found = []
-            for r in b.to_pylist():
-                items, sound = list(r["start"] or []), True
-                for c in r["log"] or []:
-                    i = -1 if c["index"] is None else c["index"]
-                    if c["kind"] == "inserted" and 0 <= i <= len(items) and c["entity"] not in items:
-                        items.insert(i, c["entity"])
-                    elif c["kind"] == "removed" and 0 <= i < len(items) and items[i] == c["entity"]:
-                        items.pop(i)
-                    elif c["kind"] == "ordered" and c["before"] == items and sorted(c["after"] or []) == sorted(items):
-                        items = c["after"]
-                    else:
-                        sound = False
-                        break
-                found += [(r["project_id"], e, p, True) for p, e in enumerate(items)] if sound else [(r["project_id"], None, None, False)]
-            columns = zip(*found, strict=True) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["project_id", "entity", "pos", "sound"])
-
-    return lists.join(log, "project_id", "full").mapInArrow(replay, "project_id bigint, entity bigint, pos int, sound boolean")
-
-
 def refused_edits(edits: DataFrame, known: DataFrame) -> DataFrame:
     """Edits (entity, field, value) with the reason why each is refused, null for those that hold; `known`: entity, the characteristics there are."""
     field, value = F.col("field"), F.col("value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import exprs as X
 from gaugeworks.functions.exprs import DEC
-from gaugeworks.operators import evaluate, extract, history, numbering, report, tolerance
+from gaugeworks.operators import evaluate, extract, history, lists, numbering, report, tolerance
 from gaugeworks.plans import base
 from gaugeworks.plans.base import CTE, STATE, load
 from gaugeworks.plans.inspection import _CASCADE, _EV, _ZONES, SQL, TYPED, _changes, _columns, _number, _points, _state, _texts, query
@@ -264,7 +264,7 @@ def list_order(spark: SparkSession, sf: str) -> DataFrame:
     none, project = F.lit(None).cast("array<bigint>"), F.floor(F.col("event_id") / 1000)
     index = F.when((project % 10 == 3) & (F.col("event_id") % 1000 >= 500), 1000000).otherwise(0).cast("int")
     changes = load(spark, sf, "events").select(project.alias("project_id"), F.col("event_id").alias("seq"), F.lit("inserted").alias("kind"), (F.col("event_id") + 10000000).alias("entity"), index.alias("index"), none.alias("before"), none.alias("after"))
-    return history.current_order(start, changes)
+    return lists.current_order(start, changes)
 
 
 @query("h13_last_modified", "SELECT s_suppkey AS project_id, strftime(coalesce(max(ts), TIMESTAMP '2020-02-03 04:05:06'), '%Y-%m-%d %H:%M:%S') AS modified FROM supplier LEFT JOIN events ON user_id % 50 = s_suppkey GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.plans import drawing, records  # noqa: F401
+from gaugeworks.plans import drawing, records, review  # noqa: F401
 from gaugeworks.plans.inspection import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

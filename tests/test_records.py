@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import exprs as X
 from gaugeworks.functions.folds import folded
-from gaugeworks.operators import evaluate, history, numbering, report
+from gaugeworks.operators import evaluate, history, lists, numbering, report
 from gaugeworks.sources import projects
 
 CHANGE = "project_id long, seq long, kind string, entity long, index int, before array<bigint>, after array<bigint>"
@@ -54,7 +54,7 @@ def test_list_order_follows_the_log(spark):
         (1, 1, "inserted", 12, 1, None, None), (1, 2, "ordered", None, None, [10, 12, 11], [11, 10, 12]), (1, 3, "removed", 10, 1, None, None), (2, 1, "removed", 21, 0, None, None),
         (3, 1, "inserted", 30, 0, None, None), (3, 2, "inserted", 31, 1, None, None), (4, 1, "ordered", None, None, [40], [40, 41]),
     ]
-    got = sorted(map(tuple, history.current_order(start, spark.createDataFrame(log, CHANGE)).collect()), key=str)
+    got = sorted(map(tuple, lists.current_order(start, spark.createDataFrame(log, CHANGE)).collect()), key=str)
     assert got == [(1, 11, 0, True), (1, 12, 1, True), (2, None, None, False), (3, 30, 0, True), (3, 31, 1, True), (4, None, None, False)]
 
 
