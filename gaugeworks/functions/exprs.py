@@ -105,15 +105,15 @@ def in_rect(x: Column, y: Column, left: Column, top: Column, width: Column, heig
 
 
 def in_box(x: Column, y: Column, cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
-    """in a box turned by `angle` degrees about its centre."""
-    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    """in a box turned by `angle` degrees about its centre, counterclockwise as seen on the sheet, whose y goes down."""
+    c, s = F.cos(F.radians(angle)), -F.sin(F.radians(angle))
     dx, dy = x - cx, y - cy
     return (F.abs(dx * c + dy * s) <= w / 2 + 1e-9) & (F.abs(dy * c - dx * s) <= h / 2 + 1e-9)
 
 
 def box_corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
-    """The four corners of an oriented box."""
-    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    """The four corners of an oriented box, turned as in in_box()."""
+    c, s = F.cos(F.radians(angle)), -F.sin(F.radians(angle))
     at = lambda a, b: F.struct((cx + a * w / 2 * c - b * h / 2 * s).alias("x"), (cy + a * w / 2 * s + b * h / 2 * c).alias("y"))
     return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.folds import folded
-from gaugeworks.operators.extract import callouts
+from gaugeworks.operators.extract import callouts_once
 
 # Shares of the font size, of a text's extent, and degrees
 SIZE_SHARE, TURN, BASELINE, OVERLAP, GAP, SPACE = 0.05, 1.0, 0.2, 0.3, 0.8, 0.2
@@ -129,7 +129,7 @@ def limit_pairs(lines: DataFrame) -> DataFrame:
     Both are plain sizes with as many places, at least one; the lower is at least 0.8 of the upper; they are close and of like height.
     Pairs are taken from the top. A pair is no plain size, so in a row of lines that could all pair every second one ends a pair: windows find that.
     """
-    read = callouts(lines.withColumn("requirement_text", F.col("text")))
+    read = callouts_once(lines.withColumn("requirement_text", F.col("text")))
     w = Window.partitionBy(*BOX, "direction").orderBy("line")
     plain = F.col("parse_ok") & F.col("nominal").isNotNull() & F.col("tol_kind").isNull() & F.col("fit").isNull() & F.col("marking").isNull() & (F.col("quantity") == 1) & ~F.col("text").rlike("[xX×] ?[0-9]| REF$")
     read = read.withColumn("size", F.when(plain & F.col("kind").isin("linear", "diameter", "radius"), F.struct("nominal", "scale", "kind", "u0", "u1", "v0", "v1")))
@@ -154,7 +154,7 @@ def limit_pairs(lines: DataFrame) -> DataFrame:
 def box_texts(lines: DataFrame) -> DataFrame:
     """A text for each line of a box if every line can be read, else one text for the box."""
     whole = Window.partitionBy(*BOX)
-    read = callouts(lines.withColumn("requirement_text", F.col("text"))).select(*lines.columns, "parse_ok")
+    read = callouts_once(lines.withColumn("requirement_text", F.col("text"))).select(*lines.columns, "parse_ok")
     rows = read.withColumn("apart", F.bool_and("parse_ok").over(whole)).withColumn("part", F.when(F.col("apart"), F.struct("direction", "line")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("direction", "line", "text"))), lambda t: t["text"]), " ")
     rows = rows.groupBy(*BOX, "part").agg(text.alias("requirement_text"), F.bool_or("stacked").alias("stacked"), F.bool_and("framed").alias("framed"))

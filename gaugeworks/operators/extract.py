@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC, strict_decimal, written_scale
 from gaugeworks.operators.tolerance import fit_parts
+from gaugeworks.sources.scratch import written
 
 # Numbers as drawings have them: decimals with point or comma, inch fractions of a power of two, degrees with minutes and seconds
 _PLAIN = "(?:[0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)"
@@ -138,6 +139,18 @@ def callouts(rows: DataFrame, text: str = "requirement_text", drawing_unit: str
     return rows.withColumn("_callout", callout(F.col(text), drawing_unit)).select(*[c for c in rows.columns if c not in fields], "_callout.*")
 
 
+def callouts_once(rows: DataFrame, text: str = "requirement_text", drawing_unit: str = "mm") -> DataFrame:
+    """callouts() for texts that repeat, as a drawing's do: each distinct text is read once, into a table that rows then meet.
+
+    What follows starts from that table, so that its plan does not hold the reading. A null text is read as an empty one.
+    """
+    fields = ("quantity", "kind", "marking", "nominal", "scale", "fit", "tol_kind", "tol_a", "tol_b", "unit", "hints", "parse_ok", "suffixes")
+    key = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = rows.select(key.alias("_text")).distinct()
+    read = written(callouts(texts, "_text", drawing_unit), "callouts")
+    return rows.drop(*fields).withColumn("_text", key).join(read, "_text", "left").drop("_text")
+
+
 def sheet_kinds(objects: DataFrame) -> DataFrame:
     """Of counts for each sheet (readable, unmapped, image_cover): vector_text, raster or outlined."""
     text = (F.col("readable") >= 10) & (F.col("unmapped") * 2 <= F.col("readable") + F.col("unmapped"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC, follows_general, manual_limits
-from gaugeworks.operators.extract import callouts
+from gaugeworks.operators.extract import callouts_once
 from gaugeworks.operators.tolerance import derived, explicit_deviations
 
 LENGTH_KINDS = ("linear", "diameter", "radius", "spherical_radius", "depth")
@@ -35,7 +35,7 @@ def filled_unit(kind: Column, nominal: Column, unit: Column, sheet_unit: Column)
 
 def readings(rows: DataFrame, cells: DataFrame, general_class: str | None, basic: str = "basic") -> DataFrame:
     """New fields of each (project_id, char_id) from requirement_text and shorter_leg, as struct `new` with kind, quantity, inspect and parse_ok; `basic` marks a frame found before."""
-    asked = callouts(rows.select("project_id", "char_id", "requirement_text", "shorter_leg", F.col(basic).alias("basic_frame")))
+    asked = callouts_once(rows.select("project_id", "char_id", "requirement_text", "shorter_leg", F.col(basic).alias("basic_frame")))
     asked = derived(asked.withColumn("marking", F.when(F.col("basic_frame"), "basic").otherwise(F.col("marking"))), cells, general_class)
     new = F.struct(*READ, "kind", "quantity", F.col("inspect_now").alias("inspect"), "parse_ok")
     return asked.select("project_id", "char_id", new.alias("new"))

@@ -159,7 +159,7 @@ def fit_parts(fit: Column) -> Column:
 
 
 def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286") -> DataFrame:
-    """Rows with fit and nominal get fit_upper, fit_lower, the range that the deviations hold for, and fit_found.
+    """Rows with fit and nominal get fit_upper, fit_lower, fit_found, and the range that the deviations hold for (range_lo, range_lo_incl, range_hi, range_hi_incl).
 
     Up to four range lookups: standard tolerance, fundamental deviation, delta, and a special case that replaces the deviation.
     """
@@ -188,12 +188,23 @@ def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286")
     lower = F.when(js, -t / 2).when(is_upper, base - t).otherwise(base).cast(DEC)
     found = F.when(F.col("p").isNull(), "no_fit").when(F.col("it_found") != "value", F.col("it_found")).when(js | F.col("special.value").isNotNull(), "value").when(F.col("dev_found") != "value", F.col("dev_found")).when(with_delta & (grade >= 3) & (F.col("delta_found") != "value"), F.col("delta_found")).otherwise("value")
     ok = found == "value"
-    lo, hi = F.greatest("it.lo", "dev.lo", "delta.lo", "special.lo"), F.least("it.hi", "dev.hi", "delta.hi", "special.hi")
-    return got.withColumn("fit_found", found).withColumn("fit_upper", F.when(ok, upper)).withColumn("fit_lower", F.when(ok, lower)).withColumn("range_lo", F.when(ok, lo)).withColumn("range_hi", F.when(ok, hi)).drop(
-        "p", "table_id", "size", "part_id", "column", "it", "it_found", "dev", "dev_found", "delta", "delta_found", "special", "special_found"
+    cell = lambda c, needed: F.when(needed, F.col(c))
+    used = [cell("it", ok), cell("dev", ~js & F.col("special.value").isNull()), cell("delta", with_delta & (grade >= 3) & F.col("special.value").isNull()), cell("special", F.col("special.value").isNotNull())]
+    bounds = common_range(used)
+    got = got.withColumn("_range", F.when(ok, bounds)).withColumn("fit_found", found).withColumn("fit_upper", F.when(ok, upper)).withColumn("fit_lower", F.when(ok, lower))
+    return got.withColumns({f"range_{k}": F.col(f"_range.{k}") for k in ("lo", "lo_incl", "hi", "hi_incl")}).drop(
+        "p", "table_id", "size", "part_id", "column", "it", "it_found", "dev", "dev_found", "delta", "delta_found", "special", "special_found", "_range"
     )
 
 
+def common_range(cells: list[Column]) -> Column:
+    """T5: struct<lo, lo_incl, hi, hi_incl> that the ranges of some cells (null: not asked) have in common. The tighter bound counts; of equal ones the one that leaves the value out."""
+    # among equal lower bounds the exclusive one is the larger, among equal upper bounds the smaller
+    lower = F.greatest(*[F.when(c["lo"].isNotNull(), F.struct(c["lo"].alias("v"), (~c["lo_incl"]).alias("out"))) for c in cells])
+    upper = F.least(*[F.when(c["hi"].isNotNull(), F.struct(c["hi"].alias("v"), c["hi_incl"].alias("incl"))) for c in cells])
+    return F.struct(lower["v"].alias("lo"), (~lower["out"]).alias("lo_incl"), upper["v"].alias("hi"), upper["incl"].alias("hi_incl"))
+
+
 def explicit_deviations(kind: Column, a: Column, b: Column, nominal: Column) -> Column:
     """struct<upper, lower> of a written tolerance; each may be null."""
     pair = lambda u, lo: F.struct(u.cast(DEC).alias("upper"), lo.cast(DEC).alias("lower"))
@@ -290,7 +301,7 @@ def derived(
     rows = rows.withColumn("hint", F.get("_table_hints", F.lit(0))).withColumn("_had_hints", F.concat(F.array_compact(F.array("_marked")), F.col("_table_hints")))
     read = [F.col("hints")] if "hints" in rows.columns else []
     rows = rows.withColumn("hints", F.concat(*read, F.col("_had_hints")))
-    own = [c for c in rows.columns if c.startswith("_")] + ["fit_upper", "fit_lower", "fit_found", "range_lo", "range_hi"]
+    own = [c for c in rows.columns if c.startswith("_")] + ["fit_upper", "fit_lower", "fit_found", "range_lo", "range_lo_incl", "range_hi", "range_hi_incl"]
     return rows.drop(*own, *([] if given else ["shorter_leg"]))
 
 

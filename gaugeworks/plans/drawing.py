@@ -68,7 +68,7 @@ query(
     CAST(CASE WHEN m = 0 THEN p_size + 0.1 WHEN m <> 1 THEN p_size + low END AS DECIMAL(28,12)) AS lower_limit FROM e UNION ALL SELECT p_partkey, 1, 'general', CAST(2.2 AS DECIMAL(28,12)), CAST(1.8 AS DECIMAL(28,12)) FROM e WHERE m = 3""",
 )
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    read = extract.callouts(_box_texts(spark, sf))
+    read = extract.callouts_once(_box_texts(spark, sf))
     cells = tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)
     return tolerance.derived(read, cells).select("sheet_id", "text_no", "rule", "upper_limit", "lower_limit")
 
@@ -403,7 +403,7 @@ query(
 )
 def limits_in_mm(spark: SparkSession, sf: str) -> DataFrame:
     """Plain sizes in inches and in mm, with limits in mm by the general table, its end at 4000 mm included."""
-    rows = extract.callouts(_drawn(spark, sf).where("p_partkey % 14 in (0, 3)"))
+    rows = extract.callouts_once(_drawn(spark, sf).where("p_partkey % 14 in (0, 3)"))
     got = tolerance.derived(rows, tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS), output_unit="mm")
     return got.select("p_partkey", "rule", "out_nominal", "upper_limit", "lower_limit", "out_unit", "hint")
 
@@ -423,5 +423,5 @@ def kind_order(spark: SparkSession, sf: str) -> DataFrame:
 )
 def truth_categories(spark: SparkSession, sf: str) -> DataFrame:
     """Truth rows as the cascade makes them of the drawn forms."""
-    rows = tolerance.derived(extract.callouts(_drawn(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS))
+    rows = tolerance.derived(extract.callouts_once(_drawn(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS))
     return rows.select("p_partkey", extract.truth_category(*[F.col(c) for c in ("requirement_text", "kind", "nominal", "upper_limit", "lower_limit", "fit", "rule", "inspect_now")]).alias("category"))

@@ -193,7 +193,7 @@ query(
     f"WITH {_CASCADE} SELECT p_partkey, rule, CASE rule WHEN 'fit' THEN 'ISO 286 H7' WHEN 'general' THEN 'ISO 2768-1 m' ELSE '' END AS rule_detail, 'mm' AS unit FROM e",
 )
 def rule_details(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tolerance.derived(extract.callouts(_texts(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS))
+    rows = tolerance.derived(extract.callouts_once(_texts(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS))
     table = F.when(F.col("rule") == "fit", "iso-286").otherwise("iso-2768-1")
     return rows.select("p_partkey", "rule", X.rule_detail(F.col("rule"), table, F.lit("m"), F.col("fit"), F.lit(None).cast("string")).alias("rule_detail"), X.unit_symbol(F.col("unit")).alias("unit"))
 
@@ -206,7 +206,7 @@ def rule_details(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tally_by_trait(spark: SparkSession, sf: str) -> DataFrame:
     """What the cascade proposes against itself, every fiftieth truth with another kind; traits follow from the key."""
-    rows = tolerance.derived(extract.callouts(_texts(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)).withColumn("inspect", F.col("inspect_now"))
+    rows = tolerance.derived(extract.callouts_once(_texts(spark, sf)), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)).withColumn("inspect", F.col("inspect_now"))
     k = F.col("p_partkey")
     traits = F.array_compact(F.array(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "third")))
     truth = rows.withColumn("category", extract.category(F.col("kind"), F.col("tol_kind"), F.col("fit"), F.col("marking"))).withColumn("kind", F.when(k % 50 == 0, "note").otherwise(F.col("kind"))).withColumn("traits", traits)

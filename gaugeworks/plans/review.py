@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC
+from gaugeworks.operators import explain, extract, maps, regions, tolerance
+from gaugeworks.operators.explain import TEXTS
 from gaugeworks.plans.base import load
-from gaugeworks.plans.inspection import query
+from gaugeworks.plans.inspection import _CASCADE, _texts, query
 from gaugeworks.streaming import state
 
 # --- streams
@@ -31,3 +33,120 @@ def verdict_changes(spark: SparkSession, sf: str) -> DataFrame:
     )
     limits = spark.range(150).select((F.col("id") % 50).alias("project_id"), F.expr("id div 50").alias("char_id")).withColumns({c: F.when(F.col("char_id") < 2, F.lit(v).cast(DEC)) for c, v in (("lower_limit", 10), ("upper_limit", 60))})
     return state.verdict_changes(entries, limits)
+
+
+# --- regions and maps
+
+# Callouts of eight forms on sheets of 24 columns, turned by the key; what the drawing says follows from the same key, never from a reading.
+_TRUTH = """SELECT p_partkey, CAST(p_partkey % 5 AS INT) AS sheet_id, m, CAST(p_partkey // 5 % 24 * 48 + 24 AS DOUBLE) AS cx, CAST(p_partkey // 120 * 30 + 15 AS DOUBLE) AS cy, 30.0::DOUBLE AS w, 8.0::DOUBLE AS h, CASE WHEN p_partkey % 3 = 0 THEN 90.0 ELSE 0.0 END::DOUBLE AS angle,
+  ['linear', 'diameter', 'radius', 'linear', 'linear', 'diameter', 'linear', 'thread'][m + 1] AS kind, CAST(p_size AS DECIMAL(28,12)) AS nominal, rule, up, low, m NOT IN (6) AS inspect,
+  ['linear_general', 'diameter_general', 'radius_general', 'symmetric', 'asymmetric', 'fit', 'reference', 'thread'][m + 1] AS category FROM e"""
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth of each part's callout from its key alone."""
+    m = F.col("p_partkey") % 8
+    one_of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (m + 1).cast("int"))
+    size, step = F.col("p_size"), F.lit
+    general = F.when(size <= 6, step("0.1")).when(size <= 30, step("0.2")).otherwise(step("0.3"))
+    radius = F.when(size <= 3, step("0.2")).when(size <= 6, step("0.5")).otherwise(step("1"))
+    fit = F.when(size <= 3, step("0.010")).when(size <= 6, step("0.012")).when(size <= 10, step("0.015")).when(size <= 18, step("0.018")).when(size <= 30, step("0.021")).otherwise(step("0.025"))
+    up = F.when(m < 2, general).when(m == 2, radius).when(m == 3, "0.1").when(m == 4, "0.2").when(m == 5, fit).cast(DEC)
+    low = F.when(m == 4, F.lit("-0.1").cast(DEC)).when(m == 5, F.lit(0).cast(DEC)).otherwise(-up)
+    nominal = size.cast(DEC)
+    k = F.col("p_partkey")
+    return load(spark, sf, "part").select(
+        "p_partkey", (k % 5).cast("int").alias("sheet_id"), k.alias("id"), (F.expr("p_partkey div 5") % 24 * 48 + 24).cast("double").alias("cx"), (F.expr("p_partkey div 120") * 30 + 15).cast("double").alias("cy"), F.lit(30.0).alias("w"), F.lit(8.0).alias("h"),
+        F.when(k % 3 == 0, 90.0).otherwise(0.0).alias("angle"), one_of("linear", "diameter", "radius", "linear", "linear", "diameter", "linear", "thread").alias("kind"), nominal.alias("nominal"), (nominal + up).cast(DEC).alias("upper_limit"), (nominal + low).cast(DEC).alias("lower_limit"),
+        one_of("general", "general", "general", "explicit", "explicit", "fit", "no_tolerance_defined", "no_tolerance_defined").alias("rule"), (m != 6).alias("inspect"),
+        one_of("linear_general", "diameter_general", "radius_general", "symmetric", "asymmetric", "fit", "reference", "thread").alias("category"),
+    )
+
+
+def _read(spark: SparkSession, sf: str) -> DataFrame:
+    """What reading gives for the same callouts: every eleventh stands apart from its place, every thirteenth twice, every seventeenth is misprinted."""
+    k = F.col("p_partkey")
+    texts = _texts(spark, sf).withColumn("requirement_text", F.when(k % 17 == 0, F.concat("requirement_text", F.lit(" §"))).otherwise(F.col("requirement_text")))
+    rows = tolerance.derived(extract.callouts_once(texts), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)).withColumn("inspect", F.col("inspect_now"))
+    at = _truth(spark, sf).select("p_partkey", "sheet_id", (F.col("cx") + 1 + F.when(k % 11 == 0, 5000.0).otherwise(0.0)).alias("cx"), F.col("cy"), (F.col("w") - 2).alias("w"), "h", (F.col("angle") + F.when(k % 2 == 0, 180.0).otherwise(0.0)).alias("angle"))
+    return rows.join(at, "p_partkey").withColumn("copy", F.explode(F.when(k % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    return regions.compared_by_region(_truth(spark, sf), _read(spark, sf), ["sheet_id"])
+
+
+_CASES = f"WITH {_CASCADE}, t AS ({_TRUTH}), c AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 0 WHEN p_partkey % 13 = 0 THEN 2 ELSE 1 END AS n, p_partkey % 17 = 0 AS spoilt FROM t)"
+query(
+    "j13_by_region",
+    f"""{_CASES} SELECT p_partkey, CAST(n AS BIGINT) AS n_proposals, CASE WHEN n <> 1 THEN 'proposals' WHEN spoilt THEN concat_ws(',', 'kind', 'nominal', CASE WHEN m < 6 THEN 'upper_limit,lower_limit' END, CASE WHEN m NOT IN (6, 7) THEN 'rule' END, CASE WHEN m = 6 THEN 'inspect' END, 'parse_error') ELSE '' END AS wrong FROM c""",
+)(lambda s, sf: _cases(s, sf).select("p_partkey", "n_proposals", F.array_join("wrong", ",").alias("wrong")))
+
+
+@query(
+    "q7_evaluation",
+    f"""{_CASES}, x AS (SELECT category, angle <> 0 AS rotated, category IN ('asymmetric', 'one_sided', 'limit', 'fit_printed') AS stacked, m = 3 AS comma, n = 1 AND NOT spoilt AS ok FROM c UNION ALL SELECT 'other', false, false, false, false FROM supplier),
+    g AS (SELECT 'category' AS "of", category AS name, ok FROM x UNION ALL SELECT 'trait', 'rotated', ok FROM x WHERE rotated UNION ALL SELECT 'trait', 'stacked', ok FROM x WHERE stacked UNION ALL SELECT 'trait', 'decimal_comma', ok FROM x WHERE comma UNION ALL SELECT 'total', 'strict', ok FROM x WHERE category <> 'other'),
+    names AS (SELECT 'category' AS "of", unnest(['linear_general', 'diameter_general', 'radius_general', 'angle_general', 'chamfer_general', 'symmetric', 'asymmetric', 'one_sided', 'limit', 'fit', 'fit_printed', 'thread', 'reference', 'other']) AS name UNION ALL SELECT 'trait', unnest(['decimal_comma', 'rotated', 'stacked', 'leg_entered']) UNION ALL SELECT 'total', 'strict'),
+    k AS (SELECT names."of", names.name, count(ok) AS n, count(*) FILTER (ok) AS n_correct FROM names LEFT JOIN g ON names."of" = g."of" AND names.name = g.name GROUP BY 1, 2)
+    SELECT "of", name, n, n_correct, CASE WHEN n > 0 THEN ((n_correct * 1000 + n // 2) // n) / 10.0 END AS percent, n > 0 AND n_correct * 100 >= n * 99 AS passes FROM k""",
+)
+def evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases of the region join, and a second set of free texts that nobody could read; both together."""
+    texts = _texts(spark, sf)
+    cases = _cases(spark, sf).join(texts, "p_partkey").withColumn("traits", regions.truth_traits(F.col("requirement_text"), F.col("angle"), F.col("category"))).withColumn("leg_entered", F.lit(False))
+    free = load(spark, sf, "supplier").select(F.lit("other").alias("category"), F.array().cast("array<string>").alias("traits"), F.lit(False).alias("leg_entered"), F.lit(False).alias("correct"))
+    return regions.evaluation(cases, free)
+
+
+# A sheet of 1190 x 842 is turned by a quarter, so that x' = 842 - y and y' = x, then stretched to twice the width
+@query(
+    "g1_sheet_edits",
+    """WITH p AS (SELECT p_partkey AS id, p_partkey % 20 AS sheet_id, CAST(p_partkey * 37 % 1400 AS DOUBLE) AS x, CAST(p_partkey * 53 % 1000 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS w, CAST(p_size % 7 + 1 AS DOUBLE) AS h, CAST(p_partkey % 4 * 30 AS DOUBLE) AS angle FROM part),
+    q AS (SELECT *, sheet_id % 5 <> 4 AS mapped, 2 * (842 - y) AS nx, x AS ny FROM p),
+    b AS (SELECT sheet_id, 'balloon' AS what, id, CASE WHEN mapped THEN least(greatest(nx, 0), 1684) ELSE x END AS x, CASE WHEN mapped THEN least(greatest(ny, 0), 1190) ELSE y END AS y, NULL::DOUBLE AS w, NULL::DOUBLE AS h, true AS kept FROM q),
+    v AS (SELECT sheet_id, 'view' AS what, id, mapped, x, y, w, h, greatest(2 * (842 - y - h), 0) AS l, greatest(x, 0) AS t, least(nx, 1684) AS r, least(x + w, 1190) AS bt FROM q),
+    vv AS (SELECT sheet_id, what, id, CASE WHEN NOT mapped THEN x WHEN r > l AND bt > t THEN l END AS x, CASE WHEN NOT mapped THEN y WHEN r > l AND bt > t THEN t END AS y, CASE WHEN NOT mapped THEN w WHEN r > l AND bt > t THEN r - l END AS w, CASE WHEN NOT mapped THEN h WHEN r > l AND bt > t THEN bt - t END AS h, NOT mapped OR (r > l AND bt > t) AS kept FROM v),
+    s AS (SELECT sheet_id, 'source' AS what, id, CASE WHEN mapped THEN nx ELSE x END AS x, CASE WHEN mapped THEN ny ELSE y END AS y, CASE WHEN mapped THEN w * sqrt(4 * pow(sin(radians(angle)), 2) + pow(cos(radians(angle)), 2)) ELSE w END AS w, CASE WHEN mapped THEN h * sqrt(4 * pow(cos(radians(angle)), 2) + pow(sin(radians(angle)), 2)) ELSE h END AS h, true AS kept FROM q)
+    SELECT sheet_id, what, id, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, kept FROM (SELECT * FROM b UNION ALL SELECT * FROM vv UNION ALL SELECT * FROM s)""",
+)
+def sheet_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks by key on twenty sheets, of which every fifth has no map. The map comes from four corners."""
+    k = F.col("p_partkey")
+    marks = load(spark, sf, "part").select(
+        k.alias("id"), (k % 20).alias("sheet_id"), (k * 37 % 1400).cast("double").alias("x"), (k * 53 % 1000).cast("double").alias("y"), F.col("p_size").cast("double").alias("w"), (F.col("p_size") % 7 + 1).cast("double").alias("h"), (k % 4 * 30).cast("double").alias("angle"),
+    )
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    # the new sheet's corners, clockwise from its top left, as they stand on the old one
+    sheets = spark.range(20).where("id % 5 <> 4").select(F.col("id").alias("sheet_id"), F.array(corner(0, 842), corner(0, 0), corner(1190, 0), corner(1190, 842)).alias("quad"), F.lit(1684.0).alias("width"), F.lit(1190.0).alias("height"))
+    of = sheets.withColumn("map", maps.quad_map(F.col("quad"), F.col("width"), F.col("height"))).drop("quad")
+    balloons = marks.select("sheet_id", "id", "x", "y", F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"))
+    sources = marks.select("sheet_id", "id", F.col("x").alias("cx"), F.col("y").alias("cy"), "w", "h", "angle")
+    views = marks.select("sheet_id", "id", "x", "y", "w", "h")
+    got = maps.sheet_edits(balloons, sources, views, views.limit(0), of)
+    return got.select("sheet_id", "what", "id", *[F.round(c, 4).alias(c) for c in ("x", "y", "w", "h")], "kept")
+
+
+# --- sentences
+
+_SAID = """WITH {cascade}, s AS (SELECT p_partkey, m, CAST(p_size AS VARCHAR) AS n, CASE WHEN p_size <= 3 THEN 3 WHEN p_size <= 6 THEN 6 WHEN p_size <= 10 THEN 10 WHEN p_size <= 18 THEN 18 WHEN p_size <= 30 THEN 30 ELSE 50 END AS step, p_size, up FROM e),
+    r AS (SELECT *, CASE WHEN m = 5 THEN CASE step WHEN 3 THEN '{upto} 3' WHEN 6 THEN '{over} 3 {upto} 6' WHEN 10 THEN '{over} 6 {upto} 10' WHEN 18 THEN '{over} 10 {upto} 18' WHEN 30 THEN '{over} 18 {upto} 30' ELSE '{over} 30 {upto} 50' END
+      WHEN p_size <= 3 THEN '{from_} 0{p}5 {upto} 3' WHEN p_size <= 6 THEN '{over} 3 {upto} 6' WHEN m = 2 THEN '{over} 6' WHEN p_size <= 30 THEN '{over} 6 {upto} 30' ELSE '{over} 30 {upto} 120' END || ' mm' AS range, replace(regexp_replace(CAST(up AS VARCHAR), '\\.?0+$', ''), '.', '{p}') AS dev FROM s)
+    SELECT p_partkey, CASE m WHEN 3 THEN '{explicit} ±0{p}1 mm.' WHEN 4 THEN '{explicit} +0{p}2 / -0{p}1 mm.' WHEN 5 THEN '{fit} ' || '{nominal} ' || n || ' mm {is_in} ' || range || ', {so} +' || dev || ' / 0 mm.' WHEN 6 THEN '{reference}' WHEN 7 THEN '{nothing}'
+      ELSE '{general} ' || CASE WHEN m = 2 THEN 'radius_chamfer' ELSE 'linear' END || '. {nominal} ' || n || ' mm {is_in} ' || range || ', {so} ±' || dev || ' mm.' END AS explanation FROM r"""
+_WORDS = {
+    "en": dict(upto="up to and including", over="over", from_="from", p=".", explicit="Tolerance written on the drawing:", fit="Fit H7 from table iso-286 version 2.", nominal="Nominal", is_in="is in the range", so="so", reference=TEXTS["en"]["reference_dimension"], nothing=TEXTS["en"]["no_tolerance_defined"], general="No tolerance on the drawing. General tolerance iso-2768-1 version 1, class m, part"),
+    "de": dict(upto="bis einschließlich", over="über", from_="ab", p=",", explicit="Toleranz in der Zeichnung angegeben:", fit="Passung H7 aus Tabelle iso-286 Version 2.", nominal="Nennmaß", is_in="liegt im Bereich", so="daher", reference=TEXTS["de"]["reference_dimension"], nothing=TEXTS["de"]["no_tolerance_defined"], general="Keine Toleranz in der Zeichnung. Allgemeintoleranz iso-2768-1 Version 1, Klasse m, Teil"),
+}
+
+
+def _sentences(language: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        cells = tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)
+        return explain.explained(explain.derivations(extract.callouts_once(_texts(spark, sf)), cells), language).select("p_partkey", "explanation")
+
+    return run
+
+
+for _language, _words in _WORDS.items():
+    query(f"t16_sentences_{_language}", _SAID.format(cascade=_CASCADE, **_words))(_sentences(_language))

@@ -56,7 +56,7 @@ def test_scalars(spark):
     row = spark.createDataFrame([("-1.50", "1234567890123456", "2024-02-30", "2024-02-29")], "a string, b string, c string, d string")
     got = row.select(X.strict_decimal(F.col("a")), X.written_scale(F.col("a")), X.spreadsheet_number(F.col("b")), X.signed(F.lit("0.2")), X.signed(F.lit("-0.0")), X.localized(F.lit("1.5")), X.date_ok(F.col("c")), X.date_ok(F.col("d")), X.date_ok(F.lit(""))).first()
     assert tuple(got)[:6] == (D("-1.5"), 2, None, "+0.2", "0.0", "1,5") and not got[6] and got[7] and got[8]
-    assert row.select(X.in_box(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(0.5), F.lit(45.0))).first()[0]
+    assert row.select(X.in_box(F.lit(1.0), F.lit(-1.0), F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(0.5), F.lit(45.0))).first()[0]
     assert row.select(X.projected(F.array(*[F.lit(float(v)) for v in (1, 0, 5, 0, 1, 0, 0, 0, 1)]), F.lit(1.0), F.lit(2.0)).alias("q")).first()["q"] == (6.0, 2.0)
 
 
