@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC
+from gaugeworks.operators import fits
 
 # ISO 2768-1 general tolerances (mm; angular in minutes of arc by the shorter leg). None: not defined
 GENERAL: dict[str, Any] = {
@@ -39,26 +40,8 @@ GENERAL: dict[str, Any] = {
     ],
 }
 
-# An extract of ISO 286-1, sizes to 50 mm, in mm. The whole standard is read from a file, see read_table()
-_STEPS = ["3", "6", "10", "18", "30", "50"]
-
-
-def _steps(columns: dict[str, list[str]], **part: Any) -> dict[str, Any]:
-    rows = [{**({"min_exclusive": _STEPS[i - 1]} if i else {}), "max_inclusive": s, "values": [v[i] for v in columns.values()]} for i, s in enumerate(_STEPS)]
-    return {**part, "value_unit": "mm", "columns": list(columns), "rows": rows}
-
-
-FITS: dict[str, Any] = {
-    "table": {"id": "iso-286", "version": 2, "kind": "fit", "status": "verified"},
-    "part": [
-        _steps({"IT6": ["0.006", "0.008", "0.009", "0.011", "0.013", "0.016"], "IT7": ["0.010", "0.012", "0.015", "0.018", "0.021", "0.025"], "IT8": ["0.014", "0.018", "0.022", "0.027", "0.033", "0.039"], "IT9": ["0.025", "0.030", "0.036", "0.043", "0.052", "0.062"]}, id="standard_tolerance", kind="standard_tolerance"),
-        _steps({"f": ["-0.006", "-0.010", "-0.013", "-0.016", "-0.020", "-0.025"], "g": ["-0.002", "-0.004", "-0.005", "-0.006", "-0.007", "-0.009"], "h": ["0"] * 6}, id="shaft_upper", kind="fundamental_deviation", feature="shaft", deviation="upper"),
-        _steps({"k": ["0", "0.001", "0.001", "0.001", "0.002", "0.002"], "k_other": ["0"] * 6, "m": ["0.002", "0.004", "0.006", "0.007", "0.008", "0.009"], "n": ["0.004", "0.008", "0.010", "0.012", "0.015", "0.017"], "p": ["0.006", "0.012", "0.015", "0.018", "0.022", "0.026"]}, id="shaft_lower", kind="fundamental_deviation", feature="shaft", deviation="lower"),
-        _steps({"F": ["0.006", "0.010", "0.013", "0.016", "0.020", "0.025"], "G": ["0.002", "0.004", "0.005", "0.006", "0.007", "0.009"], "H": ["0"] * 6}, id="hole_lower", kind="fundamental_deviation", feature="hole", deviation="lower"),
-        _steps({"N": ["-0.004", "-0.008", "-0.010", "-0.012", "-0.015", "-0.017"], "P": ["-0.006", "-0.012", "-0.015", "-0.018", "-0.022", "-0.026"]}, id="hole_upper", kind="fundamental_deviation", feature="hole", deviation="upper"),
-        _steps({"IT6": ["0", "0.003", "0.003", "0.003", "0.004", "0.005"], "IT7": ["0", "0.004", "0.006", "0.007", "0.008", "0.009"], "IT8": ["0", "0.006", "0.007", "0.009", "0.012", "0.014"]}, id="delta", kind="delta"),
-    ],
-}
+#: The table of fits to 500 mm. Others are read from a file, see read_table()
+FITS: dict[str, Any] = fits.table()
 
 CELLS = "table_id string, version int, kind string, status string, part_id string, part_kind string, applies_to string, range_of string, feature string, deviation string, value_unit string, part_no int, row_no int, col_no int, column string, lo_text string, lo_incl boolean, hi_text string, hi_incl boolean, value_text string"
 #: Tolerance tables are broadcast; a table file has far fewer cells.
@@ -161,8 +144,11 @@ def fit_parts(fit: Column) -> Column:
 def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286") -> DataFrame:
     """Rows with fit and nominal get fit_upper, fit_lower, fit_found, and the range that the deviations hold for (range_lo, range_lo_incl, range_hi, range_hi_incl).
 
-    Up to four range lookups: standard tolerance, fundamental deviation, delta, and a special case that replaces the deviation.
+    Up to four range lookups: standard tolerance, fundamental deviation, delta, and a special case that replaces the deviation. Each range is
+    widened over the rows beside it that give the same value (J7).
     """
+    spans = {"lo": "span_lo", "lo_incl": "span_lo_incl", "hi": "span_hi", "hi_incl": "span_hi_incl"}
+    cells = span_table(cells).withColumns({k: F.col(v) for k, v in spans.items()}).drop(*spans.values())
     p = fit_parts(F.col("fit"))
     rows = rows.withColumn("p", p).withColumn("table_id", F.lit(table_id)).withColumn("size", size_in_mm(rows))
     letter, grade, hole = F.col("p.letter"), F.col("p.grade"), F.col("p.feature") == "hole"

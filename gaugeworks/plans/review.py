@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC
-from gaugeworks.operators import explain, extract, maps, regions, tolerance
+from gaugeworks.operators import explain, extract, fits, maps, regions, tolerance
 from gaugeworks.operators.explain import TEXTS
 from gaugeworks.plans.base import load
 from gaugeworks.plans.inspection import _CASCADE, _texts, query
@@ -150,3 +150,38 @@ def _sentences(language: str):
 
 for _language, _words in _WORDS.items():
     query(f"t16_sentences_{_language}", _SAID.format(cascade=_CASCADE, **_words))(_sentences(_language))
+
+
+# --- fits of all sizes
+
+_IT = {g: [int(v) for v in fits.GRADES[g].split()] for g in ("IT6", "IT7", "IT8", "IT9")}
+_ENDS = [int(v) for v in fits.RANGES.split()]
+_ASKED = ("H7", "h6", "js9", "K7", "P6", "N9", "f8", "m6", "JS7", "d11", "G7", "Z99")
+
+
+def _at(values: list[int]) -> str:
+    return f"CASE {' '.join(f'WHEN size <= {e} THEN {v}' for e, v in zip(_ENDS, values, strict=True))} END"
+
+
+def _shaft(letter: str) -> str:
+    return _at([int(v) for v in (fits.SHAFT_UPPER | fits.SHAFT_LOWER)[letter].split()])
+
+
+# Deviations in micrometres, written out for each of the twelve classes: the lower one of a hole from H on, the upper one of a shaft to h, or what its delta gives
+_UP = {
+    "H7": _at(_IT["IT7"]), "h6": "0", "js9": f"({_at(_IT['IT9'])}) / 2.0", "K7": f"-({_shaft('k')}) + CASE WHEN size <= 3 THEN 0 ELSE ({_at(_IT['IT7'])}) - ({_at(_IT['IT6'])}) END", "P6": f"-({_shaft('p')}) + CASE WHEN size <= 3 THEN 0 ELSE ({_at(_IT['IT6'])}) - ({_at([int(v) for v in fits.GRADES['IT5'].split()])}) END",
+    "N9": "CASE WHEN size <= 1 THEN NULL WHEN size <= 3 THEN -4 ELSE 0 END", "f8": f"-({_shaft('f')})", "m6": f"({_shaft('m')}) + ({_at(_IT['IT6'])})", "JS7": f"({_at(_IT['IT7'])}) / 2.0", "d11": f"-({_shaft('d')})", "G7": f"({_shaft('g')}) + ({_at(_IT['IT7'])})", "Z99": "NULL",
+}
+_WIDE = {"H7": 7, "h6": 6, "js9": 9, "K7": 7, "P6": 6, "N9": 9, "f8": 8, "m6": 6, "JS7": 7, "G7": 7}
+query(
+    "t4_fits_of_all_sizes",
+    f"""WITH p AS (SELECT p_partkey, p_partkey % 560 + 1 AS size, p_partkey % 12 AS k FROM part),
+    u AS (SELECT *, CASE k {' '.join(f'WHEN {i} THEN {_UP[f]}' for i, f in enumerate(_ASKED))} END AS up, CASE k {' '.join(f'WHEN {i} THEN {_at(_IT[f"IT{_WIDE[f]}"])}' if f in _WIDE else f'WHEN {i} THEN 10 * ({_at(_IT["IT6"])})' if f == 'd11' else f'WHEN {i} THEN NULL' for i, f in enumerate(_ASKED))} END AS wide FROM p)
+    SELECT p_partkey, CASE WHEN k = 11 THEN 'no_fit' WHEN wide IS NULL THEN 'out_of_range' WHEN up IS NULL THEN 'not_defined' ELSE 'value' END AS fit_found, CAST(CASE WHEN wide IS NOT NULL THEN up END AS DOUBLE) / 1000 AS fit_upper, CAST(CASE WHEN up IS NOT NULL THEN up - wide END AS DOUBLE) / 1000 AS fit_lower FROM u""",
+)(lambda s, sf: tolerance.expanded_fits(_asked_fits(s, sf), tolerance.table_cells(s, tolerance.FITS)).select("p_partkey", "fit_found", F.round(F.col("fit_upper").cast("double"), 6).alias("fit_upper"), F.round(F.col("fit_lower").cast("double"), 6).alias("fit_lower")))
+
+
+def _asked_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes from 1 to 560 mm with twelve classes in turn, one of which is none."""
+    k = F.col("p_partkey")
+    return load(spark, sf, "part").select("p_partkey", (k % 560 + 1).cast(DEC).alias("nominal"), F.element_at(F.array(*map(F.lit, _ASKED)), (k % 12 + 1).cast("int")).alias("fit"))
