@@ -104,6 +104,33 @@ def without_results(keys: DataFrame, results: DataFrame, on: list[str]) -> DataF
     return keys.join(results, on, "left_anti")
 
 
+def cascade(roots: DataFrame, key: list[str], levels: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """For each of `roots` how many rows of each level hang on it, before anything goes: `key` and a count by the level's name.
+
+    Levels go down along foreign keys: (name, table, columns that both it and the level above have). A row counts once for each root
+    that it hangs on, whatever number of ways lead to it.
+    """
+    top = [f"_root_{c}" for c in key]
+    above = roots.select(*[F.col(c).alias(t) for c, t in zip(key, top, strict=True)], *roots.columns).distinct()
+    out = roots.select(*key).distinct()
+    for name, table, on in levels:
+        above = table.join(above.select(*top, *on).distinct(), on)
+        found = above.groupBy(*top).agg(F.count("*").alias(name))
+        found = found.select(*[F.col(t).alias(c) for c, t in zip(key, top, strict=True)], name)
+        out = out.join(found, key, "left").na.fill(0, [name])
+    return out
+
+
+def removed(roots: DataFrame, levels: list[tuple[str, DataFrame, list[str]]]) -> dict[str, DataFrame]:
+    """What of each level stays when the roots and all that hangs on them go."""
+    above, out = roots, {}
+    for name, table, on in levels:
+        keys = above.select(*on).distinct()
+        out[name] = table.join(keys, on, "left_anti")
+        above = table.join(keys, on, "left_semi")
+    return out
+
+
 def orphans(results: DataFrame, characteristics: DataFrame, samples: DataFrame) -> DataFrame:
     """Results whose sample or characteristic is unknown."""
     no_char = results.join(characteristics, ["project_id", "char_id"], "left_anti").withColumn("reason", F.lit("unknown_characteristic"))

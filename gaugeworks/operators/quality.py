@@ -75,9 +75,13 @@ def traits(text: Column, angle: Column, category: Column) -> Column:
 
 
 def second_pass(read: DataFrame, truth: DataFrame, again, hint: str = "shorter_leg_unknown") -> DataFrame:
-    """Q5: rows whose hints say that the shorter leg is not known, and whose truth (project_id, char_id, leg) has one, are read once more by `again` with it; others stay."""
+    """Q5: rows whose note or hints say that the shorter leg is not known, and whose truth (project_id, char_id, leg) has one, are read once more by `again` with it; others stay."""
     keys = ["project_id", "char_id"]
-    wants = F.coalesce(F.array_contains("hints", hint), F.lit(False))
+    wants = F.lit(False)
+    if "note" in read.columns:
+        wants = wants | F.coalesce(F.col("note") == hint, F.lit(False))
+    if "hints" in read.columns:
+        wants = wants | F.coalesce(F.array_contains("hints", hint), F.lit(False))
     marked = read.join(truth.where("leg is not null").select(*keys, "leg"), keys, "left").withColumn("_again", wants & F.col("leg").isNotNull())
     redone = again(marked.where("_again").withColumn("shorter_leg", F.col("leg"))).withColumn("second", F.lit(True))
     return marked.where("not _again").withColumn("second", F.lit(False)).select(*read.columns, "second").unionByName(redone.select(*read.columns, "second"))

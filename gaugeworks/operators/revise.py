@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.exprs import DEC, follows_general, manual_limits
 from gaugeworks.operators.extract import callouts_once
 from gaugeworks.operators.tolerance import derived, explicit_deviations
+from gaugeworks.sources.scratch import written
 
 LENGTH_KINDS = ("linear", "diameter", "radius", "spherical_radius", "depth")
 GENERAL_RULES = ("general", "custom_table")
@@ -122,3 +123,40 @@ def change_source(command: Column, char_id: Column, created: Column, depth: int
         return own
     inner = F.filter(F.transform(command["commands"], lambda c: change_source(c, char_id, created, depth - 1)), lambda s: s.isNotNull())
     return F.when(command["type"] == "batch", F.get(inner, F.lit(0))).otherwise(own)
+
+
+def single_commands(entries: DataFrame) -> DataFrame:
+    """H6: of log entries (project_id, entry_no, command as VARIANT) the commands that are no batches, with their place: a `path` of numbers that orders them as they are written.
+
+    Batches come apart level by level, in as many rounds as the deepest has; only those that hold batches go on. An empty batch has none; a null command is left out.
+    """
+    left = entries.where("command IS NOT NULL").select("project_id", "entry_no", F.array().cast("array<int>").alias("path"), "command")
+    found = None
+    while True:
+        kind = F.try_variant_get("command", "$.type", "string")
+        single = left.where(~kind.eqNullSafe(F.lit("batch")))
+        found = single if found is None else found.unionByName(single)
+        left = left.where(kind == "batch").select("project_id", "entry_no", "path", F.posexplode(F.try_variant_get("command", "$.commands", "array<variant>")).alias("at", "inner"))
+        left = left.select("project_id", "entry_no", F.concat("path", F.array("at")).alias("path"), F.col("inner").alias("command"))
+        if not left.where(F.try_variant_get("command", "$.type", "string") == "batch").limit(1).count():
+            return found.unionByName(left)
+        left = written(left, "batches")
+
+
+def change_sources(entries: DataFrame, touched: DataFrame) -> DataFrame:
+    """H6: project_id, entry_no, char_id and `source` (manual, rule, recognition) of what entries touched; null where a characteristic changed as a consequence only.
+
+    `entries` as for single_commands(); `touched`: project_id, entry_no, char_id, created. In a batch of any depth the first command that says something counts.
+    """
+    one = lambda path, kind: F.try_variant_get("command", path, kind)
+    name = one("$.type", "string")
+    named = F.coalesce(F.array_contains(one("$.ids", "array<bigint>"), F.col("char_id")), F.lit(False))
+    rules = F.transform(one("$.values", "array<variant>"), lambda v: F.try_variant_get(v, "$.derivation.rule.type", "string"))
+    by_rule = F.coalesce(F.exists(rules, lambda r: F.coalesce(r != "manual", F.lit(False))), F.lit(False))
+    source = (
+        F.when((name == "add_characteristic") & F.col("created"), "manual").when((name == "accept_proposals") & F.col("created"), "recognition").when((name == "update_fields") & named, F.when(by_rule, "rule").otherwise("manual"))
+        .when(name.isin("delete_characteristics", "move_characteristics", "set_result_type") & named, "manual")
+    )
+    said = single_commands(entries).join(touched, ["project_id", "entry_no"]).withColumn("source", source).where("source IS NOT NULL")
+    first = said.groupBy("project_id", "entry_no", "char_id").agg(F.min_by("source", "path").alias("source"))
+    return touched.select("project_id", "entry_no", "char_id").join(first, ["project_id", "entry_no", "char_id"], "left")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC
-from gaugeworks.operators import explain, extract, fits, maps, regions, tolerance
+from gaugeworks.operators import evaluate, explain, extract, fits, maps, quality, regions, revise, tolerance
 from gaugeworks.operators.explain import TEXTS
 from gaugeworks.plans.base import load
 from gaugeworks.plans.inspection import _CASCADE, _texts, query
+from gaugeworks.sources import folders, scratch
 from gaugeworks.streaming import state
 
 # --- streams
@@ -185,3 +188,71 @@ def _asked_fits(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes from 1 to 560 mm with twelve classes in turn, one of which is none."""
     k = F.col("p_partkey")
     return load(spark, sf, "part").select("p_partkey", (k % 560 + 1).cast(DEC).alias("nominal"), F.element_at(F.array(*map(F.lit, _ASKED)), (k % 12 + 1).cast("int")).alias("fit"))
+
+
+# --- second readings, cascades, batches, folders
+
+
+@query(
+    "q5_second_pass",
+    """WITH a AS (SELECT s_nationkey AS project_id, s_suppkey AS char_id, s_suppkey % 90 + 1 AS n, s_suppkey % 3 <> 0 AS known, s_suppkey % 200 + 1 AS leg FROM supplier)
+    SELECT project_id, char_id, CAST(n AS DOUBLE) AS nominal, CASE WHEN known THEN 'general' ELSE 'no_tolerance_defined' END AS rule, CASE WHEN known THEN CASE WHEN leg <= 10 THEN 1 WHEN leg <= 50 THEN 0.5 WHEN leg <= 120 THEN 0.333333 ELSE 0.166666 END END::DOUBLE AS upper_dev, known AS second FROM a""",
+)
+def second_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Angles without a leg on the drawing; two of three truths have one. Both readings go through the cascade."""
+    k = F.col("s_suppkey")
+    texts = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("project_id"), k.alias("char_id"), F.concat((k % 90 + 1).cast("string"), F.lit("°")).alias("requirement_text"), (k % 200 + 1).cast(DEC).alias("leg"))
+    cells = tolerance.table_cells(spark, tolerance.GENERAL)
+    callouts = extract.callouts_once(texts.drop("leg"))
+    read = tolerance.derived(callouts, cells)
+    again = lambda rows: tolerance.derived(callouts.join(rows.select("project_id", "char_id", "shorter_leg"), ["project_id", "char_id"]), cells).drop("shorter_leg")
+    got = quality.second_pass(read, texts.where("char_id % 3 <> 0"), again)
+    return got.select("project_id", "char_id", F.col("nominal").cast("double").alias("nominal"), "rule", F.col("upper_dev").cast("double").alias("upper_dev"), "second")
+
+
+@query(
+    "j15_cascade",
+    """SELECT c_custkey AS project_id, count(DISTINCT o_orderkey) AS samples, count(l_orderkey) AS results FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey % 3 = 0 GROUP BY 1""",
+)
+def dependents(spark: SparkSession, sf: str) -> DataFrame:
+    """What goes with every third project: its orders as samples, their lines as results."""
+    roots = load(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("project_id"))
+    samples = load(spark, sf, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sample_id"))
+    results = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("char_id"))
+    return evaluate.cascade(roots, ["project_id"], [("samples", samples, ["project_id"]), ("results", results, ["sample_id"])])
+
+
+@query(
+    "h6_nested_batches",
+    """SELECT user_id % 50 AS project_id, event_id AS entry_no, event_id % 7 AS char_id, CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'rule' ELSE 'manual' END WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'manual' END WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'recognition' END END AS source FROM events""",
+)
+def nested_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands in up to six batches inside each other, behind one that says nothing."""
+    k = F.col("event_id")
+    depth = (k % 7).cast("int")
+    rule = F.when(k % 2 == 0, "general").otherwise("manual")
+    update = F.format_string('{"type": "update_fields", "ids": [%d], "values": [{"field": "kind"}, {"derivation": {"rule": {"type": "%s"}}}]}', k % 7, rule)
+    single = F.when(F.col("event_type") == "click", update).when(F.col("event_type") == "view", '{"type": "add_characteristic"}').when(F.col("event_type") == "error", '{"type": "accept_proposals"}').otherwise('{"type": "update_sheet"}')
+    nothing = F.lit('{"type": "batch", "commands": [{"type": "move_characteristics", "ids": [999]}, ')
+    text = F.concat(F.repeat(nothing, depth), single, F.repeat(F.lit("]}"), depth))
+    events = load(spark, sf, "events")
+    entries = events.select((F.col("user_id") % 50).alias("project_id"), k.alias("entry_no"), F.parse_json(text).alias("command"))
+    touched = events.select((F.col("user_id") % 50).alias("project_id"), k.alias("entry_no"), (k % 7).alias("char_id"), (k % 3 == 0).alias("created"))
+    return revise.change_sources(entries, touched)
+
+
+@query(
+    "s2_project_folders",
+    """WITH s AS (SELECT s_nationkey AS n, s_nationkey % 5 + 1 AS v, s_suppkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier)
+    SELECT 'folder=' || n AS project_id, CAST(pos AS INT) AS pos, CAST(k AS VARCHAR) AS number, CASE WHEN v = 1 AND k % 2 = 0 THEN 'manual' WHEN v > 1 THEN 'explicit' END AS rule, CASE WHEN v <= 2 THEN 'auto' ELSE 'attribute' END AS result_type, CASE WHEN k % 2 = 0 THEN k || '.5' END AS upper_limit FROM s WHERE v <= 4""",
+)
+def project_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as project folders of versions 1 to 5 in turn, suppliers as their characteristics, written and read back."""
+    of = load(spark, sf, "supplier").withColumn("version", F.col("s_nationkey") % 5 + 1)
+    rule = F.when(F.col("version") > 1, F.struct(F.struct(F.lit("explicit").alias("type")).alias("rule")))
+    char = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_suppkey").alias("number"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.col("s_suppkey").cast("string"), F.lit(".5"))).alias("upper_limit"), rule.alias("derivation"), F.when(F.col("version") > 2, "attribute").alias("result_type"))
+    docs = of.groupBy(F.col("s_nationkey").alias("folder"), "version").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", char.alias("c")))), lambda r: r["c"]).alias("characteristics"))
+    at = f"{scratch.shared_folder(spark)}/folders-{uuid.uuid4().hex}"
+    for name, body in (("manifests", F.struct(F.col("version").alias("schema_version"))), ("documents", F.struct("characteristics"))):
+        docs.select("folder", F.to_json(body).alias("value")).repartition("folder").write.partitionBy("folder").text(f"{at}/{name}")
+    return folders.Folders(spark, at, "manifests/folder=*/part-*", "documents/folder=*/part-*").table("characteristics").select("project_id", "pos", "number", "rule", "result_type", "upper_limit")

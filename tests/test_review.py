@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import explain, maps, regions, tolerance
+from gaugeworks.operators import evaluate, explain, maps, regions, revise, tolerance
 
 BOX = "sheet_id int, id long, cx double, cy double, w double, h double, angle double"
 
@@ -158,3 +158,23 @@ def test_common_range(spark):
     df = df.select("id", *[F.col(c).cast(cell).alias(c) for c in "abc"])
     got = {r["id"]: tuple(None if v is None else (v if isinstance(v, bool) else int(v)) for v in r["r"]) for r in df.select("id", tolerance.common_range([F.col(c) for c in "abc"]).alias("r")).collect()}
     assert got == {1: (3, False, 6, False), 2: (3, True, 5, False), 3: (None, None, 4, True), 4: (None, None, None, None)}
+
+
+def test_cascade_counts_before_anything_goes(spark):
+    roots = spark.createDataFrame([(1,), (1,), (2,), (3,)], "project_id int")
+    samples = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (9, 90)], "project_id int, sample_id int")
+    results = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (90, 1), (None, 1)], "sample_id int, char_id int")
+    levels = [("samples", samples, ["project_id"]), ("results", results, ["sample_id"])]
+    assert {tuple(r) for r in evaluate.cascade(roots, ["project_id"], levels).collect()} == {(1, 2, 3), (2, 1, 0), (3, 0, 0)}
+    left = evaluate.removed(roots, levels)
+    assert [tuple(r) for r in left["samples"].collect()] == [(9, 90)] and {tuple(r) for r in left["results"].collect()} == {(90, 1), (None, 1)}
+
+
+def test_sources_of_nested_batches(spark):
+    deep = '{"type": "update_fields", "ids": [7], "values": []}'
+    for _ in range(9):
+        deep = f'{{"type": "batch", "commands": [{{"type": "batch", "commands": []}}, {deep}]}}'
+    texts = [(1, deep), (2, '{"type": "batch", "commands": [{"type": "batch", "commands": [{"type": "set_result_type", "ids": [7]}]}, {"type": "update_fields", "ids": [7], "values": [{"derivation": {"rule": {"type": "fit"}}}]}]}'), (3, '{"type": "batch", "commands": []}'), (4, None), (5, "7")]
+    entries = spark.createDataFrame(texts, "entry_no long, text string").select(F.lit(1).alias("project_id"), "entry_no", F.parse_json("text").alias("command"))
+    touched = spark.createDataFrame([(1, i, 7, False) for i in range(1, 6)], "project_id int, entry_no long, char_id long, created boolean")
+    assert {r["entry_no"]: r["source"] for r in revise.change_sources(entries, touched).collect()} == {1: "manual", 2: "manual", 3: None, 4: None, 5: None}
