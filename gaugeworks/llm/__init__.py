@@ -1,4 +1,4 @@
-"""Training-data operators: ten operators over documents, embeddings and pages.
+"""Training-data operators: thirteen operators over documents, embeddings, pages and conversations.
 
 Nothing outside this subpackage imports it.
 """
