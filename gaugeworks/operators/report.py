@@ -12,10 +12,15 @@ from gaugeworks.operators.evaluate import grid, measured
 BLOCK = 6
 
 
+def numbered_columns(samples: DataFrame) -> DataFrame:
+    """Samples numbered from 1 within their project, with the block of columns that each is in."""
+    n = F.row_number().over(Window.partitionBy("project_id").orderBy("pos"))
+    return samples.withColumn("index", n).withColumn("block", F.expr(f"(index - 1) div {BLOCK}").cast("int"))
+
+
 def sample_columns(samples: DataFrame, state: DataFrame) -> DataFrame:
     """Samples numbered from 1 with block, counts and verdict."""
-    n = F.row_number().over(Window.partitionBy("project_id").orderBy("pos"))
-    rows = samples.withColumn("index", n).withColumn("block", F.expr(f"(index - 1) div {BLOCK}").cast("int"))
+    rows = numbered_columns(samples)
     s = state.where("grain = 'sample'").select("project_id", F.col("key").alias("sample_id"), "pass", "fail", "not_evaluated", "missing", "verdict")
     return rows.join(s, ["project_id", "sample_id"])
 

@@ -112,7 +112,7 @@ def general_tolerance(rows: DataFrame, cells: DataFrame, table_id: str = "iso-27
     """Rows with kind, nominal (and shorter_leg, in mm) get `tolerance` and `found`; degrees are minutes / 60 cut to six places."""
     leg = F.col("shorter_leg") if "shorter_leg" in rows.columns else F.lit(None).cast(DEC)
     part = applies_to(F.col("kind"))
-    asked = rows.withColumn("part_id", part).withColumn("table_id", F.lit(table_id)).withColumn("column", F.lit(klass)).withColumn("size", F.when(part == "angular", leg).otherwise(size_in_mm(rows)))
+    asked = rows.withColumns({"part_id": part, "table_id": F.lit(table_id), "column": F.lit(klass), "size": F.when(part == "angular", leg).otherwise(size_in_mm(rows))})
     got = looked_up(asked, cells, "cell")
     value = F.when(F.col("cell.value_unit") == "arcmin", F.floor(F.col("cell.value") / 60, F.lit(6))).otherwise(F.col("cell.value")).cast(DEC)
     return got.withColumn("tolerance", value).withColumnRenamed("cell_found", "found").drop("part_id", "table_id", "column", "size", "cell")
@@ -150,7 +150,7 @@ def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286")
     spans = {"lo": "span_lo", "lo_incl": "span_lo_incl", "hi": "span_hi", "hi_incl": "span_hi_incl"}
     cells = span_table(cells).withColumns({k: F.col(v) for k, v in spans.items()}).drop(*spans.values())
     p = fit_parts(F.col("fit"))
-    rows = rows.withColumn("p", p).withColumn("table_id", F.lit(table_id)).withColumn("size", size_in_mm(rows))
+    rows = rows.withColumns({"p": p, "table_id": F.lit(table_id), "size": size_in_mm(rows)})
     letter, grade, hole = F.col("p.letter"), F.col("p.grade"), F.col("p.feature") == "hole"
     upper_half = letter.isin(*A_TO_H)
     delta_to = F.when(letter.isin("K", "M", "N"), 8).when(letter == "J", -2).otherwise(7)
@@ -161,10 +161,10 @@ def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286")
         .when(~hole & (letter == "K"), F.when(grade.between(4, 7), "k").otherwise("k_other")).otherwise(F.col("p.written"))
     )
     part = F.when(hole, F.when(upper_half, "hole_lower").otherwise("hole_upper")).otherwise(F.when(upper_half, "shaft_upper").otherwise("shaft_lower"))
-    it = looked_up(rows.withColumn("part_id", F.lit("standard_tolerance")).withColumn("column", F.concat(F.lit("IT"), F.col("p.digits"))), cells, "it")
-    dev = looked_up(it.withColumn("part_id", F.when(letter != "JS", part)).withColumn("column", column), cells, "dev")
-    delta = looked_up(dev.withColumn("part_id", F.when(with_delta, "delta")).withColumn("column", F.concat(F.lit("IT"), grade)), cells, "delta")
-    got = looked_up(delta.withColumn("part_id", F.lit("special_cases")).withColumn("column", F.col("fit")), cells, "special")
+    it = looked_up(rows.withColumns({"part_id": F.lit("standard_tolerance"), "column": F.concat(F.lit("IT"), F.col("p.digits"))}), cells, "it")
+    dev = looked_up(it.withColumns({"part_id": F.when(letter != "JS", part), "column": column}), cells, "dev")
+    delta = looked_up(dev.withColumns({"part_id": F.when(with_delta, "delta"), "column": F.concat(F.lit("IT"), grade)}), cells, "delta")
+    got = looked_up(delta.withColumns({"part_id": F.lit("special_cases"), "column": F.col("fit")}), cells, "special")
     js = letter == "JS"
     delta_value = F.when(with_delta & (grade >= 3), F.col("delta.value")).when(with_delta, F.lit(0).cast(DEC)).otherwise(F.lit(0).cast(DEC))
     base = F.coalesce("special.value", F.col("dev.value") + delta_value)
@@ -177,7 +177,7 @@ def expanded_fits(rows: DataFrame, cells: DataFrame, table_id: str = "iso-286")
     cell = lambda c, needed: F.when(needed, F.col(c))
     used = [cell("it", ok), cell("dev", ~js & F.col("special.value").isNull()), cell("delta", with_delta & (grade >= 3) & F.col("special.value").isNull()), cell("special", F.col("special.value").isNotNull())]
     bounds = common_range(used)
-    got = got.withColumn("_range", F.when(ok, bounds)).withColumn("fit_found", found).withColumn("fit_upper", F.when(ok, upper)).withColumn("fit_lower", F.when(ok, lower))
+    got = got.withColumns({"_range": F.when(ok, bounds), "fit_found": found, "fit_upper": F.when(ok, upper), "fit_lower": F.when(ok, lower)})
     return got.withColumns({f"range_{k}": F.col(f"_range.{k}") for k in ("lo", "lo_incl", "hi", "hi_incl")}).drop(
         "p", "table_id", "size", "part_id", "column", "it", "it_found", "dev", "dev_found", "delta", "delta_found", "special", "special_found", "_range"
     )
@@ -263,28 +263,28 @@ def derived(
         outside.append(F.when(open_ & ~stopped & ~no_leg & found.isin("out_of_range", "not_defined", "unknown_column"), F.concat(F.lit(f"{name}_"), found)))
         stopped = stopped | no_leg | (found == "value")
     rule = rule.when(~angle & decimal.isNotNull(), "decimal_places").otherwise("no_tolerance_defined")
-    rows = rows.withColumn("rule", rule).withColumn("_e", explicit_deviations(F.col("tol_kind"), F.col("tol_a"), F.col("tol_b"), F.col("nominal"))).withColumn("_decimal", decimal)
+    rows = rows.withColumns({"rule": rule, "_e": explicit_deviations(F.col("tol_kind"), F.col("tol_a"), F.col("tol_b"), F.col("nominal")), "_decimal": decimal})
     at_level = {name: F.col("rule").isin(name, "custom_table") if name == "general" else F.col("rule") == name for name, *_ in levels}
     symmetric = F.coalesce(*[F.when(is_, F.col(f"_{name}")) for name, is_ in at_level.items()], F.when(F.col("rule") == "decimal_places", F.col("_decimal")))
     pick = lambda e, f, sign: F.when(F.col("rule") == "explicit", F.col(e)).when(F.col("rule") == "fit", F.col(f)).otherwise(symmetric * sign).cast(DEC)
-    rows = rows.withColumn("_up", pick("_e.upper", "fit_upper", 1)).withColumn("_low", pick("_e.lower", "fit_lower", -1))
     # what deviations are in: as written, or mm where a table gave them; angles stay degrees
     tables = F.col("rule").isin("fit", "drawing_rule", "general", "custom_table") & (F.col("_unit") != "deg")
-    rows = rows.withColumn("_source", F.when(tables, "mm").otherwise(F.col("_unit"))).withColumn("out_unit", F.when(F.col("_unit") == "deg", "deg").otherwise(F.lit(output_unit) if output_unit else F.col("_unit")))
+    out_unit = F.when(F.col("_unit") == "deg", "deg").otherwise(F.lit(output_unit) if output_unit else F.col("_unit"))
+    rows = rows.withColumns({"_up": pick("_e.upper", "fit_upper", 1), "_low": pick("_e.lower", "fit_lower", -1), "_source": F.when(tables, "mm").otherwise(F.col("_unit")), "out_unit": out_unit})
     exact = F.when((F.col("_unit") == "in") & (F.col("_source") == "mm"), F.col("nominal") * F.lit("25.4").cast("decimal(3,1)")).otherwise(F.col("nominal")).cast(DEC)
     to = lambda c, of, how: in_unit(c, F.col(of), F.col("out_unit"), mm_places, inch_places, how)
-    rows = rows.withColumn("_exact", exact).withColumn("out_nominal", to(F.col("nominal"), "_unit", "nominal"))
-    rows = rows.withColumn("upper_limit", to((F.col("_exact") + F.col("_up")).cast(DEC), "_source", "upper")).withColumn("lower_limit", to((F.col("_exact") + F.col("_low")).cast(DEC), "_source", "lower"))
+    rows = rows.withColumns({"_exact": exact, "out_nominal": to(F.col("nominal"), "_unit", "nominal")})
+    rows = rows.withColumns({"upper_limit": to((F.col("_exact") + F.col("_up")).cast(DEC), "_source", "upper"), "lower_limit": to((F.col("_exact") + F.col("_low")).cast(DEC), "_source", "lower")})
     changed = (F.col("_unit") != F.col("out_unit")) | (F.col("_source") != F.col("out_unit"))
-    rows = rows.withColumn("upper_dev", F.when(changed, F.col("upper_limit") - F.col("out_nominal")).otherwise(F.col("_up")).cast(DEC)).withColumn("lower_dev", F.when(changed, F.col("lower_limit") - F.col("out_nominal")).otherwise(F.col("_low")).cast(DEC))
+    rows = rows.withColumns({"upper_dev": F.when(changed, F.col("upper_limit") - F.col("out_nominal")).otherwise(F.col("_up")).cast(DEC), "lower_dev": F.when(changed, F.col("lower_limit") - F.col("out_nominal")).otherwise(F.col("_low")).cast(DEC)})
     printed = ~none & (F.col("tol_kind") == "deviations") & fit_parts(F.col("fit")).isNotNull() & (F.col("_unit") == "mm")
     differ = (F.col("fit_found") == "value") & ~(F.col("fit_upper").eqNullSafe(F.col("_e.upper")) & F.col("fit_lower").eqNullSafe(F.col("_e.lower")))
     fit_hint = F.when(((F.col("rule") == "fit") | printed) & (F.col("fit_found") != "value"), F.concat(F.lit("fit_"), F.col("fit_found"))).when(printed & differ, "fit_deviations_differ")
     marked = F.when(F.col("marking").isin("reference", "basic"), F.concat("marking", F.lit("_dimension")))
     legs = [angle & open_ & F.col("shorter_leg").isNull() & (F.col(f"_{name}_found") != "no_such_part") for name, *_ in levels]
     note = F.coalesce(*[F.when(x, "shorter_leg_unknown") for x in legs], F.lit(None).cast("string"))
-    rows = rows.withColumn("note", note).withColumn("inspect_now", ~F.coalesce(F.col("marking").isin("reference", "basic"), F.lit(False))).withColumn("_table_hints", F.array_compact(F.array(fit_hint, *outside))).withColumn("_marked", marked)
-    rows = rows.withColumn("hint", F.get("_table_hints", F.lit(0))).withColumn("_had_hints", F.concat(F.array_compact(F.array("_marked")), F.col("_table_hints")))
+    rows = rows.withColumns({"note": note, "inspect_now": ~F.coalesce(F.col("marking").isin("reference", "basic"), F.lit(False)), "_table_hints": F.array_compact(F.array(fit_hint, *outside)), "_marked": marked})
+    rows = rows.withColumns({"hint": F.get("_table_hints", F.lit(0)), "_had_hints": F.concat(F.array_compact(F.array("_marked")), F.col("_table_hints"))})
     read = [F.col("hints")] if "hints" in rows.columns else []
     rows = rows.withColumn("hints", F.concat(*read, F.col("_had_hints")))
     own = [c for c in rows.columns if c.startswith("_")] + ["fit_upper", "fit_lower", "fit_found", "range_lo", "range_lo_incl", "range_hi", "range_hi_incl"]

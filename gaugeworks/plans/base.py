@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC
 from gaugeworks.operators.tolerance import GENERAL, general_tolerance, table_cells
+from gaugeworks.sources.scratch import written
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(orders, last["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("char_id"), "l.*")
 
 
+def shared_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items() as a table, for queries that need both characteristics and results of them: lineitem is aggregated once."""
+    return written(items(spark, sf_dir), "items")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sample_id"), pos.alias("pos"), F.col("o_orderkey").cast("string").alias("serial"))
@@ -34,15 +40,15 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.withColumn("upper_limit", (F.col("nominal") + F.col("tolerance")).cast(DEC)).withColumn("lower_limit", (F.col("nominal") - F.col("tolerance")).cast(DEC))
 
 
-def characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = items(spark, sf_dir).select("project_id", "char_id").distinct()
+def characteristics(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    pairs = (items(spark, sf_dir) if of is None else of).select("project_id", "char_id").distinct()
     return pairs.join(parts(spark, sf_dir), F.col("char_id") == F.col("p_partkey")).withColumn("pos", F.col("char_id")).drop("p_partkey")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Values around the size; every second angle has an attribute instead, or none."""
     size = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast(DEC).alias("nominal"))
-    rows = items(spark, sf_dir).join(size, F.col("char_id") == F.col("p_partkey"))
+    rows = (items(spark, sf_dir) if of is None else of).join(size, F.col("char_id") == F.col("p_partkey"))
     flag = F.col("char_id") % 8 == 3
     value = (F.col("nominal") + (F.col("l_discount").cast("decimal(12,2)") - F.lit("0.05").cast("decimal(12,2)")) * 10).cast(DEC)
     attribute = F.when(flag & (F.col("l_returnflag") == "A"), "ok").when(flag & (F.col("l_returnflag") == "R"), "not_ok")

@@ -32,7 +32,13 @@ def query(name: str, sql: str | None = None):
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.measurement_state(base.characteristics(spark, sf), base.samples(spark, sf), base.results(spark, sf))
+    of = base.shared_items(spark, sf)
+    return evaluate.measurement_state(base.characteristics(spark, sf, of), base.samples(spark, sf), base.results(spark, sf, of))
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    of = base.shared_items(spark, sf)
+    return evaluate.judged(base.characteristics(spark, sf, of), base.results(spark, sf, of))
 
 
 # --- verdicts
@@ -45,7 +51,7 @@ query("j1_grid", f"WITH {CTE} SELECT project_id, char_id, sample_id, pos AS samp
     lambda s, sf: evaluate.grid(base.characteristics(s, sf), base.samples(s, sf), base.results(s, sf)).select("project_id", "char_id", "sample_id", "sample_pos", "verdict", "position")
 )
 query("v1_judged_cells", f"WITH {CTE} SELECT project_id, sample_id, char_id, verdict, position FROM dense WHERE verdict <> 'missing'")(
-    lambda s, sf: evaluate.judged(base.characteristics(s, sf), base.results(s, sf)).select("project_id", "sample_id", "char_id", "verdict", "position")
+    lambda s, sf: _judged(s, sf).select("project_id", "sample_id", "char_id", "verdict", "position")
 )
 
 
@@ -314,13 +320,13 @@ def _columns(spark: SparkSession, sf: str) -> DataFrame:
 query("r2_sample_columns", f"WITH {STATE} SELECT s.project_id, s.sample_id, CAST(s.pos AS INT) AS index, CAST((s.pos - 1) // 6 AS INT) AS block, pass, fail, not_evaluated, missing, verdict FROM sa s JOIN st ON grain = 'sample' AND st.project_id = s.project_id AND key = sample_id")(
     lambda s, sf: _columns(s, sf).select("project_id", "sample_id", "index", "block", "pass", "fail", "not_evaluated", "missing", "verdict")
 )
-query("r3_column_blocks", f"WITH {CTE} SELECT project_id, CAST((pos - 1) // 6 AS INT) AS block, CAST(min(pos) AS INT) AS first_index, CAST(max(pos) AS INT) AS last_index FROM sa GROUP BY 1, 2")(lambda s, sf: report.column_blocks(_columns(s, sf)))
+query("r3_column_blocks", f"WITH {CTE} SELECT project_id, CAST((pos - 1) // 6 AS INT) AS block, CAST(min(pos) AS INT) AS first_index, CAST(max(pos) AS INT) AS last_index FROM sa GROUP BY 1, 2")(lambda s, sf: report.column_blocks(report.numbered_columns(base.samples(s, sf))))
 _WIDE = ", ".join(f"max(verdict) FILTER ((pos - 1) % 6 = {i}) AS s{i + 1}" for i in range(6))
 query("r4_wide_grid", f"WITH {CTE} SELECT project_id, char_id, CAST((pos - 1) // 6 AS INT) AS block, {_WIDE} FROM dense WHERE verdict <> 'missing' GROUP BY 1, 2, 3")(
-    lambda s, sf: report.wide_grid(evaluate.judged(base.characteristics(s, sf), base.results(s, sf)), _columns(s, sf))
+    lambda s, sf: report.wide_grid(_judged(s, sf), report.numbered_columns(base.samples(s, sf)))
 )
 query("r4_whole_grid", f"WITH {CTE} SELECT project_id, char_id, CAST((pos - 1) // 6 AS INT) AS block, {_WIDE} FROM dense GROUP BY 1, 2, 3")(
-    lambda s, sf: report.whole_grid(evaluate.judged(base.characteristics(s, sf), base.results(s, sf)), _columns(s, sf), evaluate.measured(base.characteristics(s, sf)))
+    lambda s, sf: report.whole_grid(_judged(s, sf), report.numbered_columns(base.samples(s, sf)), evaluate.measured(base.characteristics(s, sf)))
 )
 
 

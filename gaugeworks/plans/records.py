@@ -10,7 +10,7 @@ from gaugeworks.functions.exprs import DEC
 from gaugeworks.operators import evaluate, extract, history, lists, numbering, report, tolerance
 from gaugeworks.plans import base
 from gaugeworks.plans.base import CTE, STATE, load
-from gaugeworks.plans.inspection import _CASCADE, _EV, _ZONES, SQL, TYPED, _changes, _columns, _number, _points, _state, _texts, query
+from gaugeworks.plans.inspection import _CASCADE, _EV, _ZONES, SQL, TYPED, _changes, _number, _points, _state, _texts, query
 from gaugeworks.sources import projects
 from gaugeworks.streaming import live
 
@@ -299,7 +299,7 @@ query("f3_open_or_failed", f"WITH {STATE} SELECT project_id, key, true AS failed
     lambda s, sf: evaluate.rows_open_or_failed(_state(s, sf), failed=True).select("project_id", "key", F.lit(True).alias("failed"), (F.col("missing") > 0).alias("open"))
 )
 query("r3_all_blocks", f"WITH {CTE} SELECT c_custkey AS project_id, coalesce(CAST((pos - 1) // 6 AS INT), 0) AS block, coalesce(CAST(min(pos) AS INT), 0) AS first_index, coalesce(CAST(max(pos) AS INT), 0) AS last_index FROM customer LEFT JOIN sa ON project_id = c_custkey GROUP BY 1, 2")(
-    lambda s, sf: report.column_blocks(_columns(s, sf), load(s, sf, "customer").select(F.col("c_custkey").alias("project_id")))
+    lambda s, sf: report.column_blocks(report.numbered_columns(base.samples(s, sf)), load(s, sf, "customer").select(F.col("c_custkey").alias("project_id")))
 )
 query("r5_check_sheet", f'WITH {CTE} SELECT project_id, char_id, CAST(i AS INT) AS "index", \'missing\' AS verdict FROM mc, generate_series(1, 3) g(i)')(lambda s, sf: report.check_sheet(evaluate.measured(base.characteristics(s, sf)), 3))
 query("r6_flags", f"WITH {STATE} SELECT project_id, verdict, missing + not_evaluated > 0 AS open_results, project_id IN (SELECT project_id FROM mc WHERE char_id % 17 = 0) AS draft_limits FROM st WHERE grain = 'project'")(
