@@ -157,6 +157,12 @@ def sheet_kinds(objects: DataFrame) -> DataFrame:
     return objects.withColumn("sheet_kind", F.when(text, "vector_text").when(F.least("image_cover", F.lit(1.0)) >= 0.5, "raster").otherwise("outlined"))
 
 
+def sheet_fonts(objects: DataFrame) -> DataFrame:
+    """sheet_id, name, embedded and text_objects of each font that text objects (sheet_id, font, embedded) use, without the tag of a subset (six capitals and a plus). Objects without a font are left out."""
+    name = F.regexp_replace("font", "^[A-Z]{6}[+]", "")
+    return objects.where("font IS NOT NULL").groupBy("sheet_id", name.alias("name")).agg(F.max("embedded").alias("embedded"), F.count("*").alias("text_objects"))
+
+
 FIELDS = ("kind", "nominal", "upper_limit", "lower_limit", "rule", "inspect")
 
 

@@ -143,9 +143,14 @@ def display_numbers(rows: DataFrame, sub_numbers: bool, order: str = "order", gr
     return rows.withColumn("sub", sub).withColumn("number", number)
 
 
-def preview(rows: DataFrame, old: str = "old_number", new: str = "number") -> DataFrame:
-    """How many numbers a renumbering would change."""
-    return rows.groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(~F.col(old).eqNullSafe(F.col(new))).alias("n_changed"))
+def preview(rows: DataFrame, old: str = "old_number", new: str = "number", locked: DataFrame | None = None) -> DataFrame:
+    """How many numbers a renumbering would change. With `locked` (project_id of those whose numbers are), these are refused: they have a `reason` and no counts."""
+    found = rows.groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(~F.col(old).eqNullSafe(F.col(new))).alias("n_changed"))
+    if locked is None:
+        return found
+    found = found.join(locked.select("project_id").distinct().withColumn("_locked", F.lit(True)), "project_id", "left")
+    free = F.col("_locked").isNull()
+    return found.select("project_id", F.when(free, F.col("n")).alias("n"), F.when(free, F.col("n_changed")).alias("n_changed"), F.when(~free, "numbering_locked").alias("reason"))
 
 
 def locked_inserts(present: DataFrame, given: DataFrame, inserts: DataFrame) -> DataFrame:
@@ -192,3 +197,22 @@ def split_quantity(characteristics: DataFrame) -> DataFrame:
     """A row for each feature of 2 to 100; others stay one."""
     n = F.when(F.col("quantity").between(2, 100), F.col("quantity")).otherwise(1)
     return characteristics.withColumn("feature", F.explode(F.sequence(F.lit(1), n)))
+
+
+#: Sheet units of a millimetre, and the most features that a callout is split into.
+UNITS_PER_MM, MOST_FEATURES = 72 / 25.4, 100
+
+
+def accepted(proposals: DataFrame, settings: DataFrame) -> DataFrame:
+    """Proposals (project_id, quantity, place_x, place_y and others) as they are accepted, with `feature` and a `reason` for those refused.
+
+    `settings`: project_id, multi_instance (sub_number or quantity), locked, size_mm (of balloons). With sub-numbers a callout for 2 to 100 features becomes
+    one row for each, of quantity 1, whose balloons are stacked downwards, a little more than their size apart, in whole units. While
+    numbers are locked, and with more features, it stays one row with its quantity. A quantity of 0 is refused; a null one is 1.
+    """
+    rows = proposals.join(settings, "project_id", "left").withColumn("quantity", F.coalesce("quantity", F.lit(1)))
+    split = F.coalesce((F.col("multi_instance") == "sub_number") & ~F.coalesce("locked", F.lit(False)) & F.col("quantity").between(2, MOST_FEATURES), F.lit(False))
+    step = F.round(F.col("size_mm") * UNITS_PER_MM * 1.2)
+    rows = rows.withColumn("reason", F.when(F.col("quantity") <= 0, "zero_quantity")).withColumn("feature", F.explode(F.sequence(F.lit(1), F.when(split, F.col("quantity")).otherwise(1))))
+    rows = rows.withColumn("place_y", F.when(F.col("feature") > 1, F.col("place_y") + step * (F.col("feature") - 1)).otherwise(F.col("place_y")))
+    return rows.withColumn("quantity", F.when(split, 1).otherwise(F.col("quantity"))).select(*proposals.columns, "feature", "reason")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.exprs import DEC
-from gaugeworks.operators import evaluate, explain, extract, fits, maps, quality, regions, revise, tolerance
+from gaugeworks.operators import evaluate, explain, extract, fits, history, maps, numbering, quality, regions, revise, tolerance
 from gaugeworks.operators.explain import TEXTS
 from gaugeworks.plans.base import load
 from gaugeworks.plans.inspection import _CASCADE, _texts, query
@@ -256,3 +256,52 @@ def project_folders(spark: SparkSession, sf: str) -> DataFrame:
     for name, body in (("manifests", F.struct(F.col("version").alias("schema_version"))), ("documents", F.struct("characteristics"))):
         docs.select("folder", F.to_json(body).alias("value")).repartition("folder").write.partitionBy("folder").text(f"{at}/{name}")
     return folders.Folders(spark, at, "manifests/folder=*/part-*", "documents/folder=*/part-*").table("characteristics").select("project_id", "pos", "number", "rule", "result_type", "upper_limit")
+
+
+# --- states and refusals
+
+
+def _dec(value: Column, scale: Column) -> Column:
+    return F.struct(value.cast(DEC).alias("value"), scale.cast("int").alias("scale"))
+
+
+@query(
+    "h5_state_fields",
+    """WITH b AS (SELECT event_id, user_id % 3 AS v, event_id % 2 AS s, event_type AS t, lag(user_id % 3) OVER w AS v0, lag(event_id % 2) OVER w AS s0, lag(event_type) OVER w AS t0, lag(event_id) OVER w AS e FROM events WINDOW w AS (PARTITION BY user_id % 50 ORDER BY event_id))
+    SELECT event_id, concat_ws(',', CASE WHEN t <> t0 THEN 'kind' END, CASE WHEN v <> v0 OR s <> s0 THEN 'nominal' END, CASE WHEN v <> v0 THEN 'upper_limit' END) AS fields FROM b WHERE e IS NOT NULL""",
+)
+def state_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """States by event; the nominal's scale changes without its value."""
+    v, s = F.col("user_id") % 3, F.col("event_id") % 2
+    rows = load(spark, sf, "events").withColumn("after", F.struct(F.col("event_type").alias("kind"), _dec(v, s).alias("nominal"), _dec(v, F.lit(1)).alias("upper_limit")))
+    rows = rows.withColumn("before", F.lag("after").over(Window.partitionBy(F.col("user_id") % 50).orderBy("event_id"))).where("before is not null")
+    return history.changed_state_fields(rows).select("event_id", F.array_join("fields", ",").alias("fields"))
+
+
+_H7 = "SELECT user_id % 20 AS project_id, event_id % 11 AS char_id, event_id AS seq, event_id // 10 AS entry_no, user_id % 3 AS v, event_id % 2 AS s, CASE WHEN event_type = 'error' THEN 'attribute' ELSE 'auto' END AS t FROM events"
+
+
+@query(
+    "h7_limits_since_issue",
+    f"""WITH c AS ({_H7}), i AS (SELECT project_id, max(entry_no) AS issued FROM c WHERE entry_no % 7 = 0 AND project_id % 4 <> 3 GROUP BY 1), b AS (SELECT *, lag(v) OVER w AS v0, lag(s) OVER w AS s0, lag(t) OVER w AS t0, lag(seq) OVER w AS had FROM c WINDOW w AS (PARTITION BY project_id, char_id ORDER BY seq)),
+    f AS (SELECT project_id, char_id, arg_min(struct_pack(v := v0, s := s0, t := t0, had := had), seq) AS x FROM b JOIN i USING (project_id) WHERE entry_no > issued GROUP BY 1, 2), n AS (SELECT project_id, char_id, arg_max(struct_pack(v := v, s := s, t := t), seq) AS y FROM c GROUP BY 1, 2)
+    SELECT project_id, char_id FROM f JOIN n USING (project_id, char_id) WHERE x.had IS NOT NULL AND (x.v <> y.v OR x.s <> y.s OR (x.t = 'attribute') <> (y.t = 'attribute'))""",
+)
+def limits_since_issue(spark: SparkSession, sf: str) -> DataFrame:
+    """The last event of a characteristic is its state; a quarter of the projects never issued anything."""
+    k, u = F.col("event_id"), F.col("user_id")
+    state_ = F.struct(_dec(u % 3, k % 2).alias("upper_limit"), _dec(F.lit(0), F.lit(0)).alias("lower_limit"), F.when(F.col("event_type") == "error", "attribute").otherwise("auto").alias("result_type"))
+    rows = load(spark, sf, "events").select((u % 20).alias("project_id"), (k % 11).alias("char_id"), k.alias("seq"), F.expr("event_id div 10").alias("entry_no"), state_.alias("after"))
+    changes = rows.withColumn("before", F.lag("after").over(Window.partitionBy("project_id", "char_id").orderBy("seq")))
+    current = rows.groupBy("project_id", "char_id").agg(F.max_by("after", "seq").alias("s")).select("project_id", "char_id", "s.*")
+    return history.limits_since_issue(current, changes, rows.where("entry_no % 7 = 0 AND project_id % 4 <> 3").select("project_id", "entry_no"))
+
+
+query(
+    "n17_accepted",
+    """WITH p AS (SELECT p_partkey, p_partkey % 10 AS project_id, CAST(p_size AS INT) AS q, p_partkey % 10 < 6 AND p_partkey % 10 <> 2 AND p_size BETWEEN 2 AND 100 AS split FROM part WHERE p_size <= 12)
+    SELECT p_partkey, CAST(f AS INT) AS feature, CASE WHEN split THEN 1 ELSE q END AS quantity, CAST(100 + CASE WHEN split THEN 34 * (f - 1) ELSE 0 END AS DOUBLE) AS place_y FROM p, generate_series(1, 12) g(f) WHERE f <= CASE WHEN split THEN q ELSE 1 END""",
+)(lambda s, sf: numbering.accepted(
+    load(s, sf, "part").where("p_size <= 12").select("p_partkey", (F.col("p_partkey") % 10).alias("project_id"), F.col("p_size").cast("int").alias("quantity"), F.lit(0.0).alias("place_x"), F.lit(100.0).alias("place_y")),
+    s.range(10).select(F.col("id").alias("project_id"), F.when(F.col("id") < 6, "sub_number").otherwise("quantity").alias("multi_instance"), (F.col("id") == 2).alias("locked"), F.lit(10.0).alias("size_mm")),
+).select("p_partkey", "feature", "quantity", "place_y"))

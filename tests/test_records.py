@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import exprs as X
 from gaugeworks.functions.folds import folded
-from gaugeworks.operators import evaluate, history, lists, numbering, report
+from gaugeworks.operators import evaluate, extract, history, lists, numbering, report
 from gaugeworks.sources import projects
 
 CHANGE = "project_id long, seq long, kind string, entity long, index int, before array<bigint>, after array<bigint>"
@@ -108,3 +108,45 @@ def test_exported_list(spark, tmp_path):
     lines = [line for f in (tmp_path / "out").glob("project_id=1/*.csv") for line in f.read_text().splitlines()]
     assert lines[0].startswith("Nr,Art,Anforderung,Nennmaß") and lines[0].count(",") == 20
     assert lines[1].startswith("1.2,,") and lines[2].startswith("2,,") and len(lines) == 3 and '""' not in lines[1].replace('\\"', "")
+
+
+def test_commands_are_refused_with_the_first_reason(spark):
+    columns = "project_id int, command_id int, type string, ids array<int>, what string, before int, x double, y double, size double, field string, value string, n int"
+    inf, nan = float("inf"), float("nan")
+    cases = [
+        ("undo", {}, "nothing_to_undo"), ("redo", {}, "nothing_to_redo"), ("update_fields", {"ids": [1, 9], "what": "characteristic"}, "unknown_characteristic"), ("move_balloons", {"ids": [9], "what": "balloon", "x": nan, "y": 1.0}, "unknown_balloon"), ("update_sheet", {"ids": [9], "what": "sheet"}, "unknown_sheet"),
+        ("update_sample", {"ids": [9], "what": "sample"}, "unknown_sample"), ("set_image_edit", {"ids": [9], "what": "revision"}, "unknown_revision"), ("renumber", {}, "numbering_locked"), ("move_samples", {"ids": [1, 2], "what": "sample", "before": 2}, "invalid_move_target"), ("move_balloons", {"ids": [1], "what": "balloon", "x": inf, "y": 1.0}, "invalid_geometry"),
+        ("restyle_balloons", {"size": 0.0}, "invalid_style"), ("set_image_edit", {"ids": [1], "what": "revision", "value": "1"}, "not_an_image"), ("set_image_edit", {"ids": [2], "what": "revision", "value": "46"}, "invalid_image_edit"), ("set_image_edit", {"ids": [2], "what": "revision", "value": "-45"}, None),
+        ("update_sheet", {"ids": [1], "what": "sheet", "field": "unit", "value": "deg"}, "invalid_sheet_setting"), ("update_settings", {"field": "places", "value": "11"}, "invalid_project_setting"), ("update_settings", {"field": "custom_table", "value": "t2"}, "missing_table"), ("update_settings", {"field": "custom_table", "value": "t1"}, None),
+        ("update_fields", {"ids": [1], "what": "characteristic", "field": "quantity", "value": "0"}, "zero_quantity"), ("update_sample", {"ids": [1], "what": "sample", "field": "date", "value": "2024-02-30"}, "invalid_date"), ("update_sample", {"ids": [1], "what": "sample", "field": "serial", "value": " "}, "empty_serial"),
+        ("update_sample", {"ids": [1], "what": "sample", "field": "serial", "value": "B"}, "duplicate_serial"), ("update_sample", {"ids": [2], "what": "sample", "field": "serial", "value": "B"}, None), ("add_samples", {"n": 101}, "invalid_sample_count"), ("add_samples", {"n": 100}, "too_many_samples"), ("add_samples", {"n": 99}, None),
+        ("set_result", {"value": "1e3"}, "invalid_result"), ("set_result", {"value": "ok"}, None), ("set_result_type", {"ids": [1], "what": "characteristic", "value": "attribute"}, "result_type_conflict"), ("set_result_type", {"ids": [1], "what": "characteristic", "value": "variable"}, None),
+    ]
+    names = [c.split()[0] for c in columns.split(", ")]
+    commands = spark.createDataFrame([tuple({"project_id": 1, "command_id": i, "type": t, **of}.get(c) for c in names) for i, (t, of, _) in enumerate(cases)], columns)
+    entities = spark.createDataFrame(
+        [(1, "characteristic", 1, None, "auto", 2, 0, None), (1, "balloon", 1, None, None, None, None, None), (1, "sheet", 1, None, None, None, None, None), (1, "sample", 1, None, None, None, None, "A"), (1, "sample", 2, None, None, None, None, "B"), (1, "revision", 1, False, None, None, None, None), (1, "revision", 2, True, None, None, None, None)],
+        "project_id int, what string, id int, is_image boolean, result_type string, n_variable int, n_attribute int, serial string",
+    )
+    projects_ = spark.createDataFrame([(1, True, 401, 0, 0, ["t1"])], "project_id int, locked boolean, n_samples int, n_undo int, n_redo int, tables array<string>")
+    got = {r["command_id"]: r["reason"] for r in history.refused_commands(commands, entities, projects_).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+    assert {r for r in got.values() if r} | {"internal"} == set(X.REASONS)
+
+
+def test_preview_of_locked_numbers(spark):
+    rows = spark.createDataFrame([(1, "1", "2"), (1, "2", "2"), (2, "1", "1")], "project_id int, old_number string, number string")
+    got = numbering.preview(rows, locked=spark.createDataFrame([(2,), (3,)], "project_id int"))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, None), (2, None, None, "numbering_locked")}
+
+
+def test_accepted_features(spark):
+    rows = spark.createDataFrame([(1, 3, 0.0, 10.0), (1, 101, 0.0, 10.0), (1, 0, 0.0, 10.0), (2, 3, 0.0, 10.0), (9, None, None, None)], "project_id int, quantity int, place_x double, place_y double")
+    settings = spark.createDataFrame([(1, "sub_number", None, 10.0), (2, "sub_number", True, 10.0)], "project_id int, multi_instance string, locked boolean, size_mm double")
+    got = sorted((tuple(r) for r in numbering.accepted(rows, settings).collect()), key=str)
+    assert got == sorted([(1, 1, 0.0, 10.0, 1, None), (1, 1, 0.0, 44.0, 2, None), (1, 1, 0.0, 78.0, 3, None), (1, 101, 0.0, 10.0, 1, None), (1, 0, 0.0, 10.0, 1, "zero_quantity"), (2, 3, 0.0, 10.0, 1, None), (9, 1, None, None, 1, None)], key=str)
+
+
+def test_fonts_of_a_sheet(spark):
+    rows = spark.createDataFrame([(1, "ABCDEF+Arial", True), (1, "Arial", False), (1, "Abcdef+X", False), (1, None, None), (2, "Arial", False)], "sheet_id int, font string, embedded boolean")
+    assert {tuple(r) for r in extract.sheet_fonts(rows).collect()} == {(1, "Arial", True, 2), (1, "Abcdef+X", False, 1), (2, "Arial", False, 1)}
