@@ -32,13 +32,11 @@ def query(name: str, sql: str | None = None):
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
-    of = base.shared_items(spark, sf)
-    return evaluate.measurement_state(base.characteristics(spark, sf, of), base.samples(spark, sf), base.results(spark, sf, of))
+    return evaluate.measurement_state(base.characteristics(spark, sf), base.samples(spark, sf), base.results(spark, sf))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    of = base.shared_items(spark, sf)
-    return evaluate.judged(base.characteristics(spark, sf, of), base.results(spark, sf, of))
+    return evaluate.judged(base.characteristics(spark, sf), base.results(spark, sf))
 
 
 # --- verdicts
