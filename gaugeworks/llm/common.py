@@ -24,10 +24,11 @@ def ship(spark: SparkSession) -> None:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     target = os.path.join(tempfile.mkdtemp(), "gaugeworks_llm_files.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for name in ("gaugeworks", "gaugeworks/llm"):
-            for f in sorted(os.listdir(os.path.join(top, name))):
+        # all of it: a worker finds the package in one place, whoever sends it first
+        for folder, _, files in os.walk(os.path.join(top, "gaugeworks")):
+            for f in sorted(files):
                 if f.endswith(".py"):
-                    z.write(os.path.join(top, name, f), f"{name}/{f}")
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
 
