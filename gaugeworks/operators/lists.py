@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.scratch import ship
+
 #: Changes of a log that are worked out together, and edits that are composed in one step.
 STRETCH, FAN = 1024, 16
 #: An old list has no known end.
@@ -269,6 +271,7 @@ def list_edits(changes: DataFrame, stretch: int = STRETCH, fan: int = FAN) -> Da
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship(changes.sparkSession)
     project, entity = changes.schema["project_id"].dataType, changes.schema["entity"].dataType
     schema = _schemas(to_arrow_type(entity), to_arrow_type(project))
     ddl = f"project_id {project.simpleString()}, part long, {FIELDS.format(entity.simpleString())}"

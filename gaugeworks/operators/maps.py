@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from gaugeworks.sources.scratch import ship
+
 MAP, BOX = ArrayType(DoubleType()), StructType([StructField(n, DoubleType()) for n in ("x", "y", "w", "h", "angle")])
 
 
@@ -156,6 +158,7 @@ def sheet_edits(balloons: DataFrame, sources: DataFrame, views: DataFrame, frame
     sheet. Lost ones are not kept. `changed` compares with what was there. Sheets without a map, or whose map can't be inverted or
     which have no area, keep everything as it is.
     """
+    ship(maps.sparkSession)
     good = maps.where("width > 0 AND height > 0").withColumn("_back", inverse("map")).where("_back IS NOT NULL").select("sheet_id", "map", "width", "height")
     none = F.lit(None).cast("double")
     names = ("x", "y", "w", "h", "angle")

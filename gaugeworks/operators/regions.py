@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from gaugeworks.operators.extract import CATEGORIES, FIELDS
 from gaugeworks.operators.place import user_box
+from gaugeworks.sources.scratch import ship
 
 #: Side of the squares by which boxes find each other, in sheet units.
 SQUARE = 128.0
@@ -92,6 +93,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], square: floa
         rows = rows.select(*keys, *[F.col(c).alias(f"_{name}_{c}") for c in df.columns], first("cx", hx).alias(f"_{name}x"), first("cy", hy).alias(f"_{name}y"), F.explode(squares).alias("_at"))
         return rows.select("*", F.col("_at.x").alias("_sx"), F.col("_at.y").alias("_sy")).drop("_at")
 
+    ship(left.sparkSession)
     box = lambda name: {k: F.col(f"_{name}_{k}") for k in ("cx", "cy", "w", "h", "angle")}
     met = dealt(left, "l").join(dealt(right, "r"), [*keys, "_sx", "_sy"])
     met = met.where("_sx = greatest(_lx, _rx) AND _sy = greatest(_ly, _ry)").where(~apart(box("l"), box("r")))

@@ -1,13 +1,35 @@
-"""Tables that a job writes for itself, to read what it has worked out instead of working it out again."""
+"""What jobs share with their executors: tables that they write for themselves, and this package for Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Adds this package to the files that Spark sends to its Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    target = os.path.join(tempfile.mkdtemp(), "gaugeworks_files.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        # all of it: a worker finds the package in one place, whoever sends it first
+        for folder, _, files in os.walk(os.path.join(top, "gaugeworks")):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, one of our own, in local mode alone."""
     context = spark.sparkContext

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gaugeworks.functions.exprs import verdict
+from gaugeworks.sources.scratch import ship
 
 CELL = ("project_id", "sample_id", "char_id")
 #: What keeps states on executors; sessions that run these streams need it.
@@ -66,6 +67,7 @@ def verdict_changes(entries: DataFrame, limits: DataFrame, late: str = "10 minut
     are told as `expired` and forgotten. Entries of unknown characteristics are not judged; entries later than the watermark (`late`) are dropped by
     Spark. Null values and limits are as in verdict(); an entry without seq or a part of its cell's key is left out.
     """
+    ship(entries.sparkSession)
     entries.sparkSession.streams  # noqa: B018 - a batch needs what keeps states, too, and nothing else has started it there
     judged = entries.join(F.broadcast(limits.select("project_id", "char_id", "lower_limit", "upper_limit")), ["project_id", "char_id"])
     told = judged.where(" AND ".join(f"{c} IS NOT NULL" for c in (*CELL, "seq", "ts"))).withWatermark("ts", late)
