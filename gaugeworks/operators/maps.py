@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -98,6 +98,7 @@ def quad_map(quad: Column, width: Column, height: Column) -> Column:
 
     Null if three of them lie on one line, with other than four corners, with a null, or for a sheet without area.
     """
+    ship(SparkSession.active())
     return _quad(F.flatten(F.transform(quad, lambda c: F.array(c["x"], c["y"]))), width, height)
 
 
