@@ -15,9 +15,11 @@ MM = 72 / 25.4
 ROW_TOLERANCE = 7 * MM
 
 
-def first_balloons(balloons: DataFrame) -> DataFrame:
-    """Of each characteristic the balloon that was placed first; min_by combines on the map side."""
-    return balloons.groupBy("project_id", "char_id").agg(F.min_by(F.struct(*[c for c in balloons.columns if c not in ("project_id", "char_id")]), "pos").alias("b")).select("project_id", "char_id", "b.*")
+def first_balloons(balloons: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Of each characteristic the balloon that was placed first, of equal places the one with the least `ties`; min_by combines on the map side."""
+    own = [c for c in balloons.columns if c not in ("project_id", "char_id", *ties)]
+    place = F.when(F.col("pos").isNotNull(), F.struct("pos", *ties)) if ties else F.col("pos")
+    return balloons.groupBy("project_id", "char_id").agg(F.min_by(F.struct(*own), place).alias("b")).select("project_id", "char_id", "b.*")
 
 
 def reference_points(characteristics: DataFrame, balloons: DataFrame) -> DataFrame:

@@ -232,9 +232,12 @@ def gathered(spark: SparkSession, sf: str) -> DataFrame:
     return numbering.gathered(rows).select("project_id", "item", "order")
 
 
-query("j3_first_balloon", "SELECT l_partkey AS char_id, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS sheet_id FROM lineitem GROUP BY 1")(
-    lambda s, sf: numbering.first_balloons(load(s, sf, "lineitem").select(F.lit(1).alias("project_id"), F.col("l_partkey").alias("char_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("sheet_id"))).select("char_id", "sheet_id")
-)
+@query("j3_first_balloon", "SELECT l_partkey AS char_id, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS sheet_id FROM lineitem GROUP BY 1")
+def first_balloon(spark: SparkSession, sf: str) -> DataFrame:
+    """Of lines with the same number in one order the one that stands first in the table."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = load(spark, sf, "lineitem").select(F.lit(1).alias("project_id"), F.col("l_partkey").alias("char_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("sheet_id"), *place)
+    return numbering.first_balloons(rows, ("file", "row")).select("char_id", "sheet_id")
 
 
 @query("j10_views", f"WITH {_ZONES} SELECT project_id, item, CASE WHEN x BETWEEN 100 AND 400 AND y BETWEEN 100 AND 300 THEN 1 WHEN x BETWEEN 50 AND 800 AND y BETWEEN 50 AND 700 THEN 0 END AS view_no FROM zz")
