@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.exprs import group_verdict, localized, projected, rule_detail, signed, unit_symbol
-from gaugeworks.operators.evaluate import grid, measured
+from gaugeworks.functions.exprs import group_verdict, localized, projected, rule_detail, signed, unit_symbol, verdict
+from gaugeworks.operators.evaluate import measured, rows_of_cells, with_results
 
 #: Samples in one block of columns.
 BLOCK = 6
@@ -46,27 +46,40 @@ def report_rows(characteristics: DataFrame, samples: DataFrame, results: DataFra
         "project_id", "char_id", "number", "kind", F.col("requirement_text").alias("requirement"), F.col("quantity").cast("string").alias("quantity"), number("nominal").alias("nominal"),
         dev("upper_dev").alias("upper_deviation"), dev("lower_dev").alias("lower_deviation"), number("lower_limit_text").alias("lower_limit"), number("upper_limit_text").alias("upper_limit"),
         unit_symbol(F.col("unit")).alias("unit"), F.coalesce("fit", F.lit("")).alias("fit"), F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce(detail, F.lit("")).alias("rule_detail"), F.coalesce("draft", F.lit(False)).alias("draft"),
+        F.col("lower_limit").alias("_low"), F.col("upper_limit").alias("_high"),
     )
-    cells = grid(characteristics, samples, results)
-    value = F.when(F.col("value").isNotNull(), F.coalesce("value_text", F.col("value").cast("string"))) if "value_text" in results.columns else F.col("value").cast("string")
-    entry = F.struct("sample_pos", F.coalesce(localized(value, comma), F.col("attribute"), F.lit("")).alias("value"), "verdict")
-    found = cells.groupBy("project_id", "char_id").agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-    return texts.join(found, ["project_id", "char_id"], "left").withColumn("cells", F.coalesce("cells", F.array().cast(dict(found.dtypes)["cells"])))
+    text = (lambda c: F.coalesce(c["value_text"], c["value"].cast("string"))) if "value_text" in results.columns else (lambda c: c["value"].cast("string"))
+    shown = results.select("project_id", "char_id", "sample_id", "value", "attribute", *[c for c in results.columns if c == "value_text"])
+
+    def entry(c):
+        r = c["result"]
+        return F.struct(c["sample_pos"].alias("sample_pos"), F.coalesce(localized(F.when(r["value"].isNotNull(), text(r)), comma), r["attribute"], F.lit("")).alias("value"), verdict(r["value"], r["attribute"], F.col("_low"), F.col("_high")).alias("verdict"))
+
+    return rows_of_cells(texts, samples, shown).withColumn("cells", F.array_sort(F.transform("cells", entry))).drop("_low", "_high")
 
 
 def wide_grid(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """A row for each characteristic and block, verdicts in columns s1..s6; cells that are missing are null here, and rows without a result are absent: see whole_grid."""
-    at = columns.select("project_id", "sample_id", "block", ((F.col("index") - 1) % BLOCK + 1).cast("int").alias("i"))
-    wide = cells.join(at, ["project_id", "sample_id"]).groupBy("project_id", "char_id", "block").pivot("i", list(range(1, BLOCK + 1))).agg(F.first("verdict"))
-    return wide.select("project_id", "char_id", "block", *[F.col(str(i)).alias(f"s{i}") for i in range(1, BLOCK + 1)])
+    lists = _numbers(columns)
+    at = cells.join(lists, "project_id").select("project_id", "char_id", "verdict", F.explode(F.filter("_numbers", lambda n: n["sample_id"] == F.col("sample_id"))).alias("n"))
+    i = (F.col("n.index") - 1) % BLOCK + 1
+    return at.groupBy("project_id", "char_id", F.col("n.block").alias("block")).agg(*[F.max(F.when(i == k, F.col("verdict"))).alias(f"s{k}") for k in range(1, BLOCK + 1)])
+
+
+def _numbers(columns: DataFrame) -> DataFrame:
+    """Of each project the list of its samples with their numbers."""
+    return columns.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("index", "block", "sample_id"))).alias("_numbers"))
 
 
 def whole_grid(cells: DataFrame, columns: DataFrame, characteristics: DataFrame) -> DataFrame:
     """A row for each measured characteristic and each block of its project, results or not. Cells without a result are missing;
-    columns after the last sample are null, and so is the one block of a project without samples."""
-    rows = characteristics.select("project_id", "char_id").join(column_blocks(columns), "project_id", "left").withColumn("block", F.coalesce("block", F.lit(0)))
-    rows = rows.join(wide_grid(cells, columns), ["project_id", "char_id", "block"], "left")
-    sample = lambda i: F.when(F.col("first_index") + i - 1 <= F.col("last_index"), F.coalesce(f"s{i}", F.lit("missing"))).alias(f"s{i}")
+    columns after the last sample are null, and so is the one block of a project without samples. Blocks are made in the row, from the project's list of samples."""
+    rows = with_results(characteristics.select("project_id", "char_id"), cells.select("project_id", "char_id", "sample_id", "verdict")).join(_numbers(columns), "project_id", "left")
+    of = lambda n: F.array_max(F.transform(F.filter("found", lambda r: r["sample_id"] == n["sample_id"]), lambda r: r["verdict"]))
+    verdicts = F.transform("_numbers", lambda n: F.named_struct(F.lit("index"), n["index"], F.lit("block"), n["block"], F.lit("verdict"), F.coalesce(of(n), F.lit("missing"))))
+    blocks = F.coalesce(F.array_distinct(F.transform("_numbers", lambda n: n["block"])), F.array(F.lit(0)))
+    rows = rows.select("project_id", "char_id", verdicts.alias("v"), F.explode(blocks).alias("block"))
+    sample = lambda i: F.get(F.filter("v", lambda c: (c["block"] == F.col("block")) & ((c["index"] - 1) % BLOCK == i - 1)), F.lit(0))["verdict"].alias(f"s{i}")
     return rows.select("project_id", "char_id", "block", *[sample(i) for i in range(1, BLOCK + 1)])
 
 

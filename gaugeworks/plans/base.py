@@ -14,11 +14,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each order and part the line with the highest number, of equal ones the dearest."""
-    lines = load(spark, sf_dir, "lineitem")
-    last = lines.groupBy("l_orderkey", "l_partkey").agg(F.max_by(F.struct("l_discount", "l_returnflag"), F.col("l_linenumber") * 10000000 + F.col("l_extendedprice")).alias("l"))
+    """Of each order and part the line with the highest number, of equal ones the dearest; `sign` is 1 where it was accepted, 2 where it was returned, else 0.
+
+    Lines meet their orders first, so that lines of one order and part are in one task by then; all values are of fixed width, which hashing asks.
+    """
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount", F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0).alias("sign"), (F.col("l_linenumber") * 10000000 + F.col("l_extendedprice")).alias("order"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return last.join(orders, last["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("char_id"), "l.*")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.groupBy(F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("char_id")).agg(F.max_by("l_discount", "order").alias("l_discount"), F.max_by("sign", "order").alias("sign"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects and the parts that their orders have, once each; dealt by part, as parts meet them next."""
+    lines, orders = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("project_id"), F.col("l_partkey").alias("char_id")).repartition("char_id").distinct()
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +44,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = items(spark, sf_dir).select("project_id", "char_id").distinct()
-    return pairs.join(parts(spark, sf_dir), F.col("char_id") == F.col("p_partkey")).withColumn("pos", F.col("char_id")).drop("p_partkey")
+    return pairs(spark, sf_dir).join(parts(spark, sf_dir), F.col("char_id") == F.col("p_partkey")).withColumn("pos", F.col("char_id")).drop("p_partkey")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +53,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).join(size, F.col("char_id") == F.col("p_partkey"))
     flag = F.col("char_id") % 8 == 3
     value = (F.col("nominal") + (F.col("l_discount").cast("decimal(12,2)") - F.lit("0.05").cast("decimal(12,2)")) * 10).cast(DEC)
-    attribute = F.when(flag & (F.col("l_returnflag") == "A"), "ok").when(flag & (F.col("l_returnflag") == "R"), "not_ok")
+    attribute = F.when(flag & (F.col("sign") == 1), "ok").when(flag & (F.col("sign") == 2), "not_ok")
     rows = rows.withColumn("attribute", attribute).withColumn("value", F.when(~flag, value)).where("value is not null or attribute is not null")
     return rows.select("project_id", "sample_id", "char_id", "value", "attribute")
 

@@ -117,7 +117,7 @@ def framed_runs(spark: SparkSession, sf: str) -> DataFrame:
 def pasted(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("project_id").cast("string")
     columns = base.samples(spark, sf).select("project_id", "pos", F.col("sample_id").alias("column_key"))
-    rows = base.items(spark, sf).select("project_id", "char_id").distinct().select("project_id", F.row_number().over(Window.partitionBy("project_id").orderBy("char_id")).alias("pos"), F.col("char_id").alias("row_key"))
+    rows = base.pairs(spark, sf).select("project_id", F.row_number().over(Window.partitionBy("project_id").orderBy("char_id")).alias("pos"), F.col("char_id").alias("row_key"))
     blocks = columns.select("project_id").distinct().select("project_id", F.lit(1).alias("block_id"), F.lit(2).alias("row_pos"), (F.col("project_id") % 15 + 1).alias("column_pos"), F.concat(k, F.lit("a\t "), k, F.lit("b\r\n"), k, F.lit("c\n")).alias("text"))
     return place.pasted(blocks, rows, columns).select("project_id", "row_key", "column_key", "text")
 
@@ -329,7 +329,7 @@ def truth_issues(spark: SparkSession, sf: str) -> DataFrame:
 def report_checks(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     info = load(spark, sf, "customer").select(k.alias("project_id"), F.when(k % 3 == 0, " ").otherwise("p").alias("part_number"), F.lit(None).cast("string").alias("report_number"), F.col("c_name").alias("company_name"), F.when(k % 2 == 0, "").otherwise("kim").alias("inspected_by"))
-    chars = base.items(spark, sf).select("project_id", "char_id").distinct()
+    chars = base.pairs(spark, sf)
     got = quality.report_checks(_state(spark, sf), info, chars.where("char_id % 4 = 1"), chars.where("char_id % 7 = 0"))
     return got.withColumn("missing_fields", F.array_join("missing_fields", ","))
 

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from gaugeworks.operators import evaluate, quality
 from gaugeworks.registry import QUERIES, SQL
 
 
@@ -12,3 +13,43 @@ def test_first_balloon_of_equal_places_is_the_first_row(spark, tmp_path):
     db.sql(f"create view lineitem as from '{tmp_path}/lineitem.parquet'")
     got = sorted(tuple(r) for r in QUERIES["j3_first_balloon"](spark, str(tmp_path)).collect())
     assert got == sorted(db.sql(SQL["j3_first_balloon"]).fetchall()) == [(1, 30), (2, 5)]
+
+
+def cells_of(spark):
+    chars = spark.createDataFrame([(1, 2, 2, True, "open", 1.0, 3.0), (1, 3, 3, True, "open", None, None), (1, 4, 4, True, "rejected", 1.0, 3.0), (9, 5, 5, True, "open", 1.0, 3.0)], "project_id long, char_id long, pos long, inspect boolean, status string, lower_limit double, upper_limit double")
+    samples = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "project_id long, sample_id long, pos int")
+    # a cell with two results, one of a rejected characteristic, one of a sample that is not known
+    results = spark.createDataFrame([(1, 10, 2, 2.0, None), (1, 10, 2, 9.0, None), (1, 11, 3, 5.0, None), (1, 11, 4, 2.0, None), (1, 77, 3, None, "ok")], "project_id long, sample_id long, char_id long, value double, attribute string")
+    return chars, samples, results
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_grid_is_made_in_rows_that_project_dealt(spark):
+    got = evaluate.grid(*cells_of(spark))
+    rows = sorted((tuple(r) for r in got.select("char_id", "sample_id", "sample_pos", "verdict").collect()), key=str)
+    assert rows == [(2, 10, 1, "fail"), (2, 10, 1, "pass"), (2, 11, 2, "missing"), (3, 10, 1, "missing"), (3, 11, 2, "not_evaluated")]
+    assert exchanges(got) and not any("sample_id" in e.split("]")[0] or "char_id" in e.split(")")[0] for e in exchanges(got))
+
+
+def test_state_is_dealt_by_project_once(spark):
+    got = evaluate.measurement_state(*cells_of(spark))
+    assert len(exchanges(got)) == 1
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == [
+        ("characteristic", 1, 2, 1, 1, 0, 0, "fail"), ("characteristic", 1, 3, 1, 0, 1, 0, "open"), ("project", 1, -1, 2, 1, 1, 0, "fail"), ("project", 2, -1, 0, 0, 0, 0, "open"),
+        ("sample", 1, 10, 1, 1, 0, 0, "fail"), ("sample", 1, 11, 0, 0, 1, 1, "open"), ("sample", 2, 12, 0, 0, 0, 0, "open"),
+    ]
+
+
+def test_report_reads_the_state_once(spark):
+    state = evaluate.measurement_state(*cells_of(spark))
+    info = spark.createDataFrame([(1, "p", "", "c", None), (3, "p", "r", "c", "i")], "project_id long, part_number string, report_number string, company_name string, inspected_by string")
+    marks = lambda *ids: spark.createDataFrame([(1, i) for i in ids], "project_id long, char_id long")
+    got = quality.report_checks(state, info, marks(2, 2, 4), marks(3, 2))
+    rows = sorted(tuple(r) for r in got.select("project_id", "samples", "rows", "missing_values", "not_evaluated", "draft_rows", "changed_rows").collect())
+    assert rows == [(1, 2, 2, 0, 1, 1, 2), (3, 0, 0, 0, 0, 0, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("n_samples#") and plan.count("Window [") == 2
