@@ -96,14 +96,16 @@ def report_checks(state: DataFrame, info: DataFrame, drafts: DataFrame, changed:
 
     `state` is the measurement state, `info` has project_id and HEADER, `drafts` and `changed` have project_id and char_id. A check sheet has no missing values.
     """
-    project = state.where("grain = 'project'").select("project_id", "missing", "not_evaluated")
-    rows = state.where("grain = 'characteristic'").select("project_id", F.col("key").alias("char_id"))
-    count = lambda df, name: df.groupBy("project_id").agg(F.count("*").alias(name))
-    measured = lambda df: df.select("project_id", "char_id").distinct().join(rows, ["project_id", "char_id"], "left_semi")
-    parts = [count(rows, "rows"), count(state.where("grain = 'sample'"), "samples"), count(measured(drafts), "draft_rows"), count(measured(changed), "changed_rows")]
-    out = info.select("project_id", F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in HEADER])).alias("missing_fields")).join(project, "project_id", "left")
-    for p in parts:
-        out = out.join(p, "project_id", "left")
+    # one reading of the state: its rows and the marks of drafts and changes meet by characteristic, then by project
+    flag = lambda df, name: df.select("project_id", F.lit("characteristic").alias("grain"), F.col("char_id").alias("key"), F.lit(1).alias(name))
+    marked = state.select("project_id", "grain", "key", "missing", "not_evaluated", F.lit(1).alias("there")).unionByName(flag(drafts, "draft"), allowMissingColumns=True).unionByName(flag(changed, "change"), allowMissingColumns=True)
+    marked = marked.repartition("project_id").groupBy("project_id", "grain", "key").agg(*[F.max(c).alias(c) for c in ("missing", "not_evaluated", "there", "draft", "change")]).where("there = 1")
+    rows, whole = F.col("grain") == "characteristic", F.col("grain") == "project"
+    counts = marked.groupBy("project_id").agg(
+        F.count_if(rows).alias("rows"), F.count_if(F.col("grain") == "sample").alias("samples"), F.count_if(rows & (F.col("draft") == 1)).alias("draft_rows"), F.count_if(rows & (F.col("change") == 1)).alias("changed_rows"),
+        F.max(F.when(whole, F.col("missing"))).alias("missing"), F.max(F.when(whole, F.col("not_evaluated"))).alias("not_evaluated"),
+    )
+    out = info.select("project_id", F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in HEADER])).alias("missing_fields")).join(counts, "project_id", "left")
     shown = (lambda c: F.coalesce(c, F.lit(0))) if kind == "inspection_report" else (lambda c: F.lit(0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return out.select("project_id", zero("samples"), zero("rows"), shown(F.col("missing")).cast("bigint").alias("missing_values"), shown(F.col("not_evaluated")).cast("bigint").alias("not_evaluated"), zero("draft_rows"), zero("changed_rows"), "missing_fields")
