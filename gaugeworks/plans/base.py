@@ -13,6 +13,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task sorts, about, where a window needs them by project.
+SORTED = 500_000
+
+
+def dealt(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """`rows` dealt by `keys` into a task for each SORTED rows of `table` (a count from its footers), so that sorts do not grow with the table."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-table.count() // SORTED)), *keys)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each order and part the line with the highest number, of equal ones the dearest; `sign` is 1 where it was accepted, 2 where it was returned, else 0.
 

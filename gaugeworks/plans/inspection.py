@@ -217,8 +217,10 @@ def zone_order(spark: SparkSession, sf: str) -> DataFrame:
     SELECT project_id, item, CAST(base AS INT) AS base, CAST(sub AS INT) AS sub, concat_ws('.', CAST(CAST(base AS INT) AS VARCHAR), CAST(sub AS VARCHAR)) AS number FROM r""",
 )
 def display_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
-    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("project_id"), _item().alias("item"), (F.col("l_partkey") % 3).alias("group_key"), order.alias("order"))
+    order = F.row_number().over(Window.partitionBy("project_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    lines = load(spark, sf, "lineitem")
+    rows = base.dealt(lines.select(F.col("l_suppkey").alias("project_id"), _item().alias("item"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), lines, "project_id")
+    rows = rows.select("project_id", "item", (F.col("l_partkey") % 3).alias("group_key"), order.alias("order"))
     return numbering.display_numbers(rows, True).select("project_id", "item", "base", "sub", "number")
 
 

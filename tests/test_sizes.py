@@ -3,6 +3,7 @@
 import duckdb
 
 from gaugeworks.operators import evaluate, quality
+from gaugeworks.plans import base
 from gaugeworks.registry import QUERIES, SQL
 
 
@@ -53,3 +54,10 @@ def test_report_reads_the_state_once(spark):
     assert rows == [(1, 2, 2, 0, 1, 1, 2), (3, 0, 0, 0, 0, 0, 0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("n_samples#") and plan.count("Window [") == 2
+
+
+def test_sorts_by_project_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(base, "SORTED", 100, raising=False)
+    for name in ("n12_display_numbers", "n13_preview"):
+        dealt = exchanges(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert len(dealt) == 1 and ", 60)" in dealt[0]  # 6,000 lines, all windows in one dealing
