@@ -88,3 +88,31 @@ def test_unmergeable(spark):
 
 def test_nothing(spark):
     assert bestfit.best_fit_packed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_best_fit_by_length():
+    rng = random.Random(5)
+    for capacity in (1, 10, 64, 1024):
+        for n in (0, 1, 40, 700):
+            sizes = [rng.randint(1, rng.choice([1, capacity, capacity // 3 + 1])) for _ in range(n)]
+            counts = {s: sizes.count(s) for s in set(sizes)}
+            filled = {}
+            for size, runs in bestfit.best_fit_by_length(counts, capacity).items():
+                for (item, first, each, place), end in zip(runs, [*[r[0] for r in runs[1:]], counts[size]], strict=True):
+                    for i in range(end - item):
+                        filled.setdefault(first + i // each, []).append((place + i % each * size, size))
+            for b in filled.values():
+                b.sort()
+                assert [o for o, _ in b] == [sum(s for _, s in b[:k]) for k in range(len(b))]
+            assert sorted(sum(s for _, s in b) for b in filled.values()) == plain_best_fit(sizes, capacity)
+    # as many items as one likes
+    assert len(bestfit.best_fit_by_length({600: 10**12, 400: 3 * 10**12, 24: 10**13}, 1024)[24]) < 10
+
+
+def test_bins_beyond_those_handed_on_are_packed_again(spark):
+    """Leaves of long pieces alone and of short ones alone: all bins are half empty, and only two of a node go up."""
+    docs = [(i, "a " * (90 if i < 200 else 20), None, None) for i in range(400)]
+    rows = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    pieces = bestfit.best_fit_packed(rows, capacity=128, leaf=4, held=1, fan=2).collect()
+    best = len(plain_best_fit([p["length"] for p in pieces], 128))
+    assert best == 200 and checked(pieces, docs, 128, bestfit.END) <= best * 1.01
