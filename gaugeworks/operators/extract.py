@@ -29,6 +29,9 @@ _PREFIX = "^(SØ|SR|Ø|R|M|C|↧) ?"
 _FRONT, _BACK = "^([0-9]+) ?(?:[xX]|(?i:PL(?:ACES)?)) ?+(?![0-9.,]+ ?°)", " ([0-9]+) ?(?i:PL(?:ACES)?)$"
 _SUFFIX = f"((?: ?(?:THRU(?: ALL)?|DEEP|TYP|↧ ?{_PLAIN}))+)$"
 _SPLIT = "\u0001"
+#: Letters of the words that a callout may have. Others come only in the classes of a fit or a thread, four in all; a text with a fifth one can't be read.
+_WORDS = "THRUALDEPYSCIMNXFthrualdepyscimnxfØø"
+_PROSE = f"^(?:[\\P{{L}}{_WORDS}]*+[\\p{{L}}&&[^{_WORDS}]]){{5}}"
 
 
 def _number(text: Column) -> Column:
@@ -125,7 +128,13 @@ def callout(text: Column, drawing_unit: str = "mm") -> Column:
             number(first).alias("tol_a"), number(second).alias("tol_b"), unit(kd, n).alias("unit"), hints(n).alias("hints"), known.alias("parse_ok"), F.when(known & (s != ""), s).alias("suffixes"),
         )))
 
-    return let(F.trim(F.coalesce(tidy, F.lit(""))), bare)
+    # a page of prose is known by its first words; signs that tidy text has as letters count as letters
+    null = lambda kind: F.lit(None).cast(kind)
+    unread = F.struct(
+        F.lit(1).alias("quantity"), F.when(text.rlike("[\\p{L}⌀×]{3,}"), "note").otherwise("other").alias("kind"), null("string").alias("marking"), null(DEC).alias("nominal"), null("int").alias("scale"), null("string").alias("fit"), null("string").alias("tol_kind"),
+        null(DEC).alias("tol_a"), null(DEC).alias("tol_b"), null("string").alias("unit"), F.array_compact(F.array(F.when(text.rlike("[0-9],[0-9]"), "decimal_comma"))).alias("hints"), F.lit(False).alias("parse_ok"), null("string").alias("suffixes"),
+    )
+    return F.when(text.rlike(_PROSE), unread).otherwise(let(F.trim(F.coalesce(tidy, F.lit(""))), bare))
 
 
 def callouts(rows: DataFrame, text: str = "requirement_text", drawing_unit: str = "mm") -> DataFrame:
@@ -144,11 +153,14 @@ def callouts_once(rows: DataFrame, text: str = "requirement_text", drawing_unit:
 
     What follows starts from that table, so that its plan does not hold the reading. A null text is read as an empty one.
     """
-    fields = ("quantity", "kind", "marking", "nominal", "scale", "fit", "tol_kind", "tol_a", "tol_b", "unit", "hints", "parse_ok", "suffixes")
+    return once(rows, lambda texts: callouts(texts, "callout_text", drawing_unit), text)
+
+
+def once(rows: DataFrame, of: Callable[[DataFrame], DataFrame], text: str = "requirement_text") -> DataFrame:
+    """Columns that follow from a text alone: `of` makes them of distinct texts (column callout_text), and rows meet its table. A column that rows had of the same name is replaced."""
     key = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = rows.select(key.alias("_text")).distinct()
-    read = written(callouts(texts, "_text", drawing_unit), "callouts")
-    return rows.drop(*fields).withColumn("_text", key).join(read, "_text", "left").drop("_text")
+    made = written(of(rows.select(key.alias("callout_text")).distinct()), "callouts")
+    return rows.drop(*[c for c in made.columns if c != "callout_text"]).withColumn("callout_text", key).join(made, "callout_text", "left").drop("callout_text")
 
 
 def sheet_kinds(objects: DataFrame) -> DataFrame:

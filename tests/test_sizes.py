@@ -1,8 +1,9 @@
 """Ties, and plans that stay small as tables grow."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from gaugeworks.operators import evaluate, quality
+from gaugeworks.operators import evaluate, explain, extract, place, quality, revise, tolerance
 from gaugeworks.plans import base
 from gaugeworks.registry import QUERIES, SQL
 
@@ -61,3 +62,14 @@ def test_sorts_by_project_do_not_grow_with_the_table(spark, monkeypatch):
     for name in ("n12_display_numbers", "n13_preview"):
         dealt = exchanges(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert len(dealt) == 1 and ", 60)" in dealt[0]  # 6,000 lines, all windows in one dealing
+
+
+def test_prose_is_known_without_being_read(spark, monkeypatch):
+    texts = ["see drawing with books", "brown ox", "bow ⌀× 1,5 back wing", "a⌀×", "Ø30 H7/g6", "M8x1.25-6H6g", "10 ZB7/zb6", "10 ZB7/zb6 K", "THRU ALL DEEP TYP PLACES " * 9, "ÄÖÜßé 12", "4X Ø6 THRU\nTYP", "", "Größe über 12 mm " * 500]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, requirement_text string")
+    known = rows.select(F.col("requirement_text").rlike(extract._PROSE)).collect()
+    assert [r[0] for r in known] == [True, False, True, False, False, False, False, True, False, True, False, False, True]
+    read = lambda: sorted(tuple(map(str, r)) for r in extract.callouts(rows).collect())
+    short = read()
+    monkeypatch.setattr(extract, "_PROSE", "^\u0002$")
+    assert short == read()
