@@ -143,6 +143,13 @@ def explained(rows: DataFrame, language: str = "en", out: str = "explanation") -
     return rows.withColumn(out, F.array_join(F.array_compact(parts), " ")).drop("_devs", "_split", "_range", "_leg", "_in_range", "_in_range_split")
 
 
+def explained_once(rows: DataFrame, cells: DataFrame, language: str = "en") -> DataFrame:
+    """`explanation` of callouts that say all by their requirement_text, worked out once for each distinct text."""
+    from gaugeworks.operators import extract
+
+    return extract.once(rows, lambda texts: explained(derivations(extract.callouts(texts, "callout_text"), cells), language).select("callout_text", "explanation"))
+
+
 def derivations(rows: DataFrame, cells: DataFrame, general_class: str = "m", general_table: str = "iso-2768-1", fit_table: str = "iso-286", output_unit: str | None = None, mm_places: int = 3, inch_places: int = 4, decimal_rules: list[tuple[int, str]] = (), drawing_rule: tuple[str, str] | None = None) -> DataFrame:
     """What explained() asks for, of rows with kind, nominal, scale and so on, through derived(); numbers without zeros at their end.
 

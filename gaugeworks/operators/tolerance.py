@@ -291,6 +291,13 @@ def derived(
     return rows.drop(*own, *([] if given else ["shorter_leg"]))
 
 
+def derived_once(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """derived() of callouts that say all by their requirement_text, read and derived once for each distinct text."""
+    from gaugeworks.operators import extract
+
+    return extract.once(rows, lambda texts: derived(extract.callouts(texts, "callout_text"), cells))
+
+
 def table_issues(cells: DataFrame) -> DataFrame:
     """Rows of a part that leave a gap or overlap, bounds in two rows or none, and negative magnitudes."""
     rows = cells.select("table_id", "part_id", "part_kind", "row_no", "lo", "lo_incl", "hi", "hi_incl").distinct()

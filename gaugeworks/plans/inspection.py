@@ -142,7 +142,7 @@ e AS (SELECT *, CAST(CASE m WHEN 4 THEN -0.1 WHEN 5 THEN 0 ELSE -up END AS DECIM
 
 def _derived(spark: SparkSession, sf: str) -> DataFrame:
     cells = tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)
-    return tolerance.derived(extract.callouts_once(_texts(spark, sf)), cells)
+    return tolerance.derived_once(_texts(spark, sf), cells)
 
 
 query("t1_cascade", f"WITH {_CASCADE} SELECT p_partkey, rule, up AS upper_dev, low AS lower_dev, CAST(p_size + up AS DECIMAL(28,12)) AS upper_limit, CAST(p_size + low AS DECIMAL(28,12)) AS lower_limit, m <> 6 AS inspect_now FROM e")(

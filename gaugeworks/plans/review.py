@@ -70,7 +70,7 @@ def _read(spark: SparkSession, sf: str) -> DataFrame:
     """What reading gives for the same callouts: every eleventh stands apart from its place, every thirteenth twice, every seventeenth is misprinted."""
     k = F.col("p_partkey")
     texts = _texts(spark, sf).withColumn("requirement_text", F.when(k % 17 == 0, F.concat("requirement_text", F.lit(" §"))).otherwise(F.col("requirement_text")))
-    rows = tolerance.derived(extract.callouts_once(texts), tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)).withColumn("inspect", F.col("inspect_now"))
+    rows = tolerance.derived_once(texts, tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)).withColumn("inspect", F.col("inspect_now"))
     at = _truth(spark, sf).select("p_partkey", "sheet_id", (F.col("cx") + 1 + F.when(k % 11 == 0, 5000.0).otherwise(0.0)).alias("cx"), F.col("cy"), (F.col("w") - 2).alias("w"), "h", (F.col("angle") + F.when(k % 2 == 0, 180.0).otherwise(0.0)).alias("angle"))
     return rows.join(at, "p_partkey").withColumn("copy", F.explode(F.when(k % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
 
@@ -146,7 +146,7 @@ _WORDS = {
 def _sentences(language: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         cells = tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)
-        return explain.explained(explain.derivations(extract.callouts_once(_texts(spark, sf)), cells), language).select("p_partkey", "explanation")
+        return explain.explained_once(_texts(spark, sf), cells, language).select("p_partkey", "explanation")
 
     return run
 

@@ -73,3 +73,12 @@ def test_prose_is_known_without_being_read(spark, monkeypatch):
     short = read()
     monkeypatch.setattr(extract, "_PROSE", "^\u0002$")
     assert short == read()
+
+
+def test_sentences_are_made_of_distinct_texts(spark):
+    rows = spark.createDataFrame([(1, "12"), (2, "12"), (3, None), (4, "(5)")], "k long, requirement_text string")
+    cells = tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)
+    got = explain.explained_once(rows, cells)
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    whole = explain.explained(explain.derivations(extract.callouts(rows), cells)).select("k", "explanation")
+    assert sorted(map(tuple, got.select("k", "explanation").collect())) == sorted(map(tuple, whole.collect()))
