@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.evaluate import orphans
-
 MOST_SAMPLES, MOST_PLACES = 500, 10
 TABLE_ID = "^[a-z0-9-]+$"
 STACKED = ("deviations", "min", "max", "limits", "fit_printed")
 
 
-def measurement_issues(samples: DataFrame, characteristics: DataFrame, results: DataFrame) -> DataFrame:
+def measurement_issues(samples: DataFrame, characteristics: DataFrame, results: DataFrame, tasks: int | None = None) -> DataFrame:
     """project_id and reason, once for each: too many samples, a sample's id twice, results of unknown cells, two results of a cell, results out of order.
 
     `results` have `pos`, their place in the list; it follows the samples' order and then the characteristics'. Serials are C1.
+    Results meet samples and characteristics once, in `tasks` tasks, a number that should follow their count; without it Spark's own.
     """
     issue = lambda df, reason: df.select("project_id", F.lit(reason).alias("reason"))
+    dealt = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
+    sample, char = ["project_id", "sample_id"], ["project_id", "char_id"]
     many = issue(samples.groupBy("project_id").count().where(F.col("count") > MOST_SAMPLES), "too_many_samples")
-    twice = issue(samples.groupBy("project_id", "sample_id").count().where("count > 1"), "duplicate_sample")
-    unknown = orphans(results.select("project_id", "sample_id", "char_id"), characteristics, samples).select("project_id", "reason")
-    cells = issue(results.groupBy("project_id", "sample_id", "char_id").count().where("count > 1"), "duplicate_result")
-    at = results.join(samples.select("project_id", "sample_id", F.col("pos").alias("s")), ["project_id", "sample_id"]).join(characteristics.select("project_id", "char_id", F.col("pos").alias("c")), ["project_id", "char_id"])
-    w = Window.partitionBy("project_id").orderBy("pos")
-    unsorted = issue(at.withColumn("k", F.struct("s", "c")).withColumn("b", F.lag("k").over(w)).where(F.col("b") > F.col("k")), "results_not_sorted")
-    return many.union(twice).union(unknown).union(cells).union(unsorted).distinct()
+    twice = issue(samples.groupBy(*sample).count().where("count > 1"), "duplicate_sample")
+    by_sample = dealt(results.select(*sample, "char_id", "pos"), *sample)
+    cells = issue(by_sample.groupBy(*sample, "char_id").count().where("count > 1"), "duplicate_result")
+    at = by_sample.join(dealt(samples.select(*sample, F.struct("pos").alias("s")), *sample), sample, "left").drop("sample_id")
+    at = dealt(at, *char).join(dealt(characteristics.select(*char, F.struct("pos").alias("c")), *char), char, "left").drop("char_id")
+    # of results of known cells, which alone have a key, the one before
+    before = Window.partitionBy("project_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = dealt(at, "project_id").withColumn("k", F.when(F.col("s").isNotNull() & F.col("c").isNotNull(), F.struct("s", "c"))).withColumn("b", F.last("k", ignorenulls=True).over(before))
+    wrong = F.array_compact(F.array(F.when(F.col("c").isNull(), "unknown_characteristic"), F.when(F.col("s").isNull(), "unknown_sample"), F.when(F.col("b") > F.col("k"), "results_not_sorted")))
+    return many.union(twice).union(cells).union(at.select("project_id", F.explode(wrong).alias("reason"))).distinct()
 
 
 def settings_issues(settings: DataFrame) -> DataFrame:

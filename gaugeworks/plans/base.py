@@ -17,10 +17,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SORTED = 500_000
 
 
+def tasks(table: DataFrame) -> int:
+    """A task for each SORTED rows of `table` (a count from its footers)."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // SORTED))
+
+
 def dealt(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
-    """`rows` dealt by `keys` into a task for each SORTED rows of `table` (a count from its footers), so that sorts do not grow with the table."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, -(-table.count() // SORTED)), *keys)
+    """`rows` dealt by `keys` into as many tasks as `table` asks for, so that sorts do not grow with the table."""
+    return rows.repartition(tasks(table), *keys)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +44,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("project_id"), F.col("l_partkey").alias("char_id")).repartition("char_id").distinct()
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, n_tasks: int | None = None) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    orders = orders.repartition(n_tasks, "o_custkey") if n_tasks else orders
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sample_id"), pos.alias("pos"), F.col("o_orderkey").cast("string").alias("serial"))
+    return orders.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sample_id"), pos.alias("pos"), F.col("o_orderkey").cast("string").alias("serial"))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,9 +68,8 @@ query(
     CAST(CASE WHEN m = 0 THEN p_size + 0.1 WHEN m <> 1 THEN p_size + low END AS DECIMAL(28,12)) AS lower_limit FROM e UNION ALL SELECT p_partkey, 1, 'general', CAST(2.2 AS DECIMAL(28,12)), CAST(1.8 AS DECIMAL(28,12)) FROM e WHERE m = 3""",
 )
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    read = extract.callouts_once(_box_texts(spark, sf))
     cells = tolerance.table_cells(spark, tolerance.GENERAL, tolerance.FITS)
-    return tolerance.derived(read, cells).select("sheet_id", "text_no", "rule", "upper_limit", "lower_limit")
+    return tolerance.derived_once(_box_texts(spark, sf), cells).select("sheet_id", "text_no", "rule", "upper_limit", "lower_limit")
 
 
 # --- places
@@ -277,11 +276,13 @@ def change_sources(spark: SparkSession, sf: str) -> DataFrame:
 )
 def measurement_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Results in the order of their keys, samples in the order of their days."""
-    lines = load(spark, sf, "lineitem").join(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = lines.select(F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("char_id"))
+    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    n = base.tasks(lines)
+    lines = lines.repartition(n, "l_orderkey").join(load(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(F.col("o_custkey").alias("project_id"), F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("char_id")).repartition(n, "project_id")
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("project_id").orderBy("sample_id", "char_id")))
     chars = rows.select("project_id", "char_id").distinct().withColumn("pos", F.col("char_id"))
-    return quality.measurement_issues(base.samples(spark, sf), chars, rows)
+    return quality.measurement_issues(base.samples(spark, sf, n), chars, rows, n)
 
 
 @query(

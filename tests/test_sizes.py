@@ -82,3 +82,16 @@ def test_sentences_are_made_of_distinct_texts(spark):
     assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
     whole = explain.explained(explain.derivations(extract.callouts(rows), cells)).select("k", "explanation")
     assert sorted(map(tuple, got.select("k", "explanation").collect())) == sorted(map(tuple, whole.collect()))
+
+
+
+def test_issues_meet_samples_once(spark, monkeypatch):
+    chars, samples, _ = cells_of(spark)
+    results = spark.createDataFrame([(1, 11, 2, 1), (1, 77, 2, 2), (1, 10, 3, 3), (1, 10, 99, 4), (2, 12, 5, 1), (2, 12, 5, 2)], "project_id long, sample_id long, char_id long, pos long")
+    for tasks in (None, 3):
+        got = quality.measurement_issues(samples, chars, results, tasks)
+        assert sorted(tuple(r) for r in got.collect()) == [(1, "results_not_sorted"), (1, "unknown_characteristic"), (1, "unknown_sample"), (2, "duplicate_result"), (2, "unknown_characteristic")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    monkeypatch.setattr(base, "SORTED", 100)
+    plan = QUERIES["c2_measurement_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert all(int(e.rsplit(")", 1)[0].split(",")[-1].split(")")[0]) > 8 for e in plan.splitlines() if "Exchange hashpartitioning" in e and "REPARTITION_BY_NUM" in e)
