@@ -39,25 +39,18 @@ def text_runs(glyphs: DataFrame) -> DataFrame:
     size_share, turn_by, baseline, overlap, gap_share, space = SIZE_SHARE, TURN, BASELINE, OVERLAP, GAP, SPACE
 
     def step(s, font, size, rotation, ox, oy, x, y, w, h):
-        def along(turn, px, py):
-            return px * math.cos(math.radians(turn)) - py * math.sin(math.radians(turn))
-
-        def across(turn, px, py):
-            return px * math.sin(math.radians(turn)) + py * math.cos(math.radians(turn))
-
-        def reach(turn):
-            return max(along(turn, px, py) for px in (x, x + w) for py in (y, y + h))
-
-        run, same, gap = -1, False, 0.0
+        # the sine and cosine of a run's direction are kept with it; the corner that reaches farthest along it has the largest of either part
+        run = -1
         if s:
-            run, last, first_size, turn, base, far = s
+            run, last, first_size, turn, cos, sin, base, far = s
             em = max(first_size, 1e-12)
-            gap, d = along(turn, ox, oy) - far, abs(rotation - turn) % 360
-            same = last == font and abs(size - first_size) <= size_share * em and min(d, 360 - d) <= turn_by
-            same = same and abs(across(turn, ox, oy) - base) <= baseline * em and -overlap * em <= gap <= gap_share * em
-        if same:
-            return (run, font, first_size, turn, base, max(far, reach(turn))), (run, gap >= space * em, turn)
-        return (run + 1, font, size, rotation, across(rotation, ox, oy), reach(rotation)), (run + 1, False, rotation)
+            gap, d = ox * cos - oy * sin - far, abs(rotation - turn) % 360
+            if last == font and abs(size - first_size) <= size_share * em and min(d, 360 - d) <= turn_by and abs(ox * sin + oy * cos - base) <= baseline * em and -overlap * em <= gap <= gap_share * em:
+                reach = max(x * cos, (x + w) * cos) - min(y * sin, (y + h) * sin)
+                return (run, font, first_size, turn, cos, sin, base, max(far, reach)), (run, gap >= space * em, turn)
+        cos, sin = math.cos(math.radians(rotation)), math.sin(math.radians(rotation))
+        reach = max(x * cos, (x + w) * cos) - min(y * sin, (y + h) * sin)
+        return (run + 1, font, size, rotation, cos, sin, ox * sin + oy * cos, reach), (run + 1, False, rotation)
 
     reads = ["font_name", "font_size", "rotation", "origin_x", "origin_y", "x", "y", "w", "h"]
     dealt = folded(glyphs.select(*SHEET, "seq", "ch", *[F.col(c) if c == "font_name" else F.col(c).cast("double").alias(c) for c in reads]), SHEET, ["seq"], reads, step, "run int, gap boolean, turn double")

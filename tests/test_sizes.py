@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import evaluate, explain, extract, place, quality, revise, tolerance
+from gaugeworks.operators import evaluate, explain, extract, quality, tolerance
 from gaugeworks.plans import base
 from gaugeworks.registry import QUERIES, SQL
 
