@@ -7,8 +7,8 @@ list, and what it asks of the old one: entities in certain places, entities that
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, groupby, islice
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -19,6 +19,8 @@ from gaugeworks.sources.scratch import ship
 
 #: Changes of a log that are worked out together, and edits that are composed in one step.
 STRETCH, FAN = 1024, 16
+#: Rows of a batch that is handed on, and of one that is taken apart at once (an order has two lists in a row).
+BATCH, READ = 8192, 256
 #: An old list has no known end.
 OPEN = 1 << 62
 
@@ -207,85 +209,119 @@ def composed(first: Edit, then: Edit) -> Edit | None:
     return Edit(out, s.places, s.absent, s.gone, s.least, s.exact)
 
 
-FIELDS = "pieces array<struct<a: long, b: long, entity: {0}>>, places array<struct<at: long, entity: {0}>>, absent array<{0}>, gone array<{0}>, least long, exact long, sound boolean"
+#: What a row of an edit says: its head (least and exact length; no least if the edit is broken), a piece, an entity that comes in and must not be there, ...
+HEAD, PIECE, NEW, PLACE, ABSENT, GONE = range(6)
 
 
-def _row(edit: Edit | None) -> dict:
+def _rows(edit: Edit | None) -> Iterator[tuple]:
+    """An edit as rows (kind, a, b, entity), its head first: a worker never holds more of them than a batch, however large edits are."""
     if edit is None:
-        return {"sound": False}
-    pieces = [{"a": a, "b": b, "entity": e} for a, b, e in edit.pieces]
-    return {"pieces": pieces, "places": [{"at": k, "entity": v} for k, v in edit.places.items()], "absent": list(edit.absent), "gone": list(edit.gone), "least": edit.least, "exact": edit.exact, "sound": True}
-
-
-def _edit(row: dict) -> Edit | None:
-    if not row["sound"]:
-        return None
-    pieces = [(p["a"], p["b"], p["entity"]) for p in row["pieces"]]
-    return Edit(pieces, {p["at"]: p["entity"] for p in row["places"]}, set(row["absent"]), set(row["gone"]), row["least"], row["exact"])
+        yield HEAD, None, None, None
+        return
+    yield HEAD, edit.least, edit.exact, None
+    absent = set(edit.absent)
+    for a, b, e in edit.pieces:
+        if e is not None and e in absent:
+            absent.discard(e)
+            yield NEW, None, None, e
+        else:
+            yield PIECE, a, b, e
+    yield from ((PLACE, at, None, e) for at, e in edit.places.items())
+    yield from ((ABSENT, None, None, e) for e in absent)
+    yield from ((GONE, None, None, e) for e in edit.gone)
+
+
+def _edit(rows: Iterable[tuple]) -> Edit | None:
+    pieces, places, absent, gone, least, exact = [], {}, set(), set(), None, None
+    for kind, a, b, e in rows:
+        if kind == HEAD:
+            least, exact = a, b
+        elif kind == PIECE:
+            pieces.append((a, b, e))
+        elif kind == NEW:
+            pieces.append((0, 1, e))
+            absent.add(e)
+        elif kind == PLACE:
+            places[a] = e
+        else:
+            (absent if kind == ABSENT else gone).add(e)
+    return None if least is None else Edit(pieces, places, absent, gone, least, exact)
+
+
+def _read(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for b in batches:
+        columns = [b.column(b.schema.get_field_index(c)) for c in names]
+        for at in range(0, b.num_rows, READ):
+            yield from zip(*[c.slice(at, READ).to_pylist() for c in columns], strict=True)
 
 
-def _schemas(entity: pa.DataType, project: pa.DataType) -> pa.Schema:
-    piece, place = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("entity", entity)]), pa.struct([("at", pa.int64()), ("entity", entity)])
-    return pa.schema([("project_id", project), ("part", pa.int64()), ("pieces", pa.list_(piece)), ("places", pa.list_(place)), ("absent", pa.list_(entity)), ("gone", pa.list_(entity)), ("least", pa.int64()), ("exact", pa.int64()), ("sound", pa.bool_())])
+def _streamed(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: pa.Schema):
+    """`rows` as a function from batches to batches of bounded length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = rows(batches)
+        while held := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Runs of rows of one project and part."""
-    held: list[dict] = []
-    for b in batches:
-        for row in b.to_pylist():
-            if held and (row["project_id"], row["part"]) != (held[0]["project_id"], held[0]["part"]):
-                yield (held[0]["project_id"], held[0]["part"]), held
-                held = []
-            held.append(row)
-    if held:
-        yield (held[0]["project_id"], held[0]["part"]), held
+    return run
 
 
-def _stretches(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (project, part), rows in _groups(batches):
-            edit = edit_of([(r["kind"], r["entity"], r["index"], r["before"], r["after"]) for r in rows])
-            yield pa.RecordBatch.from_pylist([{"project_id": project, "part": part, **_row(edit)}], schema)
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    read = _read(batches, ["project_id", "part", "kind", "entity", "index", "before", "after"])
+    for key, changes in groupby(read, key=lambda r: r[:2]):
+        for no, row in enumerate(_rows(edit_of([r[2:] for r in changes]))):
+            yield (*key, no, *row)
 
-    return run
 
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for key, edits in groupby(_read(batches, ["project_id", "of", "part", "kind", "a", "b", "entity"]), key=lambda r: r[:2]):
+        edit: Edit | None = same()
+        for _, rows in groupby(edits, key=lambda r: r[2]):
+            then = _edit(r[3:] for r in rows)
+            edit = composed(edit, then) if edit is not None and then is not None else None
+        for no, row in enumerate(_rows(edit)):
+            yield (*key, no, *row)
 
-def _folds(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (project, part), rows in _groups(batches):
-            edit: Edit | None = same()
-            for r in rows:
-                then = _edit(r)
-                edit = composed(edit, then) if edit is not None and then is not None else None
-            yield pa.RecordBatch.from_pylist([{"project_id": project, "part": part, **_row(edit)}], schema)
 
-    return run
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of a project are its list (part -1), then the edit of its log, if it has any."""
+    for project, both in groupby(_read(batches, ["project_id", "part", "kind", "a", "b", "entity"]), key=lambda r: r[0]):
+        start, then = constant([]), same()
+        for part, rows in groupby(both, key=lambda r: r[1]):
+            if part < 0:
+                start = constant([r[5] for r in rows])
+            else:
+                then = _edit(r[2:] for r in rows)
+        edit = composed(start, then) if then is not None else None
+        if edit is None:
+            yield project, None, None, False
+        else:
+            yield from ((project, e, i, True) for i, (_, _, e) in enumerate(edit.pieces))
 
 
 def list_edits(changes: DataFrame, stretch: int = STRETCH, fan: int = FAN) -> DataFrame:
-    """One edit for each project: what its whole log of structural changes does to a list. `sound` is false if changes do not fit each other.
+    """One edit for each project, as rows (project_id, part, no, kind, a, b, entity): what its whole log of structural changes does to a list. Its head has no `a` if changes do not fit each other.
 
     Stretches of the log are worked out side by side, then neighbours compose, `fan` at a time, in as many rounds as the longest log
-    asks; tasks hold a stretch, or edits as large as the stretches that they stand for.
+    asks; tasks hold a stretch, or two edits as large as the stretches that they stand for, and a batch of rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship(changes.sparkSession)
     project, entity = changes.schema["project_id"].dataType, changes.schema["entity"].dataType
-    schema = _schemas(to_arrow_type(entity), to_arrow_type(project))
-    ddl = f"project_id {project.simpleString()}, part long, {FIELDS.format(entity.simpleString())}"
+    long = pa.int64()
+    schema = pa.schema([("project_id", to_arrow_type(project)), ("part", long), ("no", long), ("kind", pa.int32()), ("a", long), ("b", long), ("entity", to_arrow_type(entity))])
+    ddl = f"project_id {project.simpleString()}, part long, no long, kind int, a long, b long, entity {entity.simpleString()}"
     # numbers within a project, as runs of rows: only the order is needed, and a count of what comes before
     part = F.floor((F.row_number().over(Window.partitionBy("project_id").orderBy("seq")) - 1) / stretch)
     rows = changes.withColumn("part", part).select("project_id", "part", "seq", "kind", "entity", F.col("index").cast("long").alias("index"), "before", "after")
-    edits = rows.repartition("project_id", "part").sortWithinPartitions("project_id", "part", "seq").drop("seq").mapInArrow(_stretches(schema), ddl)
+    edits = rows.repartition("project_id", "part").sortWithinPartitions("project_id", "part", "seq").drop("seq").mapInArrow(_streamed(_stretches, schema), ddl)
     longest = changes.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
     parts = -(-longest // stretch)
     while parts > 1:
-        edits = edits.withColumn("of", F.floor(F.col("part") / fan)).repartition("project_id", "of").sortWithinPartitions("project_id", "of", "part").drop("part").withColumnRenamed("of", "part").select(*[f.name for f in schema])
-        edits = edits.mapInArrow(_folds(schema), ddl)
+        edits = edits.withColumn("of", F.floor(F.col("part") / fan)).repartition("project_id", "of").sortWithinPartitions("project_id", "of", "part", "no").mapInArrow(_streamed(_folds, schema), ddl)
         parts = -(-parts // fan)
-    return edits.drop("part")
+    return edits
 
 
 def current_order(snapshot: DataFrame, changes: DataFrame, stretch: int = STRETCH, fan: int = FAN) -> DataFrame:
@@ -297,19 +333,9 @@ def current_order(snapshot: DataFrame, changes: DataFrame, stretch: int = STRETC
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    edits = list_edits(changes, stretch, fan)
-    lists = snapshot.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda r: r["entity"]).alias("start"))
-    both = lists.join(edits, "project_id", "full")
     project, entity = changes.schema["project_id"].dataType, changes.schema["entity"].dataType
+    edits = list_edits(changes, stretch, fan).where(F.col("kind") != GONE)
+    start = snapshot.select(F.col("project_id").cast(project).alias("project_id"), F.lit(-1).cast("long").alias("part"), F.col("pos").cast("long").alias("no"), F.lit(PIECE).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"), F.col("entity").cast(entity).alias("entity"))
+    both = start.unionByName(edits).repartition("project_id").sortWithinPartitions("project_id", "part", "no", "entity")
     schema = pa.schema([("project_id", to_arrow_type(project)), ("entity", to_arrow_type(entity)), ("pos", pa.int32()), ("sound", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                start = constant(r["start"] or [])
-                then = same() if r["sound"] is None else _edit(r)
-                edit = composed(start, then) if then is not None else None
-                rows = [{"project_id": r["project_id"], "entity": None, "pos": None, "sound": False}] if edit is None else [{"project_id": r["project_id"], "entity": e, "pos": i, "sound": True} for i, (_, _, e) in enumerate(edit.pieces)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return both.mapInArrow(run, f"project_id {project.simpleString()}, entity {entity.simpleString()}, pos int, sound boolean")
+    return both.mapInArrow(_streamed(_lists, schema), f"project_id {project.simpleString()}, entity {entity.simpleString()}, pos int, sound boolean")

@@ -2,8 +2,12 @@
 
 import math
 import random
+import tracemalloc
 
-from gaugeworks.operators import place
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from gaugeworks.operators import lists, place
 
 
 def framed(run, corners):
@@ -38,3 +42,32 @@ def test_frames_without_functions_of_arrays(spark):
     want = {r[2]: any(framed(r[3:], c) for p, _, c in rects if p == r[0] and c and len(c) == 4) for r in runs}
     assert {r["run_id"]: r["framed"] for r in got.collect()} == want and 50 < sum(want.values()) < 350
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edits_are_rows_that_a_batch_bounds(spark):
+    """An edit was one row with all its pieces, so that a batch of them held the lists of thousands of projects."""
+    none = F.lit(None).cast("array<bigint>")
+    changes = spark.range(4000).select((F.col("id") % 3).alias("project_id"), F.col("id").alias("seq"), F.lit("inserted").alias("kind"), F.col("id").alias("entity"), F.lit(0).alias("index"), none.alias("before"), none.alias("after"))
+    for stretch in (1024, 100):
+        edits = lists.list_edits(changes, stretch, 4)
+        assert not [f.name for f in edits.schema if f.dataType.typeName() in ("array", "struct", "map")]
+        assert edits.groupBy("project_id").count().count() == 3 and edits.where("part <> 0").count() == 0
+        assert edits.count() == 3 + 4000 + 3  # heads, entities that come in and must not be there, the old lists behind them
+
+
+def test_lists_of_many_projects_are_streamed():
+    """What a worker holds does not grow with the projects that it reads: 800 lists of 200 in 160,000 rows."""
+
+    def batches(projects):
+        for p in range(0, projects, 40):
+            rows = [(q, 0, *r) for q in range(p, p + 40) for r in lists._rows(lists.edit_of([("inserted", e, 0, None, None) for e in range(200)]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["project_id", "part", "kind", "a", "b", "entity"])
+
+    schema = pa.schema([("project_id", pa.int64()), ("entity", pa.int64()), ("pos", pa.int32()), ("sound", pa.bool_())])
+    read = lambda projects: sum(b.num_rows for b in lists._streamed(lists._lists, schema)(batches(projects)))
+    read(40)  # modules that are loaded by need
+    tracemalloc.start()
+    n = read(800)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 160_000 and most < 12_000_000
