@@ -125,22 +125,36 @@ def change_source(command: Column, char_id: Column, created: Column, depth: int
     return F.when(command["type"] == "batch", F.get(inner, F.lit(0))).otherwise(own)
 
 
-def single_commands(entries: DataFrame) -> DataFrame:
+#: Levels of batches that are opened before what came out is written.
+OPENED = 4
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """Batches give way to their commands; others go through, with a 0 behind their path, which keeps the order."""
+    inner = F.when(F.col("kind") == "batch", F.try_variant_get("command", "$.commands", "array<variant>")).otherwise(F.array("command"))
+    rows = rows.select("project_id", "entry_no", "path", F.posexplode(inner).alias("at", "command"))
+    return rows.select("project_id", "entry_no", F.concat("path", F.array("at")).alias("path"), "command", F.try_variant_get("command", "$.type", "string").alias("kind"))
+
+
+def single_commands(entries: DataFrame, *kept: Column) -> DataFrame:
     """H6: of log entries (project_id, entry_no, command as VARIANT) the commands that are no batches, with their place: a `path` of numbers that orders them as they are written.
 
-    Batches come apart level by level, in as many rounds as the deepest has; only those that hold batches go on. An empty batch has none; a null command is left out.
+    Batches come apart OPENED levels at a time, in as many rounds as the deepest asks; only batches go on. Of a command its `kept` columns are
+    left (of command and kind; without any, the command), worked out once, as it comes out. An empty batch has none; a null command is left out.
     """
-    left = entries.where("command IS NOT NULL").select("project_id", "entry_no", F.array().cast("array<int>").alias("path"), "command")
+    keys, batch = ["project_id", "entry_no", "path"], F.coalesce(F.col("kind") == "batch", F.lit(False))
+    left = entries.select("project_id", "entry_no", F.array().cast("array<int>").alias("path"), "command", F.try_variant_get("command", "$.type", "string").alias("kind"))
     found = None
     while True:
-        kind = F.try_variant_get("command", "$.type", "string")
-        single = left.where(~kind.eqNullSafe(F.lit("batch")))
+        for _ in range(OPENED):
+            left = _opened(left)
+        # no condition on what is worked out here: it would be pushed down, and all of it worked out for it once more
+        at = written(left.select(*keys, batch.alias("_batch"), F.col("command").isNull().alias("_null"), F.when(batch, F.col("command")).alias("_left"), *(kept or [F.col("command")])), "commands")
+        single = at.where("NOT _batch AND NOT _null").drop("_batch", "_null", "_left")
         found = single if found is None else found.unionByName(single)
-        left = left.where(kind == "batch").select("project_id", "entry_no", "path", F.posexplode(F.try_variant_get("command", "$.commands", "array<variant>")).alias("at", "inner"))
-        left = left.select("project_id", "entry_no", F.concat("path", F.array("at")).alias("path"), F.col("inner").alias("command"))
-        if not left.where(F.try_variant_get("command", "$.type", "string") == "batch").limit(1).count():
-            return found.unionByName(left)
-        left = written(left, "batches")
+        left = at.where("_batch").select(*keys, F.col("_left").alias("command"), F.lit("batch").alias("kind"))
+        if not left.select("path").limit(1).count():
+            return found
 
 
 def change_sources(entries: DataFrame, touched: DataFrame) -> DataFrame:
@@ -148,15 +162,17 @@ def change_sources(entries: DataFrame, touched: DataFrame) -> DataFrame:
 
     `entries` as for single_commands(); `touched`: project_id, entry_no, char_id, created. In a batch of any depth the first command that says something counts.
     """
-    one = lambda path, kind: F.try_variant_get("command", path, kind)
-    name = one("$.type", "string")
-    named = F.coalesce(F.array_contains(one("$.ids", "array<bigint>"), F.col("char_id")), F.lit(False))
-    rules = F.transform(one("$.values", "array<variant>"), lambda v: F.try_variant_get(v, "$.derivation.rule.type", "string"))
+    kind = F.col("kind")
+    rules = F.transform(F.try_variant_get("command", "$.values", "array<variant>"), lambda v: F.try_variant_get(v, "$.derivation.rule.type", "string"))
     by_rule = F.coalesce(F.exists(rules, lambda r: F.coalesce(r != "manual", F.lit(False))), F.lit(False))
-    source = (
-        F.when((name == "add_characteristic") & F.col("created"), "manual").when((name == "accept_proposals") & F.col("created"), "recognition").when((name == "update_fields") & named, F.when(by_rule, "rule").otherwise("manual"))
-        .when(name.isin("delete_characteristics", "move_characteristics", "set_result_type") & named, "manual")
-    )
-    said = single_commands(entries).join(touched, ["project_id", "entry_no"]).withColumn("source", source).where("source IS NOT NULL")
+    named = kind.isin("update_fields", "delete_characteristics", "move_characteristics", "set_result_type")
+    # of what was created, and of what is named
+    made = F.when(kind == "add_characteristic", "manual").when(kind == "accept_proposals", "recognition")
+    given = F.when(kind == "update_fields", F.when(by_rule, "rule").otherwise("manual")).when(named, "manual")
+    ids = F.when(named, F.try_variant_get("command", "$.ids", "array<bigint>"))
+    source = F.when(F.col("created"), F.col("made"))
+    source = F.coalesce(source, F.when(F.array_contains("ids", F.col("char_id")), F.col("given")))
+    said = single_commands(entries, made.alias("made"), given.alias("given"), ids.alias("ids")).where("made IS NOT NULL OR ids IS NOT NULL")
+    said = said.join(touched.hint("merge"), ["project_id", "entry_no"]).withColumn("source", source).where("source IS NOT NULL")
     first = said.groupBy("project_id", "entry_no", "char_id").agg(F.min_by("source", "path").alias("source"))
     return touched.select("project_id", "entry_no", "char_id").join(first, ["project_id", "entry_no", "char_id"], "left")

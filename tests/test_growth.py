@@ -1,5 +1,6 @@
 """What made queries grow too fast at 6 GB: frames, lists, batches (round 3)."""
 
+import json
 import math
 import random
 import tracemalloc
@@ -7,7 +8,8 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import lists, place
+from gaugeworks.operators import lists, place, revise
+from gaugeworks.sources.scratch import written
 
 
 def framed(run, corners):
@@ -71,3 +73,38 @@ def test_lists_of_many_projects_are_streamed():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 160_000 and most < 12_000_000
+
+
+def test_batches_are_opened_some_levels_at_a_time(spark, monkeypatch):
+    """Each level was written, and read for a check of its own; commands went into the join whole, to be taken apart for each condition there."""
+    rng = random.Random(9)
+
+    def command(depth):
+        if depth and rng.random() < 0.7:
+            return {"type": "batch", "commands": [command(depth - 1) for _ in range(rng.randint(0, 3))]}
+        rule = rng.choice([None, "manual", "fit"])
+        values = [5, {"field": "kind"}, *([{"derivation": {"rule": {"type": rule}}}] if rule else [])]
+        return rng.choice([7, None, {"type": 3}, {"type": "add_characteristic"}, {"type": "accept_proposals"}, {"type": "update_fields", "ids": rng.choice([[1], [2, 1], ["x"], None, 3]), "values": values}, {"type": "set_result_type", "ids": [2]}, {"type": "update_sheet", "ids": [1]}])
+
+    def first(c, char, created):
+        if not isinstance(c, dict):
+            return None
+        if c["type"] == "batch":
+            return next((s for s in (first(x, char, created) for x in c["commands"]) if s), None)
+        if c["type"] in ("add_characteristic", "accept_proposals"):
+            return {"add_characteristic": "manual", "accept_proposals": "recognition"}[c["type"]] if created else None
+        if c["type"] not in ("update_fields", "set_result_type") or char not in (c["ids"] if isinstance(c["ids"], list) else []):
+            return None
+        return "rule" if any(isinstance(v, dict) and v.get("derivation", {}).get("rule", {}).get("type", "manual") != "manual" for v in c.get("values", [])) else "manual"
+
+    commands = [command(rng.randint(0, 10)) for _ in range(300)] + [None]
+    entries = spark.createDataFrame([(1, i, None if i == 300 else json.dumps(c)) for i, c in enumerate(commands)], "project_id int, entry_no long, text string").select("project_id", "entry_no", F.parse_json("text").alias("command"))
+    touched = [(1, i, char, created) for i in range(301) for char, created in ((1, False), (2, True), (3, False))]
+    tables = []
+    monkeypatch.setattr(revise, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    got = revise.change_sources(entries, spark.createDataFrame(touched, "project_id int, entry_no long, char_id long, created boolean"))
+    rows = {(r["entry_no"], r["char_id"]): r["source"] for r in got.collect()}
+    assert rows == {(i, char): first(commands[i], char, created) for _, i, char, created in touched}
+    assert {*rows.values()} == {None, "manual", "rule", "recognition"}
+    assert len(tables) == 3  # 10 levels, four at a time
+    assert "variant_get" not in got._jdf.queryExecution().optimizedPlan().toString()
